@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import leakage, packing, quantiles, topn
+from lineweave.llm import leakage, packing, quantiles, topn, truncation
 from lineweave.session import table
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -43,7 +43,15 @@ def p7_reparameterised(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).where("not literal").select("item_id", "doc_id", "words", "replaced")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_percentiles, p3_daily, p6_pack, p7_found, p7_reparameterised)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "documents"))
+
+
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.share_by_source(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_percentiles, p3_daily, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
 
 _RANKED = """
 SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY routine_complexity DESC, routine_name ASC NULLS LAST, routine_id) AS rank,
