@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import leakage, packing, quantiles, topn, truncation
+from lineweave.llm import leakage, mojibake, packing, quantiles, topn, truncation
 from lineweave.session import table
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -31,6 +31,20 @@ def p3_daily(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(days, PERCENTILES).select(F.col("grp").alias("file_type"), "day", "n", *PERCENTILES, "rank_error")
 
 
+def _texts_with_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "search_hits").select(F.lit("search_hits").alias("table_name"), F.col("hit_id").alias("row_id"), F.col("search_line").alias("text"))
+    routines = table(spark, sf, "routine_rows").select(F.lit("routine_rows").alias("table_name"), F.col("routine_id").alias("row_id"), F.col("routine_name").alias("text"))
+    return hits.unionByName(routines)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled_rows(_texts_with_encodings(spark, sf)).select("table_name", "row_id").distinct()
+
+
+def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled_rows(_texts_with_encodings(spark, sf))
+
+
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), table(spark, sf, "context_windows"))
 
@@ -51,7 +65,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.share_by_source(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_percentiles, p3_daily, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
 
 _RANKED = """
 SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY routine_complexity DESC, routine_name ASC NULLS LAST, routine_id) AS rank,
