@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import leakage, mojibake, packing, quantiles, topn, truncation
+from lineweave.llm import leakage, mojibake, packing, quantiles, secrets, topn, truncation
 from lineweave.session import table
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.exposed(table(spark, sf, "search_hits")).select("hit_id")
+
+
+def p1_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.exposed(table(spark, sf, "search_hits"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     top = topn.top_n_per_group(table(spark, sf, "routine_rows"), "file_name", "routine_complexity", "routine_name", "routine_id", 5)
     return top.select("file_name", "routine_id")
@@ -65,7 +73,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.share_by_source(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
 
 _RANKED = """
 SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY routine_complexity DESC, routine_name ASC NULLS LAST, routine_id) AS rank,
