@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import leakage, mojibake, packing, quantiles, secrets, topn, truncation
+from lineweave.llm import handwritten, leakage, mojibake, packing, quantiles, secrets, topn, truncation
 from lineweave.session import table
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -53,6 +53,14 @@ def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.garbled_rows(_texts_with_encodings(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.not_hand_written(table(spark, sf, "file_tree"), table(spark, sf, "file_measures"))
+
+
+def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.judged(table(spark, sf, "file_tree"), table(spark, sf, "file_measures")).groupBy("kind").agg(F.count("*").alias("files"))
+
+
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), table(spark, sf, "context_windows"))
 
@@ -73,7 +81,7 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.share_by_source(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p5_found, p5_kinds, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
 
 _RANKED = """
 SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY routine_complexity DESC, routine_name ASC NULLS LAST, routine_id) AS rank,
