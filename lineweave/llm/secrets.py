@@ -1,8 +1,8 @@
 """Credentials in lines of source code and configuration: found through a trigram index, verified, masked.
 
 Every rule is a regular expression whose groups mark the secret value. The trigrams it cannot do without are derived
-from the expression itself; an index over chunks of neighbouring lines of a file gives the chunks that can match, and
-only their lines are read by the rules. A match counts if its value is a literal secret: not a placeholder, a reference
+from the expression itself; the index of a block of lines gives each rule's candidates, and only those are read by
+the rule. A match counts if its value is a literal secret: not a placeholder, a reference
 to a vault or variable, a call, a hash, a sample or a sentence.
 
 Lines within a private key block hold nothing but key material; they are found by joining lines of base64 with
@@ -19,19 +19,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import trigrams
 
-CHUNK_LINES = 32
 LONGEST_BLOCK = 512
 CUT = 245  # lines are stored up to 255 characters, less what was trimmed
 MASK = "[MASKED]"
 
 # Words for a secret in names, in several languages.
 _WORDS = r"pass(?:word|wd|phrase|wort|code)?|pwd|(?:^|[ \"'.])pw\b|_pw\b|kennwort|senha|contrase(?:na|ñ)|mot_?de_?passe|secret|token|api_?key|access_?key|private_?key|master_?key|hmac_?key|encryption_?key|signing_?key|client_?key|auth_?key|credential|credencia|geheim|haslo|losenord|wachtwoord|salasana|parol[ae]?\b|пароль"
-_NAME = rf"[\w.\-$\[\]]*(?:{_WORDS})[\w\-]*"
+_NAME = rf"(?<![\w.\-$\[\]])[\w.\-$\[\]]*(?:{_WORDS})[\w\-]*"
 _AFTER_NAME = re.compile(r"^[_\-.]?(?:hash|digest|checksum|fingerprint|id|name|len|length|hint|label|policy|url|uri|file|path|type|expir\w*|ttl|count|ref|field|regex|pattern|error|message|valid\w*)(?:es|s)?(?![a-z])", re.I)
 
 # Public formats of tokens.
@@ -48,8 +48,8 @@ RULES: dict[str, str] = {
     "attribute": rf"(?i)\b(?:key|name|id)\s*=\s*([\"'])({_NAME})\1\s+value\s*=\s*([\"'])([^\"']+)\3",
     "element": rf"(?i)<({_NAME})>([^<>]+)</",
     "plain": rf"(?i)^\s*(?:-\s+)?[\"']?({_NAME})[\"']?:\s+([^\s\"'][^\s]*)\s*(?:$|\s[#;/])",
-    "exported": rf"(?i)(?:^|\bexport\s+|\bset\s+|\bsetenv\s+|;\s*|\bENV\s+|&|\?|\s--)({_NAME}|sig|signature)=([^\s;&\"'<>]+)",
-    "option": rf"(?i)\s--?({_NAME})(?:=|\s+)[\"']?([^\s\"']+)",
+    "exported": rf"(?i)(?:^|\bexport\s+|\bset\s+|\bsetenv\s+|;\s*|\bENV\s+|&|\?)({_NAME}|sig|signature)=([^\s;&\"'<>]+)",
+    "option": rf"(?i)\s(?=-)({_NAME})(?:=|\s+)[\"']?([^\s\"']+)",
     "mysql": r"(?i)\b(?:mysql|mysqldump|mysqladmin|mariadb)\b.*?\s-p([^\s\"']+)",
     "curl": r"(?i)\b(?:curl|wget|http)\b.*?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:([^\s\"']+)",
     "url": r"\b[a-z][\w+.\-]*://[^\s/:@\"'<>]*:([^\s@\"'<>]+)@[\w.\-\[]",
@@ -67,36 +67,6 @@ RULES: dict[str, str] = {
 }
 _COMPILED = {k: re.compile(v) for k, v in RULES.items()}
 _ANY_WORD = re.compile(_WORDS, re.I)
-_ANY_RUN = re.compile(r"[A-Za-z0-9+/_\-.=~]{16,}")
-# What a line must hold for a rule to be worth its time; texts are looked for in lower case.
-_GATES: dict[str, tuple[str, ...]] = {
-    **{f"token{i}": (t,) for i, t in enumerate(("akia", "asia", "gh", "github_pat", "glpat", "xox", "k_", "aiza", "npm_", "sg.", "eyj", "pypi", "hvs.", "dop_"))},
-    "mysql": ("mysql", "mariadb"), "curl": ("curl", "wget", "http"), "url": ("://",), "basic": ("basic",), "bearer": ("bearer",), "login": ("log", "sign", "auth", "connect"), "identified": ("identified",), "note": (" / ",), "pem": ("private key",), "bytes": ("0x",), "connection": ("password", "pwd"),
-}
-_NAMED = frozenset(("quoted", "attribute", "element", "plain", "option", "decoded"))
-
-
-def _worth(line: str) -> list[str]:
-    """The rules that can match a line."""
-    low = line.lower()
-    word, quotes = bool(_ANY_WORD.search(low)), line.count('"') + line.count("'")
-    out = []
-    for name in RULES:
-        if name in _NAMED:
-            ok = word
-        elif name == "exported":
-            ok = word or "sig" in low
-        elif name == "pieces":
-            ok = quotes >= 4
-        elif name == "opaque":
-            ok = quotes >= 2 and bool(_ANY_RUN.search(line))
-        else:
-            ok = any(g in low for g in _GATES[name])
-        if ok:
-            out.append(name)
-    return out
-
-
 _MARKER = r"^\W*-----(BEGIN|END) ([A-Z0-9 ]+)-----\W*$"
 _BODY = r"^\s*[A-Za-z0-9+/]{20,}={0,2}\s*$"
 
@@ -190,15 +160,15 @@ def _b64(value: str) -> str | None:
     return text if text.isprintable() else None
 
 
-def spans(line: str) -> list[tuple[int, int]]:
-    """(begin, end) of the secret values in a line."""
+def spans(line: str, rules: list[str] | None = None) -> list[tuple[int, int]]:
+    """(begin, end) of the secret values in a line, by the given rules or all."""
     found: list[tuple[int, int]] = []
     sample = bool(_SAMPLE_NOTE.search(line))
 
     def take(m: re.Match, group: int) -> None:
         found.append(m.span(group))
 
-    for name in _worth(line):
+    for name in RULES if rules is None else rules:
         for m in _COMPILED[name].finditer(line):
             if name.startswith("token"):
                 if literal_secret(m[1]) and not sample:
@@ -247,14 +217,14 @@ def _mixed(value: str) -> bool:
     return bool(re.search(r"\d", value) and re.search("[A-Z]", value) and re.search("[a-z]", value)) and turns >= len(value) // 3
 
 
-def mask(line: str | None, match: str | None) -> tuple[str | None, str | None] | None:
+def mask(line: str | None, match: str | None, rules: list[str] | None = None) -> tuple[str | None, str | None] | None:
     """Line and match with the secret values masked; None if neither holds one."""
     text, own = line or "", match or ""
-    found = spans(text)
+    found = spans(text, rules)
     values = sorted({text[b:e] for b, e in found} | set(), key=len, reverse=True)
-    if own and not found and len(text) >= CUT and own not in text and (strong(own) or spans(own)):
+    if own and not found and len(text) >= CUT and own not in text and (strong(own) or spans(own, rules)):
         values = [own]
-    if not found and not values and own and own not in text and (inner := spans(own)):
+    if not found and not values and own and own not in text and (inner := spans(own, rules)):
         values = [own[b:e] for b, e in inner]
     if not values:
         return None
@@ -277,19 +247,29 @@ def mask(line: str | None, match: str | None) -> tuple[str | None, str | None] |
 # -- Spark ---------------------------------------------------------------------------------------------------------
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = queries()
+    keys = trigrams.wanted(asked)
     for batch in batches:
+        lines, matches = batch.column(1), batch.column(2)
+        block = trigrams.Block([lines, matches], keys)
+        rules: dict[int, list[str]] = {}
+        for name, query in asked.items():
+            for row in block.candidates(query).tolist():
+                rules.setdefault(row, []).append(name)
+        # a match that lies beyond the cut has lost its name, and with it its trigrams: it is judged by its looks
+        long_ = pc.greater_equal(pc.fill_null(pc.utf8_length(lines), 0), CUT)
+        for row in pc.indices_nonzero(pc.and_(long_, pc.greater(pc.fill_null(pc.utf8_length(matches), 0), 0))).to_pylist():
+            rules.setdefault(row, [])
         rows = []
-        for key, line, match, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if body:
-                rows.append((key, MASK, MASK if match else match))
-            elif hit := mask(line, match):
-                rows.append((key, *hit))
+        for row in sorted(rules):
+            if hit := mask(lines[row].as_py(), matches[row].as_py(), rules[row]):
+                rows.append((batch.column(0)[row].as_py(), *hit))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["id", "line", "match"])
 
 
 def key_material(lines: DataFrame) -> DataFrame:
-    """(id) of lines inside private key blocks; input (id, file, file_id, number, line)."""
+    """(id, match) of lines inside private key blocks; input (id, file, file_id, number, line, match)."""
     marks = lines.where(F.col("line").rlike(_MARKER)).select("file", "file_id", "number", F.regexp_extract("line", _MARKER, 1).alias("edge"), F.regexp_extract("line", _MARKER, 2).alias("kind")).distinct()
     order = Window.partitionBy("file").orderBy("number", F.col("edge").desc())
     near = marks.select("*", F.lead("edge").over(order).alias("next_edge"), F.lead("kind").over(order).alias("next_kind"), F.lead("number").over(order).alias("next"), F.lag("edge").over(order).alias("last_edge"), F.lag("number").over(order).alias("last"))
@@ -299,7 +279,7 @@ def key_material(lines: DataFrame) -> DataFrame:
     blocks = opened.unionByName(closed).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / LONGEST_BLOCK), F.floor(F.col("high") / LONGEST_BLOCK)))).withColumnRenamed("file_id", "block_file")
     body = lines.where(F.col("line").rlike(_BODY)).withColumn("bucket", F.floor(F.col("number") / LONGEST_BLOCK))
     inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & (F.col("file_id").isNull() | F.col("block_file").isNull() | (F.col("file_id") == F.col("block_file")))
-    return body.join(blocks, ["file", "bucket"]).where(inside).select("id").distinct()
+    return body.join(blocks, ["file", "bucket"]).where(inside).select("id", "match").distinct()
 
 
 def exposed(hits: DataFrame, key: str = "hit_id", file: str = "file_name", file_id: str = "file_id", number: str = "search_linenum", line: str = "search_line", match: str = "search_match") -> DataFrame:
@@ -309,13 +289,8 @@ def exposed(hits: DataFrame, key: str = "hit_id", file: str = "file_name", file_
     one row. A row without a file name can still hold a credential, but not be part of a key block.
     """
     rows = hits.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(file).alias("file"), F.col(file_id).cast("long").alias("file_id"), F.col(number).cast("long").alias("number"), F.col(line).alias("line"), F.col(match).alias("match"))
-    rows = rows.withColumn("chunk", F.xxhash64(F.coalesce("file", F.col("id").cast("string")), F.floor(F.coalesce("number", F.lit(0)) / CHUNK_LINES)))
-    asked = queries()
-    found = trigrams.candidates(trigrams.index(rows.withColumn("text", F.concat_ws("\n" + trigrams.START, "line", "match")), "chunk", "text", asked), asked)
-    # a match that lies beyond the cut has lost its name, and with it its trigrams: such rows are candidates by their length
-    beyond = (F.length("line") >= CUT) & (F.length("match") > 0) & ~F.contains("line", "match")
-    here = rows.join(found, "chunk", "left_semi").unionByName(rows.where(beyond))
-    material = key_material(rows.select("id", "file", "file_id", "number", "line"))
-    body = rows.join(material, "id", "left_semi").select("id", "line", "match", F.lit(True).alias("body"))
-    checked = here.select("id", "line", "match", F.lit(False).alias("body")).unionByName(body).mapInArrow(_verify, "id long, line string, match string")
+    found = rows.select("id", "line", "match").mapInArrow(_search, "id long, line string, match string")
+    hidden = F.when(F.length("match") > 0, F.lit(MASK)).otherwise(F.col("match"))
+    material = key_material(rows).select("id", F.lit(MASK).alias("line"), hidden.alias("match"))
+    checked = found.unionByName(material)
     return checked.groupBy("id").agg(F.min_by(F.struct("line", "match"), F.coalesce("line", F.lit(""))).alias("m")).select(F.col("id").alias(key), F.col("m.line").alias(line), F.col("m.match").alias(match))

@@ -1,23 +1,20 @@
-"""A trigram index over chunks of lines, and the trigrams that a regular expression cannot match without.
+"""A trigram index over blocks of lines, and the trigrams that a regular expression cannot match without.
 
-The index is a table (key, chunk): key is a trigram of lower-cased bytes, or a feature such as "a long run of token
-characters" for expressions that contain no fixed text. Only keys that some expression asks for are kept. A query
-is a set of alternatives, each a set of keys of which all must be in a chunk; intersecting the postings of an
-alternative gives the candidate chunks, and the expressions are tried on those alone.
+A block is a batch of rows of a split. Its index has, for each key that some expression asks for, the sorted numbers of the
+rows that hold it; a key is a trigram of lower-cased bytes, or a feature such as "a long run of token characters"
+for expressions that contain no fixed text. A query is a set of alternatives, each a set of keys that must all be
+there; intersecting the postings of an alternative gives the candidate rows, and the expression is tried on those
+alone. Blocks are indexed where they are read, so nothing is shuffled, and an index is never larger than its block.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from re import _constants as sre
 from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 LONG_RUN = 1 << 24  # feature: a run of at least RUN characters of [A-Za-z0-9+/_-] with both letters and digits
 RUN = 16
 START = " "  # indexed texts have it before their first character, so that a short word at the start has a trigram
@@ -129,53 +126,70 @@ def _fixed(nodes: list) -> list[str] | None:
     return out
 
 
-def _postings(keys: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << 24, bool)
-        wanted[[k for k in keys if k < 1 << 24]] = True
-        runs = LONG_RUN in keys
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            if isinstance(texts, pa.ChunkedArray):
-                texts = texts.combine_chunks()
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = texts.buffers()[2]
-            if data is None or not len(texts) or offsets[-1] - offsets[0] < 3:
-                continue
-            raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            low = _LOWER[raw].astype(np.uint32)
-            tri = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
-            at = np.flatnonzero(wanted[tri])
-            rows, found = np.searchsorted(offsets, at, "right") - 1, tri[at].astype(np.int64)
-            if runs:
-                ends = np.concatenate([[False], _TOKEN[raw], [False]])
-                edges = np.flatnonzero(ends[1:] != ends[:-1])
-                begin = edges[::2][(edges[1::2] - edges[::2]) >= RUN]
-                rows, found = np.concatenate([rows, np.searchsorted(offsets, begin, "right") - 1]), np.concatenate([found, np.full(len(begin), LONG_RUN)])
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)[rows]
-            pairs = np.unique(np.stack([found, chunk], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1])], names=["key", "chunk"])
-
-    return run
-
-
-def index(lines: DataFrame, chunk: str, text: str, queries: dict[str, set[frozenset[int]]]) -> DataFrame:
-    """(key, chunk): postings of the keys that any of the queries asks for. Null texts have none."""
-    keys = sorted({k for q in queries.values() for alternative in q for k in alternative})
-    return lines.where(F.col(text).isNotNull()).select(F.col(chunk).cast("long").alias("chunk"), F.concat(F.lit(START), F.col(text)).alias("text")).mapInArrow(_postings(keys), "key int, chunk long").distinct()
-
-
-def candidates(postings: DataFrame, queries: dict[str, set[frozenset[int]]]) -> DataFrame:
-    """(chunk): chunks that hold all keys of some alternative of some query. Groups are as small as an alternative."""
-    rows, n = [], 0
-    for alternatives in queries.values():
-        for keys in alternatives:
-            rows += [(n, k, len(keys)) for k in keys]
-            n += 1
-    wanted = postings.sparkSession.createDataFrame(rows, "alternative int, key int, need int")
-    return postings.join(F.broadcast(wanted), "key").groupBy("chunk", "alternative").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select("chunk").distinct()
+class Block:
+    """The index of a block: postings of keys over columns of texts that share row numbers."""
+
+    def __init__(self, columns: list[pa.Array], keys: np.ndarray) -> None:
+        """``keys`` is the table of wanted trigrams (``wanted``)."""
+        found, rows = [], []
+        for column in columns:
+            f, r = self._scan(column, keys)
+            found.append(f)
+            rows.append(r)
+        pairs = np.unique(np.concatenate(found).astype(np.int64) << 32 | np.concatenate(rows))
+        key, row = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.array([0])
+        self.postings = {int(key[a]): row[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+        self._known: dict[frozenset[int], np.ndarray] = {}
+
+    @staticmethod
+    def _scan(column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+        texts = column.cast(pa.large_binary())
+        data = texts.buffers()[2]
+        if data is None or not len(texts):
+            return nothing
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw, offsets = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if len(raw) < 3:
+            return nothing
+        low = _LOWER[raw].astype(np.uint32)
+        tri = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
+        at = np.flatnonzero(keys[tri])
+        begin = offsets[:-1][np.diff(offsets) >= 2]
+        first = np.uint32(ord(START)) << 16 | low[begin] << 8 | low[begin + 1]
+        some = keys[first]
+        runs = np.concatenate([[False], _TOKEN[raw], [False]])
+        edges = np.flatnonzero(runs[1:] != runs[:-1])
+        long_ = edges[::2][(edges[1::2] - edges[::2]) >= RUN]
+        places = np.concatenate([at, begin[some], long_])
+        found = np.concatenate([tri[at], first[some], np.full(len(long_), LONG_RUN)]).astype(np.int64)
+        return found, np.searchsorted(offsets, places, "right") - 1
+
+    def _all(self, alternative: frozenset[int]) -> np.ndarray:
+        rows = self._known.get(alternative)
+        if rows is None:
+            lists = sorted((self.postings.get(k, _NONE) for k in alternative), key=len)
+            rows = lists[0] if lists else _NONE
+            for more in lists[1:]:
+                if not len(rows):
+                    break
+                rows = rows[np.isin(rows, more, assume_unique=True)]
+            self._known[alternative] = rows
+        return rows
+
+    def candidates(self, query: set[frozenset[int]]) -> np.ndarray:
+        """The rows that hold all keys of some alternative."""
+        return np.unique(np.concatenate([self._all(a) for a in query]))
+
+
+_NONE = np.empty(0, np.int64)
+
+
+def wanted(queries: dict[str, set[frozenset[int]]]) -> np.ndarray:
+    table = np.zeros(1 << 24, bool)
+    table[[k for q in queries.values() for a in q for k in a if k < LONG_RUN]] = True
+    return table
 
 
 def check(pattern: re.Pattern, text: str) -> bool:
