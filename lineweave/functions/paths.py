@@ -85,7 +85,7 @@ def matches_any(name: Column, filters: list[str]) -> Column:
 def code_extension(name: Column) -> Column:
     """The extension that decides on code: without dot, in lower case, numeric ones stripped first (a.zip.001 is zip)."""
     bare = F.regexp_replace(name, r"(?:(?<=[^.])\.\d+)+$", "")
-    return F.lower(F.ltrim(F.lit("."), extension(bare)))
+    return F.lower(F.ltrim(extension(bare), F.lit(".")))
 
 
 def is_non_code(name: Column) -> Column:

@@ -18,13 +18,13 @@ def summary(measured: DataFrame, measures: list[str], by: str | None = None) ->
     One pass: the measures are summed side by side in one grouping-set aggregation and turned to rows afterwards.
     """
     numeric = {f.name for f in measured.schema.fields if isinstance(f.dataType, T.NumericType)}
-    sums = [F.sum(F.col(m).cast("double")).alias(m) if m in numeric else F.count(m).cast("double").alias(m) for m in measures]
+    sums = [(F.sum(F.col(m).cast("double")) if m in numeric else F.count(m).cast("double")).alias(f"_{i}") for i, m in enumerate(measures)]
     if by is None:
-        agg = measured.agg(*sums).withColumn("file_type", F.lit(""))
+        agg = measured.agg(*sums).withColumn("_type", F.lit(""))
     else:
-        agg = measured.withColumn("_type", F.coalesce(F.lower(by), F.lit(".(noext)"))).rollup("_type").agg(*sums).withColumn("file_type", F.coalesce("_type", F.lit("")))
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("total")) for m in measures)))
-    return agg.select("file_type", pairs.alias("x")).select("x.measure", "file_type", "x.total").where("total is not null")
+        agg = measured.withColumn("_by", F.coalesce(F.lower(by), F.lit(".(noext)"))).rollup("_by").agg(*sums).withColumn("_type", F.coalesce("_by", F.lit("")))
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"_{i}").alias("total")) for i, m in enumerate(measures))))
+    return agg.select(F.col("_type").alias("file_type"), pairs.alias("x")).select("x.measure", "file_type", "x.total").where("total is not null")
 
 
 def top_totals(totals: DataFrame, most: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ def code_lines(files: DataFrame, rules: Rules, keep: list[str]) -> DataFrame:
     """(keep..., number, line): code lines of the measured block with white space collapsed."""
     wanted = lambda c: scan.is_measured(c) & (scan.is_comment(c) if rules.only_comments else F.lit(True) if rules.comments else ~scan.is_comment(c))
     s = scan.scanned(files, rules)
-    some = F.filter(F.arrays_zip(F.col("lines").alias("line"), F.col("codes").alias("code"), F.col("numbers").alias("number")), lambda x: wanted(x["code"]))
+    some = F.filter(scan.zipped(s), lambda x: wanted(x["codes"]))
     return s.select(*keep, F.explode(some).alias("x")).select(*keep, F.col("x.number").cast("long").alias("number"), T.collapse(F.col("x.line")).alias("line"))
 
 

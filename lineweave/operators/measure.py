@@ -59,19 +59,19 @@ def code(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",)
     if "size" in files.columns:
         size = F.col("size").cast("long")
         columns += [size.alias("file_bytes"), F.when((size > 0) & (n("code") > 0) & (n("code") > n("machine")) & (n("code") > n("content")), size / n("code")).alias("nbnc_byte_ratio")]
-    semicolons = F.aggregate(F.zip_with("code_lines", "codes", lambda x, c: F.when(scan.is_code(c), F.length(x) - F.length(F.replace(x, F.lit(";")))).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
+    semicolons = F.aggregate(F.zip_with("items", "codes", lambda x, c: F.when(scan.is_code(c), F.length(x["code"]) - F.length(F.replace(x["code"], F.lit(";")))).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
     columns.append(F.nullif(semicolons, F.lit(0)).alias("nbnc_semicolons"))
     if checksums:
         raw = F.regexp_replace("text", "\r\n|\r", "\n")
-        columns += [T.adler32_of_code(F.col("lines"), F.transform("codes", scan.is_code)).cast("string").alias("nbnc_crc"), T.adler32_of_text(raw).cast("string").alias("file_crc")]
+        columns += [T.adler32_of_code(F.col("items.line"), F.transform("codes", scan.is_code)).cast("string").alias("nbnc_crc"), T.adler32_of_text(raw).cast("string").alias("file_crc")]
     return s.select(*keep, *columns)
 
 
 def line_classes(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., line_number, line, line_class, block): every line with its class."""
     s = scan.scanned(files, rules)
-    one = s.select(*keep, F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("flags").alias("flag"), F.col("codes").alias("code"), F.col("numbers").alias("number"))).alias("x"))
-    f, c = F.col("x.flag"), F.col("x.code")
+    one = s.select(*keep, F.explode(scan.zipped(s)).alias("x"))
+    f, c = F.col("x.flags"), F.col("x.codes")
     has = lambda b: f.bitwiseAND(F.lit(b)) != 0
     kind = (
         F.when(has(scan.IGNORED), "ignored").when(has(scan.TRUE_BLANK), "blank").when(has(scan.BLANK), "symbols").when(~scan.is_measured(c), "other block")

@@ -51,32 +51,38 @@ def without_inline(line: Column, inline: tuple) -> Column:
 
 
 def scanned(files: DataFrame, rules: Rules, routines: bool = False, text: str = "text") -> DataFrame:
-    """``files`` with arrays over its lines: ``lines`` (cut), ``raw_lines``, ``numbers``, ``code_lines`` (no strings, no inline comments), ``flags`` and ``codes``.
+    """``files`` with ``items``, an array of structs over its lines, and ``codes``.
 
-    A null or empty text has no lines. ``raw_count`` is the number of lines before a line separator splits them.
+    An item has the raw line's ``number``, the ``line`` as cut, ``code`` (no strings, no inline comments) and its ``flags``. Each is
+    made from the item before it, element by element, so no step looks into another array. A null or empty text has no
+    items. ``raw_count`` is the number of lines before a line separator splits them.
     """
-    raw = files.withColumn("raw_all", T.lines_of(F.col(text))).withColumn("raw_count", F.size("raw_all").cast("long"))
+    all_lines = T.lines_of(F.col(text))
+    raw = files.withColumn("raw_count", F.size(all_lines).cast("long"))
     if rules.separator:
-        parts = F.flatten(F.transform("raw_all", lambda x, i: F.transform(F.split(x, _literal(rules.separator), -1), lambda y: F.struct((i + 1).alias("n"), y.alias("t"), x.alias("whole")))))
-        raw = raw.withColumn("parts", parts).withColumn("raw_lines", F.col("parts.t")).withColumn("numbers", F.col("parts.n")).withColumn("wholes", F.col("parts.whole")).drop("parts")
+        items = F.flatten(F.transform(all_lines, lambda x, i: F.transform(F.split(x, _literal(rules.separator), -1), lambda y: F.struct((i + 1).alias("number"), x.alias("whole"), T.cut(y, rules.width).alias("line")))))
     else:
-        raw = raw.withColumn("raw_lines", F.col("raw_all")).withColumn("numbers", F.sequence(F.lit(1), F.greatest(F.size("raw_all"), F.lit(1)))).withColumn("wholes", F.col("raw_all"))
-    cut = raw.withColumn("lines", F.transform("raw_lines", lambda x: T.cut(x, rules.width)))
-    bare = cut.withColumn("bare", F.transform("lines", without_strings))
-    code = bare.withColumn("code_lines", F.transform("bare", lambda x: without_inline(x, rules.inline)))
-    flagged = code.withColumn("flags", F.transform("lines", lambda x, i: _flags(x, F.get("bare", i), F.get("code_lines", i), F.get("wholes", i), rules, routines))).drop("raw_all", "wholes")
-    if any(rules.detectors):
-        flagged = flagged.withColumn("edges", F.transform("lines", lambda x: _edges(x, rules)))
-        return flagged.withColumn("codes", _automata(rules)(F.col("flags"), F.col("edges"))).drop("edges", "bare")
-    return flagged.withColumn("codes", _automata(rules)(F.col("flags"), F.lit(None).cast("array<bigint>"))).drop("bare")
+        items = F.transform(all_lines, lambda x, i: F.struct((i + 1).alias("number"), x.alias("whole"), T.cut(x, rules.width).alias("line")))
+    # the text a comment is looked for in, and the code of a line; then all flags from these
+    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["whole"].alias("whole"), s["line"].alias("line"), without_strings(s["line"]).alias("bare")))
+    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["whole"].alias("whole"), s["line"].alias("line"), s["bare"].alias("bare"), without_inline(s["bare"], rules.inline).alias("code"), (strip(s["line"]) if rules.python else s["bare"]).alias("state")))
+    edges = [_edges] if any(rules.detectors) else []
+    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), _flags(s, rules, routines).alias("flags"), *(e(s["line"], rules).alias("edges") for e in edges)))
+    made = raw.withColumn("items", items)
+    return made.withColumn("codes", _automata(rules)(F.col("items.flags"), F.col("items.edges") if edges else F.lit(None).cast("array<bigint>")))
+
+
+def zipped(files: DataFrame) -> Column:
+    """``items`` with the code of each line as ``codes``."""
+    return F.zip_with("items", "codes", lambda s, c: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), s["flags"].alias("flags"), c.alias("codes")))
 
 
 def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _flags(line: Column, bare: Column, code: Column, whole: Column, rules: Rules, routines: bool) -> Column:
-    state = strip(line) if rules.python else bare
+def _flags(item: Column, rules: Rules, routines: bool) -> Column:
+    line, bare, code, whole, state = (item[k] for k in ("line", "bare", "code", "whole", "state"))
     rest = F.regexp_extract(state, rules.open_rest, 1)
     blank = line.rlike(rules.blank)
     if rules.blank_xml:
@@ -233,7 +239,7 @@ COUNTS = ("total", "ignored", "true_blank", "blank", "code", "comment", "inline"
 
 
 def counts(rules: Rules) -> Column:
-    """A struct of line counts per file from ``flags`` and ``codes``."""
+    """A struct of line counts per file of a scan."""
     with_dead, with_template = rules.dead is not None, bool(rules.params)
     measure, machine, content = rules.measure_block, R.MACHINE, rules.content_block
 
@@ -259,7 +265,7 @@ def counts(rules: Rules) -> Column:
             out.append(pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64()))
         return pa.StructArray.from_arrays(out, names=list(COUNTS))
 
-    return run(F.col("flags"), F.col("codes"))
+    return run(F.col("items.flags"), F.col("codes"))
 
 
 def is_code(code: Column) -> Column:

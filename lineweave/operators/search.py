@@ -43,8 +43,8 @@ def code(files: DataFrame, rules: Rules, keep: list[str] = ("file_id",)) -> Data
     """Search code lines of the measured block; strings and inline comments are left out unless the rules say otherwise."""
     plain = R.replace(rules, params=())
     s = rules.searches
-    one = scan.scanned(files, plain).select(*keep, F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("flags").alias("flag"), F.col("codes").alias("code"), F.col("numbers").alias("number"))).alias("x"))
-    c, line = F.col("x.code"), F.col("x.line")
+    one = scan.scanned(files, plain).select(*keep, F.explode(F.filter(scan.zipped(files), lambda x: scan.is_measured(x["codes"]))).alias("x"))
+    c, line = F.col("x.codes"), F.col("x.line")
     wanted = scan.is_comment(c) if rules.only_comments else F.lit(True) if rules.comments else ~scan.is_comment(c)
     text = line if rules.strings else scan.without_strings(line)
     text = text if rules.comments else scan.without_inline(text, rules.inline)

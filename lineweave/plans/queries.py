@@ -21,9 +21,10 @@ from lineweave.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-SEARCH = [(True, "throw", r"(?:throw new|raise) (\w+)"), (True, "call", r"(\w+)\(\w+\)"), (False, "cannot", "cannot")]
-WHOLE = [(True, "version", r"version (\d+)"), (True, "code", r"code (\d+)\."), (False, "manual", "according to the manual")]
-ROUTINES = [(True, "def", r"(?:def|func|function) (\w+)"), (True, "class", r"\bclass (\w+)"), (False, "async", "async")]
+# parameters are verbose expressions, so white space is written out
+SEARCH = [(True, "throw", r"(?:throw\s+new|raise)\s+(\w+)"), (True, "call", r"(\w+)\(\w+\)"), (False, "cannot", "cannot")]
+WHOLE = [(True, "version", r"version\s+(\d+)"), (True, "code", r"code\s+(\d+)\."), (False, "manual", r"according\s+to\s+the\s+manual")]
+ROUTINES = [(True, "def", r"(?:def|func|function)\s+(\w+)"), (True, "class", r"\bclass\s+(\w+)"), (False, "async", "async")]
 
 
 def query(f: Callable) -> Callable:
@@ -148,7 +149,7 @@ def search_code_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_comments_files(spark: SparkSession, sf: str) -> DataFrame:
-    return search.code(tree_text(spark, sf), R.rules_for("Code", [("ONLY_COMMENTS", None), ("INCLUDE_COMMENTS", None)], [(True, "word", r"cannot (\w+)")]))
+    return search.code(tree_text(spark, sf), R.rules_for("Code", [("ONLY_COMMENTS", None), ("INCLUDE_COMMENTS", None)], [(True, "word", r"cannot\s+(\w+)")]))
 
 
 @query

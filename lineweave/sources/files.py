@@ -42,9 +42,7 @@ def text_table(table: DataFrame, key: str, text: str, folder: Column, ext: Colum
 def skip_folders(files: DataFrame, globs: list[str]) -> DataFrame:
     """Leave out files below a folder whose name matches a glob."""
     parts = F.split("folder", "/")
-    for g in globs:
-        files = files.where(~F.exists(parts, lambda x, g=g: P.matches(x, g)))
-    return files
+    return files.where(~F.exists(parts, lambda x: P.matches_any(x, list(globs)))) if globs else files
 
 
 def include_folders(files: DataFrame, globs: list[str]) -> DataFrame:
