@@ -50,7 +50,7 @@ def to_java(pattern: str, verbose: bool = True, ignore_case: bool = True) -> str
         elif c == "{" and not (m := _QUANTIFIER.match(pattern, i)):
             out.append("\\{")
         elif c == "{":
-            out.append(m[0] if m[0] != "{}" and m[0] != "{,}" else "\\" + m[0][:-1] + "\\}")
+            out.append("{0" + m[0][1:] if m[0].startswith("{,") and m[0] != "{,}" else m[0] if m[0] not in ("{}", "{,}") else "\\" + m[0][:-1] + "\\}")
             i = m.end() - 1
         elif c == "}":
             out.append("\\}")

@@ -90,7 +90,7 @@ def document(files: DataFrame, keep: list[str] = ("file_id",)) -> DataFrame:
 
 def pdf_pages(files: DataFrame, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., doc_pages): page objects in a PDF's bytes."""
-    return files.where(P.code_extension(F.col("name")) == "pdf").select(*keep, F.regexp_count(F.decode("content", F.lit("ISO-8859-1")), F.lit(r"/Type */Page *>")).cast("long").alias("doc_pages"))
+    return files.where(P.code_extension(F.col("name")) == "pdf").select(*keep, F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type */Page *>")).cast("long").alias("doc_pages"))
 
 
 def metadata(files: DataFrame, depth: int = 7, dates: tuple = ("%Y-%m-%d",), tags: tuple = (), keep: list[str] = ("file_id",)) -> DataFrame:

@@ -18,7 +18,10 @@ BIG_FILE = 5_000_000
 
 
 def folder_tree(spark: SparkSession, roots: str | list[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """Files of one or several folder trees. Names and sizes come without reading content, unless it is asked for."""
+    """Files of one or several folder trees. Names and sizes come without reading content, unless it is asked for.
+
+    Files and folders whose name starts with a dot or underscore are not listed; Spark takes them for hidden ones.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -155,4 +158,4 @@ def delta(new: DataFrame, old: DataFrame, on: str = "path", deleted: bool = Fals
     changed = F.col("_there") & ~F.col("text").eqNullSafe(F.col("_old"))
     lines = _added(deleted, first_character_lost)(F.when(changed, F.col("text")), F.when(changed, F.col("_old")))
     text = F.when(F.col("_there").isNull(), F.col("text")).when(same, F.lit("")).otherwise(F.array_join(lines, "\n"))
-    return both.withColumn("text", text).withColumn("dupe_first_path", F.when(same, F.col(on))).drop("_on", "_old", "_there")
+    return both.withColumns({"dupe_first_path": F.when(same, F.col(on)), "text": text}).drop("_on", "_old", "_there")
