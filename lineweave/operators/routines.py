@@ -76,10 +76,13 @@ def routines(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_i
         out = [[dict(zip(_FIELDS, r, strict=True)) for r in cut_routines(f[a:b], c[a:b], d[a:b], rules)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.array(out, pa.list_(pa.struct([(n, pa.bool_() if n == "computed" else pa.int32()) for n in _FIELDS])))
 
-    one = s.withColumn("parts", parts("items.flags", "codes", "indents")).select(*keep, "items", F.explode("parts").alias("r"))
+    # the start line is looked up before the explode, so that no row carries its whole file along
+    first = lambda r: F.get("items", F.when(r["at"] >= 0, r["at"]))
+    found = s.withColumn("parts", parts("items.flags", "codes", "indents"))
+    one = found.select(*keep, F.explode(F.transform("parts", lambda r: F.struct(*(r[n].alias(n) for n in _FIELDS), first(r)["line"].alias("line"), first(r)["number"].alias("number")))).alias("r"))
     r = lambda n: F.col(f"r.{n}")
     long = lambda n: r(n).cast("long")
-    line = F.when(r("at") >= 0, F.get("items", r("at"))["line"])
+    line = r("line")
     if rules.searches:
         p = rules.searches
         at = p.index(line)
@@ -93,7 +96,7 @@ def routines(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_i
     some = lambda c: F.when(r("computed"), c)
     return one.select(
         *keep,
-        F.when(r("at") >= 0, F.coalesce(name, F.lit(""))).otherwise(R.NO_ROUTINE).alias("routine_name"), F.coalesce(strip(line), F.lit("")).alias("routine_line"), F.when(r("at") >= 0, F.get("items", r("at"))["number"]).otherwise(0).cast("string").alias("routine_linenum"),
+        F.when(r("at") >= 0, F.coalesce(name, F.lit(""))).otherwise(R.NO_ROUTINE).alias("routine_name"), F.coalesce(strip(line), F.lit("")).alias("routine_line"), F.when(r("at") >= 0, r("number")).otherwise(0).cast("string").alias("routine_linenum"),
         some(long("decisions")).alias("routine_c_decisions"), some(escapes).alias("routine_c_escapes"), some(long("cases")).alias("routine_c_cases"), some(long("booleans")).alias("routine_c_booleans"),
         long("nbnc").alias("routine_nbnc"), ranks.rank(r("nbnc"), ranks.ROUTINE_SIZE).alias("routine_nbnc_rank"), r("nesting").cast("string").alias("routine_nesting"), ranks.rank(r("nesting"), ranks.NESTING).alias("routine_nesting_rank"),
         complexity.alias("routine_complexity"), ranks.rank(complexity, ranks.COMPLEXITY).alias("routine_complexity_rank"), some(long("comments")).alias("routine_comments"), some(ranks.rank(density, ranks.COMMENT_DENSITY)).alias("routine_comments_rank"),

@@ -15,7 +15,7 @@ from lineweave.functions import ranks
 from lineweave.operators import aggregate, analyze, dupes, measure, output, powerbuilder, routines, search
 from lineweave.plans import config, jobs
 from lineweave.plans import rules as R
-from lineweave.session import ensure_checkpoint_dir, table
+from lineweave.session import ensure_checkpoint_dir, spread, table
 from lineweave.sources import files as S
 from lineweave.streaming import arrivals
 
@@ -34,7 +34,7 @@ def query(f: Callable) -> Callable:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files: folder = source, name = doc_id.lang."""
-    return S.text_table(table(spark, sf, "documents"), "doc_id", "text", F.col("source"), F.lower("lang"))
+    return S.text_table(spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang")), "doc_id", "text", F.col("source"), F.lower("lang"))
 
 
 def tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_text(spark: SparkSession, sf: str) -> DataFrame:
-    return S.with_text(S.gate(tree(spark, sf)))
+    return S.with_text(S.gate(S.with_names(spread(table(spark, sf, "file_tree").select("file_id", "path", "size", "content")))))
 
 
 def once(rows: DataFrame, key: str) -> DataFrame:
@@ -155,7 +155,7 @@ def search_comments_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def search_by_config(spark: SparkSession, sf: str) -> DataFrame:
     entries = [e for e in config.from_table(table(spark, sf, "config_entries")) if e.verb == "search"]
-    found = jobs.run(tree(spark, sf), entries)
+    found = jobs.run(S.with_names(spread(table(spark, sf, "file_tree").select("file_id", "path", "size", "content"))), entries)
     rows = reduce(lambda a, b: a.unionByName(b, True), [r.rows for r in found])
     return rows.groupBy("entry").agg(F.count("*").alias("hits"), F.countDistinct("file_id").alias("files"))
 

@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than half the cores and few splits, dealt out to all cores; any other as it is read.
+
+    Splits of one file may hold nothing, as a row group is never split. Regular expressions over text cost far more than
+    moving it once, so one small file should not keep a cluster waiting.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() <= 4 * cores and len(df.inputFiles()) <= cores // 2
+    return df.repartition(cores) if few else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder (``spark.checkpoint.dir``); set an own one only where it is unset."""
     sc = spark.sparkContext
