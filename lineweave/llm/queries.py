@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import handwritten, leakage, mojibake, packing, quantiles, secrets, topn, truncation
-from lineweave.session import table
+from lineweave.session import spread
+from lineweave.session import table as stored
+
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(stored(spark, sf, name))
+
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
