@@ -186,7 +186,7 @@ def _end(text: str, frequent: frozenset[str]) -> tuple:
 def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", stated: str = "n_chars", share: float = SHARE) -> DataFrame:
     """One row per non-empty text with all evidence on its end and the verdict ``cut``."""
     spark = documents.sparkSession
-    rows = documents.where(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(stated).cast("long").alias("stated"))
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).rlike(r"\S")).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(stated).cast("long").alias("stated"))
     words = checkpointed(rows.mapInArrow(_vocabulary, "lang string, word string, texts long").groupBy("lang", "word").agg(F.sum("texts").alias("texts")))
     total = words.where("word = ''").select("lang", F.col("texts").alias("all"))
     often = words.where("word <> ''").join(F.broadcast(total), "lang").where((F.col("texts") >= share * F.col("all")) & (F.col("all") >= 20))
