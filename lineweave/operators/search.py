@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.functions import paths as P
 from lineweave.functions import text as T
 from lineweave.functions.regex import strip
 from lineweave.operators import scan
@@ -50,3 +51,31 @@ def code(files: DataFrame, rules: Rules, keep: list[str] = ("file_id",)) -> Data
     text = text if rules.comments else scan.without_inline(text, rules.inline)
     hit = one.where(scan.is_measured(c) & wanted).withColumn("_t", text).withColumn("_h", s.index(F.col("_t"))).where("_h is not null")
     return hit.select(*keep, F.left(strip(line), F.lit(T.WIDTH)).alias("search_line"), F.col("x.number").cast("string").alias("search_linenum"), F.left(s.match(F.col("_h"), F.col("_t")), F.lit(T.WIDTH)).alias("search_match"), s.raw(F.col("_h")).alias("search_regex"), s.regex(F.col("_h")).alias("search_regex_full"))
+
+
+def lines_by_entry(files: DataFrame, entries: list[tuple[int, list[str], Rules]], keep: list[str] = ("file_id",)) -> DataFrame:
+    """``lines`` for several entries (number, file filters, rules) in one pass over each file, with their number as ``entry``.
+
+    A line's hits are an array with one element per entry that wants it, so a file is read and split once however many
+    entries search it.
+    """
+    own = files.where(F.col("text").isNotNull()).withColumn("_lines", T.lines_of(F.col("text")))
+    searches = {number: rules.searches for number, _, rules in entries}
+
+    def hits(number: int):
+        tried = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("n"), T.strip_nul(x).alias("t"), searches[number].index(T.strip_nul(x)).alias("h")))
+        return F.filter(tried, lambda x: x["h"].isNotNull())
+
+    per = [F.when(P.matches_any(F.col("name"), list(filters)), F.struct(F.lit(number).alias("entry"), hits(number).alias("hits"))) for number, filters, _ in entries]
+    one = own.select(*keep, F.size("_lines").cast("long").alias("file_total"), F.explode(F.array_compact(F.array(*per))).alias("e")).where(F.size("e.hits") > 0)
+    one = one.select(*keep, "file_total", F.size("e.hits").cast("long").alias("search_total"), F.col("e.entry").alias("entry"), F.explode("e.hits").alias("x"))
+    line = F.col("x.t")
+
+    def choose(make):
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for number, own in searches.items():
+            out = out.when(F.col("entry") == number, make(own))
+        return out
+
+    at = F.col("x.h")
+    return one.select(*keep, "entry", T.printable(F.left(strip(line), F.lit(T.WIDTH))).alias("search_line"), F.col("x.n").cast("long").alias("search_linenum"), F.left(choose(lambda s: s.match(at, line)), F.lit(T.WIDTH)).alias("search_match"), choose(lambda s: s.raw(at)).alias("search_regex"), choose(lambda s: s.regex(at)).alias("search_regex_full"), "file_total", "search_total")

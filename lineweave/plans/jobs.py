@@ -64,12 +64,32 @@ def run(files: DataFrame, entries: list[Entry], options: tuple = (), override: l
     """All entries over ``files``, united per verb: rows (file_id, entry, out, tag1..., measures that pass the entry's filter)."""
     pairs = joined(files, entries)
     by_verb: dict[str, list[DataFrame]] = {}
-    for i, entry in enumerate(entries):
-        mine = pairs.where(F.col("entry") == i)
-        rows = run_entry(mine, entry, options, ["file_id", "entry"])
+
+    def add(i: int, rows: DataFrame) -> None:
+        entry = entries[i]
         names = {c: report_name(c) for c in rows.columns if c not in ("file_id", "entry")}
         kept = set(P.filter_measures(list(names.values()), override or list(entry.measure_filters)))
         tags = [F.lit(t).alias(f"tag{n}") for n, t in enumerate(entry.plain_tags, 1)]
         kind = "analyze " + entry.module if entry.verb == "analyze" else entry.verb
-        by_verb.setdefault(kind, []).append(rows.select("file_id", "entry", F.lit(entry.out).alias("out"), *tags, *(c for c, n in names.items() if n in kept)))
+        by_verb.setdefault(kind, []).append(rows.select("file_id", F.lit(i).alias("entry"), F.lit(entry.out).alias("out"), *tags, *(c for c, n in names.items() if n in kept)))
+
+    # searches of raw lines that open files alike share one pass
+    alike: dict[tuple, list[int]] = {}
+    for i, entry in enumerate(entries):
+        if (entry.module, entry.verb) == ("Search", "search"):
+            alike.setdefault((str(sorted(entry.rules(options).base.items(), key=str)), entry.measure_filters, entry.out), []).append(i)
+    shared: set[int] = set()
+    for own in alike.values():
+        if len(own) > 1:
+            shared |= set(own)
+            first = entries[own[0]]
+            rows = search.lines_by_entry(_prepared(files, first.rules(options)), [(i, list(entries[i].file_filters), entries[i].rules(options)) for i in own])
+            names = {c: report_name(c) for c in rows.columns if c not in ("file_id", "entry")}
+            kept = set(P.filter_measures(list(names.values()), override or list(first.measure_filters)))
+            most = max(len(entries[i].plain_tags) for i in own)
+            tags = [F.element_at(F.create_map(*(x for i in own for x in (F.lit(i), F.lit(entries[i].plain_tags[n] if n < len(entries[i].plain_tags) else None).cast("string")))), F.col("entry")).alias(f"tag{n + 1}") for n in range(most)]
+            by_verb.setdefault("search", []).append(rows.select("file_id", "entry", F.lit(first.out).cast("string").alias("out"), *tags, *(c for c, n in names.items() if n in kept)))
+    for i, entry in enumerate(entries):
+        if i not in shared:
+            add(i, run_entry(pairs.where(F.col("entry") == i), entry, options, ["file_id", "entry"]))
     return [Result(verb, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)) for verb, parts in by_verb.items()]

@@ -126,6 +126,16 @@ def test_jobs(files):
     assert api.measure_text(files, "analyze DupeLines * *").where("dupeline_count > 1").count() == 1
 
 
+def test_searches_share_a_pass(files):
+    text = "search Search search.* *.py a\nPOSITIVE__def\\s+(\\w+)\nsearch_end\nsearch Search search.* * b\nPOSITIVE__x\\s*=\nNEGATIVE__==\nsearch_end\n"
+    entries = config.parse(text)
+    both = jobs.run(files, entries)[0].rows
+    one = [jobs.run(files, [e])[0].rows for e in entries]
+    columns = ["file_id", "tag1", "search_line", "search_linenum", "search_match", "search_regex", "search_total"]
+    want = {tuple(r) for d in one for r in d.select(columns).collect()}
+    assert {tuple(r) for r in both.select(columns).collect()} == want and both.count() == sum(d.count() for d in one)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.py").write_text(CODE)
