@@ -66,6 +66,7 @@ RULES: dict[str, str] = {
     "opaque": r"(?:=|:)\s*([\"'])([A-Za-z0-9+/_\-]{16,}={0,2})\1",
 }
 _COMPILED = {k: re.compile(v) for k, v in RULES.items()}
+_NEXT_PIECE = re.compile(r"\s*(?:\+|\.|&|\.\.|\|\|)\s*([\"'])([^\"'\s]+)\1")
 _ANY_WORD = re.compile(_WORDS, re.I)
 _MARKER = r"^\W*-----(BEGIN|END) ([A-Z0-9 ]+)-----\W*$"
 _BODY = r"^\s*[A-Za-z0-9+/]{20,}={0,2}\s*$"
@@ -199,13 +200,17 @@ def spans(line: str, rules: list[str] | None = None) -> list[tuple[int, int]]:
             elif name == "pem":
                 take(m, 1)
             elif name == "pieces":
-                whole = m[2] + m[4]
+                parts, end = [m.span(2), m.span(4)], m.end()
+                while more := _NEXT_PIECE.match(line, end):
+                    parts.append(more.span(2))
+                    end = more.end()
+                whole = "".join(line[b:e] for b, e in parts)
                 hexed = re.fullmatch(r"[0-9a-f]{28,}|[0-9A-F]{28,}", whole)
                 named = (n := re.match(rf"(?i)[^\w]*({_NAME})", line)) and _is_name(n[1])
                 if sample or not literal_secret(whole) or _CONTEXT_NOT.search(line[: m.start()]):
                     continue
                 if named and strong(whole) or hexed or _KNOWN.search(whole) or (len(whole) >= 14 and (opaque(whole) or _mixed(whole))):
-                    found.extend((m.span(2), m.span(4)))
+                    found.extend(parts)
             elif name == "opaque" and not sample and not _CONTEXT_NOT.search(line[: m.start(2)]) and opaque(m[2]):
                 take(m, 2)
     return sorted(set(found))
