@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineweave.operators import aggregate, output
+from lineweave.operators import aggregate, dupes, output
 from lineweave.plans import config, jobs
 from lineweave.sources import files as S
 
 
-def measure_folders(spark: SparkSession, roots: list[str], entries: list[config.Entry], recursive: bool = True, skip_folders: list[str] = (), include: list[str] = (), only: list[str] = (), skip: list[str] = (), options: tuple = (), override: list[str] | None = None) -> list[jobs.Result]:
-    """Run entries over folder trees."""
+def measure_folders(spark: SparkSession, roots: list[str], entries: list[config.Entry], recursive: bool = True, skip_folders: list[str] = (), include: list[str] = (), only: list[str] = (), skip: list[str] = (), options: tuple = (), override: list[str] | None = None, older: str | None = None) -> list[jobs.Result]:
+    """Run entries over folder trees; with ``older`` (a tree with the same relative paths) over what is new in them."""
     found = S.folder_tree(spark, roots, recursive)
+    if older:
+        relative = lambda df, tops: df.withColumn("relative", F.coalesce(*(F.nullif(F.regexp_extract("path", f"^{re.escape(t.rstrip('/'))}/(.*)$", 1), F.lit("")) for t in tops)))
+        old = relative(S.with_text(S.gate(S.folder_tree(spark, older, recursive))), [older])
+        found = S.delta(relative(S.with_text(S.gate(found)), roots), old, "relative").drop("content")
     found = S.select_files(S.include_folders(S.skip_folders(found, list(skip_folders)), list(include)), list(only), list(skip))
     return jobs.run(found, entries, options, override)
 
@@ -26,6 +32,17 @@ def measure_text(files: DataFrame, entry: str, params: list[str] = ()) -> DataFr
     return jobs.run_entry(files, one)
 
 
+def marked(spark: SparkSession, a: argparse.Namespace, result: jobs.Result) -> DataFrame:
+    """Measures whose files repeat an earlier one blanked, by checksum or by name and size."""
+    names = S.folder_tree(spark, a.paths, not a.flat).select("file_id", "path", "name", F.col("size").alias("_size"))
+    rows = result.rows.join(names, "file_id")
+    if a.dupes == "crc":
+        found = dupes.by_key(rows, F.col("nbnc_crc") if "nbnc_crc" in rows.columns else F.lit(None).cast("string"))
+    else:
+        found = dupes.by_size(rows, size="_size", config=F.col("entry").cast("string"), threshold=int(a.dupes))
+    return dupes.blanked(found.drop("path", "name", "_size"), ["file_id", "entry", "out"])
+
+
 def main(args: list[str] | None = None) -> int:
     """lineweave [options] folder...: measure folders and write one folder of reports per verb."""
     p = argparse.ArgumentParser(prog="lineweave")
@@ -33,6 +50,9 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-c", "--config", help="config file")
     p.add_argument("-cc", "--entry", action="append", default=[], help="ad-hoc entry")
     p.add_argument("-a", "--all", choices=["a", "an", "ad", "am"], help="measure everything by a preset")
+    p.add_argument("-ci", "--config-info", action="store_true", help="show which files which entries want, and stop")
+    p.add_argument("-d", "--delta", help="older tree: measure only what is new")
+    p.add_argument("-e", "--dupes", nargs="?", const="crc", help="mark duplicate files: crc (default), or a size threshold")
     p.add_argument("-f", "--filter", action="append", help="measure filter instead of those of the entries")
     p.add_argument("-i", "--include", action="append", default=[], help="folder glob")
     p.add_argument("-n", "--flat", action="store_true", help="do not descend")
@@ -51,8 +71,12 @@ def main(args: list[str] | None = None) -> int:
     entries += [config.parse_entry(e) for e in a.entry]
     if not entries:
         p.error("nothing to do: give -c, -cc or -a")
-    for result in measure_folders(spark, a.paths, entries, not a.flat, a.skip_folder, a.include, (), a.skip_file, (), a.filter):
-        rows = result.rows
+    if a.config_info:
+        for r in config.joined(S.folder_tree(spark, a.paths, not a.flat), entries).select("path", "entry").orderBy("path", "entry").toLocalIterator():
+            print(f"{r.path}\t{entries[r.entry]}")
+        return 0
+    for result in measure_folders(spark, a.paths, entries, not a.flat, a.skip_folder, a.include, (), a.skip_file, (), a.filter, a.delta):
+        rows = marked(spark, a, result) if a.dupes and result.verb in ("measure", "tempmeasure") else result.rows
         if a.group and a.group[0] in rows.columns:
             rows = aggregate.grouped(rows.drop("entry", "out"), a.group[0], threshold=("aggregate_count", float(a.group[1])))
         if a.totals:

@@ -23,7 +23,6 @@ MOST_ROUNDS = 10
 END = {("Search", "search"): "search_end", ("Search", "search_multi"): "search_end", ("Code", "search"): "search_end", ("Code", "routines"): "routines_end", ("Code", "tempmeasure"): "tempmeasure_end"}
 VERBS = {"Code": ("measure", "tempmeasure", "routines", "search"), "Search": ("search", "search_multi"), "NBNC": ("measure",), "Document": ("measure",), "DupeLines": ("analyze",), "Depends": ("analyze",)}
 MEASURES = {"Code": ("file.*", "nbnc.*", "routine.*", "search.*"), "Search": ("search.*", "file.total"), "NBNC": ("file.*",), "Document": ("file.*", "doc.*"), "DupeLines": ("DupeLine.*",), "Depends": ("Depend.*",)}
-_FAMILY = {"Web", "customDelphi", "customCobol", "customProlog", "customPowerBuilder"}
 
 # Presets of a scan of everything: measures, files, options.
 PRESETS = {
@@ -90,7 +89,8 @@ def parse_entry(line: str) -> Entry:
 
 
 def _family(module: str) -> str:
-    return "Code" if module in _FAMILY else module
+    """The module whose verbs and measures hold: rule sets that are registered behave as Code."""
+    return module if module in VERBS else "Code"
 
 
 def param(line: str, raw: str) -> tuple[bool, str, str]:

@@ -118,6 +118,13 @@ COBOL = Rules(module="customCobol", blank=COBOL_BLANK)
 PROLOG = Rules(module="customProlog")  # its own comment rules were never in force
 MODULES: dict[str, Rules] = {r.module: r for r in (CODE, NBNC, WEB, DELPHI, COBOL, PROLOG)} | {m: replace(CODE, module=m) for m in ("DupeLines", "Depends", "customPowerBuilder")} | {"Search": replace(NBNC, module="Search"), "Document": replace(NBNC, module="Document")}
 
+
+def register(rules: Rules) -> Rules:
+    """Make a rule set of one's own known under its module's name, for entries of a config to use."""
+    MODULES[rules.module] = rules
+    return rules
+
+
 BASE_OPTIONS = ("MEASURE_FILTER", "METADATA", "METADATA_ALL", "METADATA_DEBUG", "METADATA_ONLY", "IGNORE_NONCODE", "IGNORE_SIZE", "IGNORE_BINARY", "IGNORE_PATH", "DELTA_INCL_DELETED")
 
 

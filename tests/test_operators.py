@@ -145,6 +145,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert "measure\tfile_nbnc\t" in capsys.readouterr().out
 
 
+def test_command_line_dupes_delta_info(spark, tmp_path, capsys):
+    for name, text in (("new/a.c", "x = 1;\ny = 2;\n"), ("new/b.c", "x = 1;\ny = 2;\n"), ("new/c.c", "z = 3;\nq = 4;\n"), ("old/c.c", "z = 3;\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    new, old = str(tmp_path / "new"), str(tmp_path / "old")
+    assert api.main(["-cc", "measure Code * *.c", "-ci", new]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    assert api.main(["-cc", "measure Code * *.c", "-e", "-t", new]) == 0
+    out = dict(line.split("\t")[1:] for line in capsys.readouterr().out.splitlines())
+    assert out["file_nbnc"] == "4" and out["dupe_nbnc"] == "2"
+    assert api.main(["-cc", "measure Code * *.c", "-d", old, "-t", new]) == 0
+    assert "file_nbnc\t5" in capsys.readouterr().out
+
+
+def test_register(files):
+    own = R.register(R.replace(R.CODE, module="customSemicolon", single=";;"))
+    try:
+        entry = config.parse("measure customSemicolon file.* *")[0]
+        assert jobs.run_entry(files.withColumn("text", F.lit(";; note\nplain code\n")), entry).first().file_comment == 1 and own.single == ";;"
+    finally:
+        R.MODULES.pop("customSemicolon")
+
+
 def test_stream(spark, files, tmp_path):
     files.select("file_id", "text").write.parquet(str(tmp_path / "in"))
     stream = arrivals.arriving(spark, str(tmp_path / "in"), files.select("file_id", "text").schema)
