@@ -85,5 +85,5 @@ def test_not_hand_written(spark, tree):
 
 def test_traits_of_heads():
     assert handwritten.head(None, False) == {} and handwritten.head(b"", False) == {}
-    assert handwritten.periodicity(handwritten.skeletons([f"x[{i}] = {i * 3};" for i in range(12)])) == 1
+    assert handwritten.periodicity(handwritten.skeletons("\n".join(f"x[{i}] = {i * 3};" for i in range(12)))) == 1
     assert handwritten.decode("é".encode("utf-16")) == "é" and handwritten.decode(b"\xe9t\xe9 und mehr") == "été und mehr"
