@@ -74,4 +74,5 @@ def _merged(rows: DataFrame, key: str, name: str, kind: T.MapType, when) -> Data
 def job_counts(selected: DataFrame, all_files: DataFrame, rows: DataFrame) -> DataFrame:
     """(folders, unfiltered_files, measured_files, measure_rows) of a job."""
     parts = [all_files.agg(F.countDistinct("folder").alias("folders"), F.count("*").alias("unfiltered_files")), selected.agg(F.countDistinct("file_id").alias("measured_files")), rows.agg(F.count("*").alias("measure_rows"))]
-    return reduce(lambda a, b: a.join(b, F.lit(True)), parts)
+    names = [c for p in parts for c in p.columns]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*(F.max(c).alias(c) for c in names))

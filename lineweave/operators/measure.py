@@ -19,8 +19,8 @@ def _positive(value: Column, rules: Rules) -> Column:
 
 def nbnc(files: DataFrame, rules: Rules = R.NBNC, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., file_total, file_nbnc, file_comment): lines, code lines and comment lines of every file, empty ones included."""
-    n = scan.scanned(files, rules).withColumn("n", scan.counts(rules))
-    return n.select(*keep, F.col("n.total").alias("file_total"), F.col("n.code").alias("file_nbnc"), F.col("n.comment").alias("file_comment"))
+    n = scan.scanned(files, rules).withColumn("_n", scan.counts(rules))
+    return n.select(*keep, F.col("_n.total").alias("file_total"), F.col("_n.code").alias("file_nbnc"), F.col("_n.comment").alias("file_comment"))
 
 
 def code(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",), routines: bool = False, checksums: bool = True) -> DataFrame:
@@ -29,13 +29,13 @@ def code(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",)
     Measures that are written only when positive are null otherwise. ``file_bytes`` is taken from ``size`` where there is
     one. With ``routines`` decisions and routines are left to the routine measures.
     """
-    s = scan.scanned(files, rules, routines=routines).withColumn("n", scan.counts(rules))
-    n = lambda c: F.col(f"n.{c}")
+    s = scan.scanned(files, rules, routines=routines).withColumn("_n", scan.counts(rules))
+    n = lambda c: F.col(f"_n.{c}")
     noted = n("comment") + (n("inline") if rules.inline_is_comment else 0)
     ratio = F.when(n("comment") > 0, n("code") / n("comment")).otherwise(0.0)
     columns = [
         n("total").alias("file_total"),
-        F.when(F.col("raw_count") != n("total"), F.col("raw_count")).alias("file_raw_total"),
+        F.when(F.col("_raw_count") != n("total"), F.col("_raw_count")).alias("file_raw_total"),
         _positive(n("ignored"), rules).alias("file_ignored"),
         n("true_blank").alias("file_blank_only"),
         n("code").alias("file_nbnc"),
@@ -59,11 +59,11 @@ def code(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",)
     if "size" in files.columns:
         size = F.col("size").cast("long")
         columns += [size.alias("file_bytes"), F.when((size > 0) & (n("code") > 0) & (n("code") > n("machine")) & (n("code") > n("content")), size / n("code")).alias("nbnc_byte_ratio")]
-    semicolons = F.aggregate(F.zip_with("items", "codes", lambda x, c: F.when(scan.is_code(c), F.length(x["code"]) - F.length(F.replace(x["code"], F.lit(";")))).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
+    semicolons = F.aggregate(F.zip_with("_items", "_codes", lambda x, c: F.when(scan.is_code(c), F.length(x["code"]) - F.length(F.replace(x["code"], F.lit(";")))).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
     columns.append(F.nullif(semicolons, F.lit(0)).alias("nbnc_semicolons"))
     if checksums:
         raw = F.regexp_replace("text", "\r\n|\r", "\n")
-        columns += [T.adler32_of_code(F.col("items.line"), F.transform("codes", scan.is_code)).cast("string").alias("nbnc_crc"), T.adler32_of_text(raw).cast("string").alias("file_crc")]
+        columns += [T.adler32_of_code(F.col("_items.line"), F.transform("_codes", scan.is_code)).cast("string").alias("nbnc_crc"), T.adler32_of_text(raw).cast("string").alias("file_crc")]
     return s.select(*keep, *columns)
 
 

@@ -66,7 +66,7 @@ def routines(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_i
     Complexity is decisions + escapes (at least one) + cases, as the rules say which count. Files without a routine have no
     row unless the rules group their lines as one.
     """
-    s = scan.scanned(files, rules, routines=True).withColumn("indents", F.transform("items.line", lambda x: T.indent(x, rules.nesting_indent)))
+    s = scan.scanned(files, rules, routines=True).withColumn("_indents", F.transform("_items.line", lambda x: T.indent(x, rules.nesting_indent)))
     kind = "array<struct<" + ",".join(f"{n}:{'boolean' if n == 'computed' else 'int'}" for n in _FIELDS) + ">>"
 
     @F.arrow_udf(kind)
@@ -77,9 +77,9 @@ def routines(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_i
         return pa.array(out, pa.list_(pa.struct([(n, pa.bool_() if n == "computed" else pa.int32()) for n in _FIELDS])))
 
     # the start line is looked up before the explode, so that no row carries its whole file along
-    first = lambda r: F.get("items", F.when(r["at"] >= 0, r["at"]))
-    found = s.withColumn("parts", parts("items.flags", "codes", "indents"))
-    one = found.select(*keep, F.explode(F.transform("parts", lambda r: F.struct(*(r[n].alias(n) for n in _FIELDS), first(r)["line"].alias("line"), first(r)["number"].alias("number")))).alias("r"))
+    first = lambda r: F.get("_items", F.when(r["at"] >= 0, r["at"]))
+    found = s.withColumn("_parts", parts("_items.flags", "_codes", "_indents"))
+    one = found.select(*keep, F.explode(F.transform("_parts", lambda r: F.struct(*(r[n].alias(n) for n in _FIELDS), first(r)["line"].alias("line"), first(r)["number"].alias("number")))).alias("r"))
     r = lambda n: F.col(f"r.{n}")
     long = lambda n: r(n).cast("long")
     line = r("line")

@@ -51,14 +51,14 @@ def without_inline(line: Column, inline: tuple) -> Column:
 
 
 def scanned(files: DataFrame, rules: Rules, routines: bool = False, text: str = "text") -> DataFrame:
-    """``files`` with ``items``, an array of structs over its lines, and ``codes``.
+    """``files`` with ``_items``, an array of structs over its lines, and ``_codes``.
 
     An item has the raw line's ``number``, the ``line`` as cut, ``code`` (no strings, no inline comments) and its ``flags``. Each is
     made from the item before it, element by element, so no step looks into another array. A null or empty text has no
-    items. ``raw_count`` is the number of lines before a line separator splits them.
+    items. ``_raw_count`` is the number of lines before a line separator splits them.
     """
     all_lines = T.lines_of(F.col(text))
-    raw = files.withColumn("raw_count", F.size(all_lines).cast("long"))
+    raw = files.withColumn("_raw_count", F.size(all_lines).cast("long"))
     if rules.separator:
         items = F.flatten(F.transform(all_lines, lambda x, i: F.transform(F.split(x, _literal(rules.separator), -1), lambda y: F.struct((i + 1).alias("number"), x.alias("whole"), T.cut(y, rules.width).alias("line")))))
     else:
@@ -68,13 +68,13 @@ def scanned(files: DataFrame, rules: Rules, routines: bool = False, text: str =
     items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["whole"].alias("whole"), s["line"].alias("line"), s["bare"].alias("bare"), without_inline(s["bare"], rules.inline).alias("code"), (strip(s["line"]) if rules.python else s["bare"]).alias("state")))
     edges = [_edges] if any(rules.detectors) else []
     items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), _flags(s, rules, routines).alias("flags"), *(e(s["line"], rules).alias("edges") for e in edges)))
-    made = raw.withColumn("items", items)
-    return made.withColumn("codes", _automata(rules)(F.col("items.flags"), F.col("items.edges") if edges else F.lit(None).cast("array<bigint>")))
+    made = raw.withColumn("_items", items)
+    return made.withColumn("_codes", _automata(rules)(F.col("_items.flags"), F.col("_items.edges") if edges else F.lit(None).cast("array<bigint>")))
 
 
 def zipped(files: DataFrame) -> Column:
-    """``items`` with the code of each line as ``codes``."""
-    return F.zip_with("items", "codes", lambda s, c: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), s["flags"].alias("flags"), c.alias("codes")))
+    """``_items`` with the code of each line as ``codes``."""
+    return F.zip_with("_items", "_codes", lambda s, c: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), s["flags"].alias("flags"), c.alias("codes")))
 
 
 def _literal(text: str) -> str:
@@ -265,7 +265,7 @@ def counts(rules: Rules) -> Column:
             out.append(pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64()))
         return pa.StructArray.from_arrays(out, names=list(COUNTS))
 
-    return run(F.col("items.flags"), F.col("codes"))
+    return run(F.col("_items.flags"), F.col("_codes"))
 
 
 def is_code(code: Column) -> Column:

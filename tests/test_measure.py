@@ -121,6 +121,9 @@ def test_options(spark):
 def test_extra_columns_and_empty_tables(spark):
     files = spark.createDataFrame([(1, "x", 5, ["a"], 3)], "file_id long, text string, flags int, items array<string>, total int")
     assert measure.nbnc(files).first().file_nbnc == 1
+    clash = files.select("file_id", "text", "items", F.lit(1).alias("codes"), F.lit(2).alias("n"), F.lit(3).alias("lines"))
+    r = measure.code(clash, keep=["file_id", "items", "codes", "n", "lines"]).first()
+    assert (r["items"], r.codes, r.n, r.lines, r.file_nbnc) == (["a"], 1, 2, 3, 1)
     assert measure.code(files.limit(0)).count() == 0 and measure.document(files.limit(0)).count() == 0
 
 
