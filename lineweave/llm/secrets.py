@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lineweave.llm import trigrams
 
 LONGEST_BLOCK = 512
+LONGEST_BLIND = 64
 CUT = 245  # lines are stored up to 255 characters, less what was trimmed
 MASK = "[MASKED]"
 
@@ -276,11 +277,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def key_material(lines: DataFrame) -> DataFrame:
     """(id, match) of lines inside private key blocks; input (id, file, file_id, number, line, match)."""
     marks = lines.where(F.col("line").rlike(_MARKER)).select("file", "file_id", "number", F.regexp_extract("line", _MARKER, 1).alias("edge"), F.regexp_extract("line", _MARKER, 2).alias("kind")).distinct()
-    order = Window.partitionBy("file").orderBy("number", F.col("edge").desc())
+    # files of one name are told apart by their id, which also keeps a common name from being one group;
+    # markers that were delivered without an id have only each other, and a shorter reach
+    order = Window.partitionBy("file", "file_id").orderBy("number", F.col("edge").desc())
+    reach = F.when(F.col("file_id").isNull(), LONGEST_BLIND).otherwise(LONGEST_BLOCK)
     near = marks.select("*", F.lead("edge").over(order).alias("next_edge"), F.lead("kind").over(order).alias("next_kind"), F.lead("number").over(order).alias("next"), F.lag("edge").over(order).alias("last_edge"), F.lag("number").over(order).alias("last"))
     private = near.where(F.col("kind").endswith("PRIVATE KEY"))
-    opened = private.where("edge = 'BEGIN'").select("file", "file_id", F.col("number").alias("low"), F.least(F.coalesce("next", F.col("number") + LONGEST_BLOCK), F.col("number") + LONGEST_BLOCK).alias("high"))
-    closed = private.where("edge = 'END' and (last_edge is null or last_edge = 'END')").select("file", "file_id", F.greatest(F.coalesce("last", F.col("number") - LONGEST_BLOCK), F.col("number") - LONGEST_BLOCK).alias("low"), F.col("number").alias("high"))
+    opened = private.where("edge = 'BEGIN'").select("file", "file_id", F.col("number").alias("low"), F.least(F.coalesce("next", F.col("number") + reach), F.col("number") + reach).alias("high"))
+    closed = private.where("edge = 'END' and (last_edge is null or last_edge = 'END')").select("file", "file_id", F.greatest(F.coalesce("last", F.col("number") - reach), F.col("number") - reach).alias("low"), F.col("number").alias("high"))
     blocks = opened.unionByName(closed).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / LONGEST_BLOCK), F.floor(F.col("high") / LONGEST_BLOCK)))).withColumnRenamed("file_id", "block_file")
     body = lines.where(F.col("line").rlike(_BODY)).withColumn("bucket", F.floor(F.col("number") / LONGEST_BLOCK))
     inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & (F.col("file_id").isNull() | F.col("block_file").isNull() | (F.col("file_id") == F.col("block_file")))
