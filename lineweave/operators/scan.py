@@ -39,7 +39,8 @@ def _any(bits: list[Column]) -> Column:
 
 
 def without_strings(line: Column) -> Column:
-    return strip(F.regexp_replace(line, R.STRING, ""))
+    quoted = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
+    return strip(F.when(quoted, F.regexp_replace(line, R.STRING, "")).otherwise(line))
 
 
 def without_inline(line: Column, inline: tuple) -> Column:
@@ -118,14 +119,18 @@ def _flags(item: Column, rules: Rules, routines: bool) -> Column:
 
 
 def _edges(line: Column, rules: Rules) -> Column:
-    bits, k = [], 0
+    parts, k = [], 0
     for block in rules.detectors:
+        starts, ends = [], []
         for start, end in block:
-            bits.append(_bit(line.rlike(start), 1 << k))
+            starts.append(_bit(line.rlike(start), 1 << k).cast("long"))
             if end is not None:
-                bits.append(_bit(line.rlike(end), 1 << (k + 1)))
+                ends.append(_bit(line.rlike(end), 1 << (k + 1)).cast("long"))
             k += 2
-    return _any([b.cast("long") for b in bits])
+        if starts:
+            parts.append(F.when(line.rlike(R.MACHINE_HINT), _any(starts)).otherwise(F.lit(0).cast("long")) if block == R.MACHINE_DETECTORS else _any(starts))
+        parts += ends
+    return _any(parts)
 
 
 def _automata(rules: Rules):

@@ -18,6 +18,10 @@ BLANK_XML = _I + r"^\s*<[\w/\\]*?>\s*$"
 SINGLE = r"//|#(?!\||def|inc|if|else|region)|;|--(?!\[)|'(?![^']+?')|rem|!|%"
 OPEN = r"/\*|--\[\[|=(?:begin|head)|#\||\{-|<!--|<%--"
 CLOSE = r"\*/|\]\]|=(?:cut|end)|\|#|-\}|-->|--%>"
+# The characters that an opening or closing mark can start with, looked at before the alternatives are tried; and words of which
+# every start of a machine-made part holds one.
+OPEN_FIRST, CLOSE_FIRST = r"(?=[/\-=#{<])", r"(?=[*\]=|\-%])"
+MACHINE_HINT = _I + "(?=[gcnGCN])(?:generated|created|not)"
 QUOTES = "\"\"\"|'''"
 STRING = "(?Ud)" + r"\"(?!\").+?\"|'(?!').+?'"
 MACHINE_DETECTORS = (
@@ -103,11 +107,11 @@ class Rules:
 
     @property
     def open_rest(self) -> str:
-        return _I + f"(?:{self.open})(.*)"
+        return _I + (OPEN_FIRST if self.open == OPEN else "") + f"(?:{self.open})(.*)"
 
     @property
     def close_rest(self) -> str:
-        return _I + f"(?:{self.close})(.*)"
+        return _I + (CLOSE_FIRST if self.close == CLOSE else "") + f"(?:{self.close})(.*)"
 
 
 CODE = Rules()
