@@ -3,7 +3,8 @@
 A best-first search walks over re-encode, decode and unescape operations from a token as it stands. States are visited
 once (by hash); the cost that guides the search and picks the answer is the implausibility of the characters under a
 model of the corpus: the negative log of the joint probability of neighbouring characters, counted over all tokens without
-a replacement or control character, and a price on characters that the corpus does not know. A token whose cheapest reachable
+a replacement or control character, and a price on characters that the corpus does not know. Tokens that are UTF-8 once encoded
+again are not counted, or one in every row would teach the model that it is plausible. A token whose cheapest reachable
 text is clearly cheaper than itself was garbled; foreign or odd text has no cheaper text to go to.
 
 Spark side: the distinct tokens with characters beyond ASCII are searched once each, however often they occur.
@@ -71,6 +72,7 @@ def _decode(raw: bytes, name: str) -> str | None:
 
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 _BY_CHARACTER = tuple(n for n in READ_AS if n not in ("cp932", "gbk"))
+_WESTERN = ("cp1252", "latin-1")  # one sequence is enough: their accented letters are not followed by signs in words
 
 
 def _utf8_within(text: str, name: str) -> str:
@@ -87,6 +89,18 @@ def _utf8_within(text: str, name: str) -> str:
     return "".join(out) + text[last:] if out else text
 
 
+def reads_as_utf8(token: str) -> bool:
+    """Whether the characters beyond ASCII are UTF-8 sequences read in another encoding, too many or too plain for chance."""
+    for name in _BY_CHARACTER:
+        raw = _encode(token, name)
+        inner = raw and _decode(raw, "utf-8")
+        if inner:
+            beyond = [c for c in inner if c > "\x7f"]
+            if beyond and (name in _WESTERN or len(beyond) > 1 or beyond[0] < "\u0100"):
+                return True
+    return False
+
+
 def _mark(error: UnicodeError):
     part = error.object[error.start : error.end]
     return bytes(ord(c) if 0x80 <= ord(c) < 0xA0 else 63 for c in part), error.end
@@ -170,7 +184,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, int] = {}
     for batch in batches:
         for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if "�" in token or any("\x7f" < c < "\xa0" for c in token):
+            if "�" in token or any("\x7f" < c < "\xa0" for c in token) or reads_as_utf8(token):
                 continue
             for g in grams(token):
                 counts[g] = counts.get(g, 0) + n

@@ -47,3 +47,16 @@ def test_rows(spark):
     assert set(got) == {("t", 1000), ("t", 1001), ("u", 1005)}
     assert got["t", 1000].restored == "größe prüfen" and got["t", 1000].whole and not got["t", 1001].whole
     assert mojibake.garbled_rows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("word,read", [("größe", "cp1252"), ("où", "cp1252"), ("répertoire", "mac_roman"), ("répertoire", "cp437"), ("проверить", "cp1251"), ("© größe", "latin-1")])
+def test_garbled_in_a_third_of_the_rows(spark, word, read):
+    garbled = word.encode().decode(read, "keep_c1" if read.startswith("cp125") else "strict").replace("\xc2\xa0", "")
+    rows = [("t", i, t) for i, t in enumerate(CLEAN)] + [("t", 1000 + i, garbled) for i in range(len(CLEAN) // 2)]
+    got = {r.row_id: r.restored for r in mojibake.garbled_rows(spark.createDataFrame(rows, "table_name string, row_id long, text string")).collect()}
+    assert got == {1000 + i: word for i in range(len(CLEAN) // 2)}
+
+
+def test_clean_words_are_counted():
+    for word in ("größe", "l’école", "qu’à", "шаг", "Её", "値の範囲", "•", "CAFÉ"):
+        assert not mojibake.reads_as_utf8(word), word
