@@ -9,6 +9,8 @@ Evidence is gathered from the whole corpus and then held against the end of ever
   An end where the corpus nearly always goes on was cut in mid-sentence or in mid-code.
 * Lengths: for each source, lengths (in characters and bytes) at which far more texts end than at the neighbouring
   lengths are limits of the field.
+* Formulas: last lines that end a share of all different texts. Copies of one text count once, so a cut text that is
+  delivered many times stays cut.
 * Marks and structure: an ellipsis mark, a code fence or tag that is never closed, a line of many documents.
 
 All statistics are tables; only the frequent words (at most 1/share times the words of an average text) are broadcast.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from lineweave.session import checkpointed
 
 SHARE = 0.18  # of a language's texts: a word that occurs in so many is frequent
+FORMULA = 0.001  # of all different texts: a last line that ends so many is a habit of ending, as long as LEAST_FORMULA do
+LEAST_FORMULA = 4
 FLUSH = 400_000
 BLOCKS = (256, 500, 512, 1000, 1024, 2000, 2048, 4000, 4096, 8192)
 
@@ -142,17 +146,17 @@ def _count(typed: list[str], counts: dict[tuple, list[int]], to_end: bool) -> No
             have[0 if end else 1] += 1
 
 
-_FINAL = "id long, source string, chars long, bytes long, stated long, token string, line string, mark boolean, dots boolean, open boolean, closed boolean, url boolean, unbalanced boolean, ctx3 long, ctx5 long"
+_FINAL = "id long, source string, copy long, chars long, bytes long, stated long, token string, line string, mark boolean, dots boolean, open boolean, closed boolean, url boolean, unbalanced boolean, ctx3 long, ctx5 long"
 
 
 def _finals(frequent: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none: frozenset[str] = frozenset()
-        schema = pa.schema([("id", pa.int64()), ("source", pa.string()), *((n, pa.int64()) for n in ("chars", "bytes", "stated")), ("token", pa.string()), ("line", pa.string()), *((n, pa.bool_()) for n in ("mark", "dots", "open", "closed", "url", "unbalanced")), ("ctx3", pa.int64()), ("ctx5", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("source", pa.string()), ("copy", pa.int64()), *((n, pa.int64()) for n in ("chars", "bytes", "stated")), ("token", pa.string()), ("line", pa.string()), *((n, pa.bool_()) for n in ("mark", "dots", "open", "closed", "url", "unbalanced")), ("ctx3", pa.int64()), ("ctx5", pa.int64())])
         for batch in batches:
             rows = []
             for key, text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                rows.append((key, source, len(text), len(text.encode("utf-8", "surrogatepass")), stated, *_end(text, frequent.get(_language(lang), none))))
+                rows.append((key, source, _key([text.strip()]), len(text), len(text.encode("utf-8", "surrogatepass")), stated, *_end(text, frequent.get(_language(lang), none))))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
     return run
@@ -207,10 +211,13 @@ def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     f = checkpointed(finals)
     limits = field_limits(f)
     # how texts end that show no other trace of a cut: formulas of an end are seen here, as the places above leave ends out
-    sound = f.where(~F.col("mark") & ~F.col("open") & ~F.col("dots")).join(limits.where("unit = 'chars'").select(F.col("source").alias("s"), "size"), (F.col("chars") == F.col("size")) & F.col("source").eqNullSafe(F.col("s")), "left_anti").groupBy("ctx5").agg(F.count("*").alias("final5"))
-    lines = f.groupBy("line").agg(F.count("*").alias("line_texts"))
+    sound = f.where(~F.col("mark") & ~F.col("open") & ~F.col("dots")).join(limits.where("unit = 'chars'").select(F.col("source").alias("s"), "size"), (F.col("chars") == F.col("size")) & F.col("source").eqNullSafe(F.col("s")), "left_anti").select("ctx5", "copy").distinct().groupBy("ctx5").agg(F.count("*").alias("final5"))
+    # copies of one text are one text: many of them do not make its end a formula
+    lines = f.select("line", "copy").distinct().groupBy("line").agg(F.count("*").alias("line_texts"))
+    texts = f.agg(F.count_distinct("copy").alias("texts"))
     joined = (
         f.join(lines, "line", "left")
+        .crossJoin(F.broadcast(texts))
         .join(trie.withColumnRenamed("p", "token_"), F.col("token") == F.col("token_"), "left")
         .join(counts.select(F.col("ctx").alias("ctx5"), F.col("ends").alias("ends5"), F.col("goes_on").alias("on5")), "ctx5", "left")
         .join(sound, "ctx5", "left")
@@ -221,7 +228,7 @@ def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
         F.col("id").alias(key), F.col("source").alias(source), "chars", "bytes", "stated", "token", "line", "mark", "dots", "open", "closed", "url", "unbalanced",
-        zero("longer").alias("longer"), zero("whole").alias("whole"), zero("line_texts").alias("line_texts"), zero("ends5").alias("ends5"), zero("on5").alias("on5"), zero("ends3").alias("ends3"), zero("on3").alias("on3"), zero("final5").alias("final5"),
+        zero("longer").alias("longer"), zero("whole").alias("whole"), zero("line_texts").alias("line_texts"), "texts", zero("ends5").alias("ends5"), zero("on5").alias("on5"), zero("ends3").alias("ends3"), zero("on3").alias("on3"), zero("final5").alias("final5"),
         (F.col("c").isNotNull() | F.col("b").isNotNull()).alias("at_limit"),
     ).withColumn("cut", _verdict())
 
@@ -247,8 +254,9 @@ def field_limits(finals: DataFrame, least: int = 5, times: float = 6.0, reach: i
 
 def _verdict():
     c = F.col
-    formula = c("line_texts") >= 4  # the same last line, numbers aside, ends several documents
     middle_word = c("token").isNotNull() & (c("whole") == 0) & (c("longer") > 0)
+    # the same last line, numbers aside, ends a share of all different texts; no habit ends in mid-word
+    formula = (c("line_texts") >= F.greatest(F.lit(LEAST_FORMULA), FORMULA * c("texts"))) & ~middle_word
     much = c("ends5") + c("on5") >= 8  # else the shorter context must agree
     usual = (c("final5") >= 3) & (c("final5") >= 2 * c("on5"))  # many sound texts end like this
     on5, on3 = (c("on5") >= 1) & (c("ends5") <= 0.03 * c("on5")), (c("on3") >= 3) & (c("ends3") <= 0.03 * c("on3"))

@@ -42,6 +42,23 @@ def test_truncated(spark, corpus):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text(spark, corpus):
+    rows, cut = corpus
+    copies = [(2000 + i, "If the widget is open, then leave. I found that the kernel cache was the cau", "free", "en", None, 1) for i in range(300)]
+    copies += [(3000 + i, "Have you checked? There is an option called marker that does", "free", "en", None, 1) for i in range(6)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, source string, lang string, n_chars long, token int").repartition(3, "doc_id")
+    got = {r.doc_id for r in truncation.truncated(df).collect()}
+    assert {r[0] for r in copies} <= got
+    assert not got & {i for i, t, *_ in rows if t and i not in cut and t.endswith("Best regards")}
+
+
+def test_share_of_formulas(spark):
+    columns = "line_texts long, texts long, token string, whole long, longer long, ends5 long, on5 long, ends3 long, on3 long, final5 long, mark boolean, dots boolean, open boolean, closed boolean, url boolean, unbalanced boolean, at_limit boolean, stated long, chars long"
+    row = lambda n, all_, whole, longer: (n, all_, "x", whole, longer, 0, 100, 0, 100, 0, False, False, False, False, False, False, False, 10, 10)
+    df = spark.createDataFrame([row(60, 10_000, 5, 0), row(60 * 1000, 10_000 * 1000, 5, 0), row(6, 10_000, 5, 0), row(6 * 1000, 10_000 * 1000, 5, 0), row(60, 10_000, 0, 5)], columns)
+    assert [r.cut for r in df.select(truncation._verdict().alias("cut")).collect()] == [False, False, True, True, True]
+
+
 def test_subwords():
     assert truncation.subwords("young_driv") == ["young", "driv"] and truncation.subwords("ColdProxySna") == ["cold", "proxy", "sna"]
 
