@@ -31,6 +31,7 @@ from lineweave.session import checkpointed
 SHARE = 0.18  # of a language's texts: a word that occurs in so many is frequent
 FORMULA = 0.001  # of all different texts: a last line that ends so many is a habit of ending, as long as LEAST_FORMULA do
 LEAST_FORMULA = 4
+LONGEST_KEY = 200
 FLUSH = 400_000
 BLOCKS = (256, 500, 512, 1000, 1024, 2000, 2048, 4000, 4096, 8192)
 
@@ -162,6 +163,12 @@ def _finals(frequent: dict[str, frozenset[str]]):
     return run
 
 
+def line_key(line: str) -> str:
+    """A line, numbers aside; a long one as its end, where a cut shows, and a hash of all of it."""
+    shape = re.sub(r"\d+", "0", line)
+    return shape if len(shape) <= LONGEST_KEY else f"{_key([shape]):x} {shape[-LONGEST_KEY:]}"
+
+
 def _end(text: str, frequent: frozenset[str]) -> tuple:
     """What the end of a text shows: (token, line, mark, dots, open, closed, url, unbalanced, ctx3, ctx5)."""
     body = text.rstrip()
@@ -183,8 +190,7 @@ def _end(text: str, frequent: frozenset[str]) -> tuple:
     opens = sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
     unbalanced = line.count('"') % 2 == 1 or (opens > 0 and not line.endswith(("{", "(", "[", ":", ","))) or bool(re.search(r"[\w)\]]\s*(?:=|==|\+|,|&&|\|\||<|->|=>|\.)$", line))
     ctx = [_key([str(k), *typed[max(0, len(typed) - k) :]]) for k in (3, 5)]
-    shape = re.sub(r"\d+", "0", line)[:200]
-    return token, shape, mark, dots, is_open, bool(_CLOSED.search(own) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, *ctx
+    return token, line_key(line), mark, dots, is_open, bool(_CLOSED.search(own) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, *ctx
 
 
 def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", stated: str = "n_chars", share: float = SHARE) -> DataFrame:

@@ -59,6 +59,18 @@ def test_share_of_formulas(spark):
     assert [r.cut for r in df.select(truncation._verdict().alias("cut")).collect()] == [False, False, True, True, True]
 
 
+def test_long_last_lines(spark):
+    same = "word " * 50
+    assert truncation.line_key(same + "one end") != truncation.line_key(same + "one e") and truncation.line_key(same + "7") == truncation.line_key(same + "88") and truncation.line_key("a 12") == "a 0"
+    # a long closing paragraph that many texts share, cut in one of them
+    footer = "This message and all that is attached to it is meant for the reader it was sent to and for nobody else, and whoever gets it in error is asked to tell the sender at once, to delete every copy, and not to pass it on to any other person"
+    rows = [(i, f"Question {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]}.\n{footer}", "s", "en", None) for i in range(60)] + [(100, f"Question z y.\n{footer[: footer.index(' other person')]}", "s", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    ends = {r.doc_id: r for r in truncation.ends(df).collect()}
+    assert ends[0].line_texts == 60 and ends[100].line_texts == 1
+    assert [k for k, r in ends.items() if r.cut] == [100]
+
+
 def test_subwords():
     assert truncation.subwords("young_driv") == ["young", "driv"] and truncation.subwords("ColdProxySna") == ["cold", "proxy", "sna"]
 
