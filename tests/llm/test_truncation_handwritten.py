@@ -112,6 +112,19 @@ def test_not_hand_written(spark, tree):
     assert handwritten.not_hand_written(df.limit(0), measures.limit(0)).count() == 0
 
 
+def test_mangled_names_in_short_lines(spark):
+    rng = random.Random(10)
+    rows = [(i, f"/repos/p{i % 12}/src/{rng.choice(WORDS)}{i}.js", "js", bytearray(_hand(rng).encode())) for i in range(120)]
+    part = lambda: "function {}({},{}){{return {}.{}({})}}".format(*("".join(rng.choices("abcdefghijkqxzXYZ", k=rng.choice([1, 1, 2, 3]))) for _ in range(6)))
+    mangled = {200 + i: "\n".join(";".join(part() for _ in range(rng.randint(1, 3))) for _ in range(14)) for i in range(60)}
+    rows += [(k, f"/repos/p{k % 12}/src/{rng.choice(WORDS)}{k}.js", "js", bytearray(x.encode())) for k, x in mangled.items()]
+    df = spark.createDataFrame([(k, p, e, len(x), x) for k, p, e, x in rows], "file_id long, path string, ext string, size long, content binary")
+    measures = spark.createDataFrame([], "file_id long, file_full_name string, file_name string, file_type string, file_machine long, file_nbnc long, file_total long, file_bytes long")
+    measures = measures.unionByName(df.selectExpr("file_id", "path file_full_name", "path file_name", "'.js' file_type", "cast(null as long) file_machine", "20L file_nbnc", "24L file_total", "size file_bytes"))
+    got = {r.file_id: r.kind for r in handwritten.judged(df, measures).where("machine_made").collect()}
+    assert set(got) == set(mangled) and set(got.values()) <= {"minified", "data"} and list(got.values()).count("minified") >= 55
+
+
 def test_traits_of_heads():
     assert handwritten.head(None, False) == {} and handwritten.head(b"", False) == {}
     assert handwritten.periodicity(handwritten.skeletons("\n".join(f"x[{i}] = {i * 3};" for i in range(12)))) == 1
