@@ -80,8 +80,8 @@ def queries() -> dict[str, set[frozenset[int]]]:
         need = trigrams.required(pattern)
         if need == {frozenset()}:
             need = {frozenset({trigrams.LONG_RUN})}
-            if name == "pieces":  # shorter than a run, but joined by a quote and a sign
-                need = {frozenset({trigrams.trigram(t)}) for q in "\"'" for s in "+.&|" for t in (q + " " + s, q + s + " ", q + s + '"', q + s + "'", q + s + s)}
+            if name == "pieces":  # shorter than a run, but joined
+                need = {frozenset({trigrams.JOINED})}
         out[name] = need
     return out
 

@@ -1,7 +1,7 @@
 """A trigram index over blocks of lines, and the trigrams that a regular expression cannot match without.
 
 A block is a batch of rows of a split. Its index has, for each key that some expression asks for, the sorted numbers of the
-rows that hold it; a key is a trigram of lower-cased bytes, or a feature such as "a long run of token characters"
+rows that hold it; a key is a trigram of bytes in lower case, folded as ``(?i)`` compares, or a feature such as "a long run of token characters"
 for expressions that contain no fixed text. A query is a set of alternatives, each a set of keys that must all be
 there; intersecting the postings of an alternative gives the candidate rows, and the expression is tried on those
 alone. Blocks are indexed where they are read, so nothing is shuffled, and an index is never larger than its block.
@@ -10,13 +10,18 @@ alone. Blocks are indexed where they are read, so nothing is shuffled, and an in
 from __future__ import annotations
 
 import re
+from re import _casefix as casefix
 from re import _constants as sre
 from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
 LONG_RUN = 1 << 24  # feature: a run of at least RUN characters of [A-Za-z0-9+/_-] with both letters and digits
 RUN = 16
+JOINED = LONG_RUN + 1  # feature: two quotes with a joining sign between them, and white space (here: nothing printable in ASCII) around it
+_JOINED = r"""["'][^!-~]*(?:\+|\.\.?|&|\|\|)[^!-~]*["']"""
 START = " "  # indexed texts have it before their first character, so that a short word at the start has a trigram
 _MOST_ALTERNATIVES = 64
 
@@ -26,14 +31,27 @@ _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 45, 95]] = True
 
 
-def trigram(text: str) -> int:
-    a, b, c = text.lower().encode()
-    return a << 16 | b << 8 | c
+# letters that (?i) takes for another although their lower case differs, such as the long s
+_ALIKE = {other: chr(min(c, *others)) for c, others in casefix._EXTRA_CASES.items() for other in (c, *others)} | {0x130: "i"}
+
+
+def fold(text: str) -> str:
+    return text.translate(_ALIKE).lower().translate(_ALIKE)
+
+
+def _folded(column: pa.Array) -> pa.Array:
+    """Texts as large binaries, those with characters beyond ASCII folded; ASCII is folded byte by byte."""
+    raw = column.cast(pa.large_binary())
+    beyond = pc.invert(pc.fill_null(pc.string_is_ascii(column), True))
+    if not pc.any(beyond).as_py():
+        return raw
+    return pc.replace_with_mask(raw, beyond, pa.array([fold(x.decode("utf-8", "replace")).encode("utf-8", "replace") for x in raw.filter(beyond).to_pylist()], pa.large_binary()))
 
 
 def _of(text: str) -> frozenset[int]:
-    raw = bytes(_LOWER[np.frombuffer(text.encode(), np.uint8)])
-    return frozenset(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2))
+    """The keys of a text, but for long runs."""
+    raw = bytes(_LOWER[np.frombuffer(fold(text).encode("utf-8", "replace"), np.uint8)])
+    return frozenset(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2)) | ({JOINED} if re.search(_JOINED, text) else frozenset())
 
 
 def _cross(a: set[frozenset], b: set[frozenset]) -> set[frozenset]:
@@ -145,7 +163,7 @@ class Block:
     @staticmethod
     def _scan(column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-        texts = column.cast(pa.large_binary())
+        texts = _folded(column)
         data = texts.buffers()[2]
         if data is None or not len(texts):
             return nothing
@@ -162,9 +180,10 @@ class Block:
         runs = np.concatenate([[False], _TOKEN[raw], [False]])
         edges = np.flatnonzero(runs[1:] != runs[:-1])
         long_ = edges[::2][(edges[1::2] - edges[::2]) >= RUN]
+        joined = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(column, _JOINED), False)).to_numpy().astype(np.int64)
         places = np.concatenate([at, begin[some], long_])
-        found = np.concatenate([tri[at], first[some], np.full(len(long_), LONG_RUN)]).astype(np.int64)
-        return found, np.searchsorted(offsets, places, "right") - 1
+        found = np.concatenate([tri[at], first[some], np.full(len(long_), LONG_RUN), np.full(len(joined), JOINED)]).astype(np.int64)
+        return found, np.concatenate([np.searchsorted(offsets, places, "right") - 1, joined])
 
     def _all(self, alternative: frozenset[int]) -> np.ndarray:
         rows = self._known.get(alternative)

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +73,18 @@ def test_rows(spark):
     assert got[3].search_line == secrets.MASK and got[3].search_match == secrets.MASK
     assert got[11].search_line == f'password = "{secrets.MASK}"' and got[11].search_match == secrets.MASK
     assert secrets.exposed(df.limit(0)).count() == 0
+
+
+FOLDED = [
+    'Пароль: "Quiet#4821"', "ПАРОЛЬ=Quiet#4821", 'CONTRASEÑA = "Quiet#4821"', 'Contraseña: "Quiet#4821"', 'PAS\u017fWORD = "Quiet#4821"', '\u212aennwort = "Quiet#4821"', 'cl\u0131ent_key = "Quiet#4821"', 'AP\u0130_KEY = "Quiet#4821"',
+    't = "glpat-VIZjjU8"  +  "ttVXHldHbAYkF"', 't = "glpat-VIZjjU8"\t+\t"ttVXHldHbAYkF"', 't = "glpat-VIZjjU8"      . "ttVXHldHbAYkF"', 't = "glpat-VIZjjU8"\u00a0\u00a0..\u3000\'ttVXHldHbAYkF\'', 't = "glpat-VIZjjU8"  ||  "ttVXHldHbAYkF"', 't = "glpat-VIZjjU8"&"ttVXHldHbAYkF"',
+]
+
+
+def test_index_against_all_rules():
+    lines = [None, "", "plain", *FOLDED, *LIVE, *NOT_LIVE, *(x.upper() for x in LIVE), *("ß" + x.swapcase() for x in LIVE)]
+    lines += ["é " + x for x in lines if x]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string()), pa.nulls(len(lines), pa.string())], names=["id", "line", "match"])
+    found = {i: line for b in secrets._search(iter([batch])) for i, line in zip(b["id"].to_pylist(), b["line"].to_pylist(), strict=True)}
+    every = {i: m[0] for i, x in enumerate(lines) if x is not None and (m := secrets.mask(x, None))}
+    assert found == every and all(lines.index(x) in found for x in FOLDED)
