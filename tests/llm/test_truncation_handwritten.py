@@ -125,6 +125,17 @@ def test_mangled_names_in_short_lines(spark):
     assert set(got) == set(mangled) and set(got.values()) <= {"minified", "data"} and list(got.values()).count("minified") >= 55
 
 
+def test_part_of_another_head(spark):
+    lines = [f"{w}_{i} = {v}({i})" for i, (w, v) in enumerate((w, v) for w in WORDS for v in WORDS[:4])]
+    own = [[f"{w}.{v}({i}, {k})" for i, (w, v) in enumerate((w, v) for w in WORDS for v in WORDS[:2])][:20] for k in range(3)]
+    texts = {1: "\n".join(lines[:42]), **{10 + i: "\n".join(lines[i * 5 : i * 5 + 17]) for i in range(5)}, **{20 + k: "\n".join(x) for k, x in enumerate(own)}}
+    df = spark.createDataFrame([(k, f"/repos/p{k}/src/a{k}.py", "py", len(x), bytearray(x.encode())) for k, x in texts.items()], "file_id long, path string, ext string, size long, content binary")
+    measures = spark.createDataFrame([], "file_id long, file_full_name string, file_name string, file_type string, file_machine long, file_nbnc long, file_total long, file_bytes long")
+    for one in range(10, 15):
+        got = {r.file_id: r.foreign for r in handwritten.judged(df.where(f"file_id in (1, {one}) or file_id >= 20"), measures).collect()}
+        assert got[one] == 1.0 and 15 / 42 <= got[1] <= 15 / 39 and got[20] == 0.0
+
+
 def test_traits_of_heads():
     assert handwritten.head(None, False) == {} and handwritten.head(b"", False) == {}
     assert handwritten.periodicity(handwritten.skeletons("\n".join(f"x[{i}] = {i * 3};" for i in range(12)))) == 1
