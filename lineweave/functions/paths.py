@@ -18,12 +18,12 @@ NO_EXTENSION = ".(NoExt)"
 
 # Extensions that hardly ever hold code. 'tgztar' stands where a missing comma joined two of them.
 COMPRESSED = ("zip", "tgztar", "gz", "rar")
-NON_CODE = tuple(
-    """svn svn-base scc cvs exe com bin dll dylib lib mo so ko a o obj jar war ear pyc class pdb pch tlb ocx cab msi 7z iso bak
-    rpm lha lhz csv tsv old rc resx doc docx dot dotx xls xlsx xlsm ppt pptx pdf rtf vsd vsx mdb png jpg jp2 gif bmp tif tiff
-    tga raw ico avi mpg mpeg m1v m2v m4v wmv dat flv avchd mov wav m4a wma mp2 mp3 aac swa vhd vmdk vmem vmss vmx vm er1 ai
-    eps dxf svg wmf ps chm hlp""".split()
-)
+NON_CODE = (
+    "svn", "svn-base", "scc", "cvs", "exe", "com", "bin", "dll", "dylib", "lib", "mo", "so", "ko", "a", "o", "obj", "jar", "war", "ear", "pyc", "class", "pdb", "pch", "tlb", "ocx", "cab", "msi",
+    "7z", "iso", "bak", "rpm", "lha", "lhz", "csv", "tsv", "old", "rc", "resx", "doc", "docx", "dot", "dotx", "xls", "xlsx", "xlsm", "ppt", "pptx", "pdf", "rtf", "vsd", "vsx", "mdb",
+    "png", "jpg", "jp2", "gif", "bmp", "tif", "tiff", "tga", "raw", "ico", "avi", "mpg", "mpeg", "m1v", "m2v", "m4v", "wmv", "dat", "flv", "avchd", "mov", "wav", "m4a", "wma", "mp2", "mp3", "aac", "swa",
+    "vhd", "vmdk", "vmem", "vmss", "vmx", "vm", "er1", "ai", "eps", "dxf", "svg", "wmf", "ps", "chm", "hlp",
+)
 
 
 def extension(name: Column) -> Column:

@@ -1,13 +1,10 @@
-"""Text as the measures need it: built-in expressions, and checksums as Arrow functions."""
+"""Text as the measures need it."""
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from lineweave.functions.regex import strip
 
@@ -34,16 +31,12 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def printable(text: Column, width: int = WIDTH) -> Column:
-    """Control characters 0 to 30 become '_', tabs reach to the next even column, the end is stripped."""
-    plain = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+$", "")
-    tabs = F.aggregate(
-        F.split(plain, "\t", -1),
-        F.struct(F.lit("").alias("out"), F.lit(True).alias("first")),
-        lambda acc, x: F.struct(F.when(acc["first"], x).otherwise(F.concat(acc["out"], F.when(F.length(acc["out"]) % 2 == 0, "  ").otherwise(" "), x)).alias("out"), F.lit(False).alias("first")),
-    )["out"]
-    tabbed = F.when(F.contains(plain, F.lit("\t")), tabs).otherwise(plain)
-    return F.left(F.regexp_replace(F.replace(tabbed, F.lit("\n"), F.lit(" <\n> ")), r"[\x00-\x1e]", "_"), F.lit(width))
+_SIGNS = {i: "_" for i in range(31)}
+
+
+def shown(line: str) -> str:
+    """A line as reports show it: no white space at its end, tabs to the next even column, control characters 0 to 30 as '_'."""
+    return line.rstrip().expandtabs(2).replace("\n", " <\n> ").translate(_SIGNS)
 
 
 def fit(text: Column, width: int, replacement: str = "...") -> Column:
@@ -53,27 +46,26 @@ def fit(text: Column, width: int, replacement: str = "...") -> Column:
     return F.when((F.lit(width) <= 0) | (F.length(text) <= width), text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(replacement), F.right(text, F.lit(tail))))
 
 
-def indent(line: Column, size: int = 4) -> Column:
+def indent(line: str, size: int = 4) -> int:
     """Width of the white space a line starts with, tabs reaching to the next multiple of ``size``."""
-    lead = F.regexp_extract(line, r"(?U)^(\s*)", 1)
-    width = F.aggregate(F.split(lead, ""), F.lit(0), lambda acc, c: F.when(c == "\t", acc + size - acc % size).otherwise(acc + F.length(c)))
-    return F.when(F.contains(lead, F.lit("\t")), width).otherwise(F.length(lead))
-
-
-@F.arrow_udf(LongType())
-def adler32_of_text(texts: pa.Array) -> pa.Array:
-    """Adler-32 from 0 (not 1) of the UTF-8 bytes of a text; null for a null text or a sum of 0."""
-    return pa.array([(zlib.adler32(x.encode("utf-8", "surrogatepass"), 0) or None) if x is not None else None for x in texts.to_pylist()], pa.int64())
-
-
-@F.arrow_udf(LongType())
-def adler32_of_code(lines: pa.Array, keep: pa.Array) -> pa.Array:
-    """Adler-32 from 0 over those lines, white space collapsed, whose flag is set; null if it is 0."""
-    out = []
-    for own, flags in zip(lines.to_pylist(), keep.to_pylist(), strict=True):
-        crc = 0
-        for line, flag in zip(own or [], flags or [], strict=True):
-            if flag:
-                crc = zlib.adler32(" ".join(line.split()).encode("utf-8", "surrogatepass"), crc)
-        out.append(crc or None)
-    return pa.array(out, pa.int64())
+    wide = line.expandtabs(size)
+    return len(wide) - len(wide.lstrip())
+
+
+def mostly_of(texts: list[str], good: str, skip: int, least: int, share: float) -> np.ndarray:
+    """Whether the characters outside ``good`` stay within ``share`` of each text.
+
+    Characters before place ``skip`` do not count; the share is looked at from place ``least`` on, at every place, and at a text's end.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.zeros(max(map(ord, good)) + 2, bool)
+    table[[ord(c) for c in good]] = True
+    sizes = np.array([len(x) for x in texts], np.int64)
+    ends = np.cumsum(sizes)
+    place = np.arange(1, len(codes) + 1) - np.repeat(ends - sizes, sizes)
+    bad = ~table[np.minimum(codes, len(table) - 1)] & (place >= skip)
+    total = np.cumsum(bad)
+    within = total - np.repeat(np.concatenate([[0], total])[ends - sizes], sizes) if len(codes) else total
+    failed = ((place >= least) | (place == np.repeat(sizes, sizes))) & (place >= skip) & (within / np.maximum(place, 1) > share)
+    count = np.concatenate([[0], np.cumsum(failed)])
+    return count[ends] == count[ends - sizes]

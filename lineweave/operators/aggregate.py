@@ -35,14 +35,15 @@ def top_totals(totals: DataFrame, most: int = 10) -> DataFrame:
 
 
 def grouped(rows: DataFrame, key: str, names: list[str] | None = None, order: list[str] = (), threshold: tuple[str, float] | None = None) -> DataFrame:
-    """Analysis rows grouped by ``key``: numbers add up, arrays join, maps merge by key, anything else takes its last value in ``order``; ``aggregate_count`` counts.
+    """Analysis rows grouped by ``key``: numbers add up, arrays join, maps merge by key, anything else takes its last value in ``order``
+    (without one: the greatest value, so that the answer does not depend on partitions); ``aggregate_count`` counts.
 
     ``names`` are the columns to aggregate (all but the key and ``order``, if None). With ``threshold`` (name, n) only groups stay
     whose value of that name exceeds n.
     """
     fields = {f.name: f.dataType for f in rows.schema.fields}
     names = [n for n in fields if n != key and n not in order] if names is None else names
-    when = F.struct(*order) if order else F.monotonically_increasing_id()
+    when = F.struct(*order) if order else F.lit(0)
     out = []
     for n in names:
         kind = fields[n]
@@ -51,7 +52,7 @@ def grouped(rows: DataFrame, key: str, names: list[str] | None = None, order: li
         elif isinstance(kind, T.ArrayType):
             out.append(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(when.alias("o"), F.col(n).alias("v")))), lambda x: x["v"])).alias(n))
         elif not isinstance(kind, T.MapType):
-            out.append(F.max_by(F.col(n).cast("string"), when).alias(n))
+            out.append(F.max(F.struct(when.alias("o"), F.col(n).cast("string").alias("v"))).getField("v").alias(n))
     grouped_ = rows.groupBy(key).agg(*out, F.count("*").alias("aggregate_count"))
     for n in names:
         if isinstance(fields[n], T.MapType):
@@ -66,7 +67,7 @@ def _merged(rows: DataFrame, key: str, name: str, kind: T.MapType, when) -> Data
     elif isinstance(kind.valueType, T.ArrayType):
         value = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]))
     else:
-        value = F.max_by("v", "o")
+        value = F.max(F.struct("o", "v")).getField("v")
     per = flat.groupBy(key, "k").agg(value.alias("v"))
     return per.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(name))
 

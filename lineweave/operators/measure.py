@@ -2,121 +2,192 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.functions import paths as P
 from lineweave.functions import ranks
-from lineweave.functions import text as T
 from lineweave.operators import scan
 from lineweave.plans import rules as R
 from lineweave.plans.rules import Rules
 
-
-def _positive(value: Column, rules: Rules) -> Column:
+COUNTS = ("raw", "total", "ignored", "true_blank", "blank", "code", "comment", "inline", "dead", "template", "machine", "content", "code_content", "imports", "classes", "preprocessor", "routines", "decisions", "semicolons", "bin", "gen")
+COUNTED = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ",nbnc_crc:bigint,file_crc:bigint,noted:bigint,extra:map<string,bigint>>"
+_TYPE = pa.struct([(c, pa.int64()) for c in (*COUNTS, "nbnc_crc", "file_crc", "noted")] + [("extra", pa.map_(pa.string(), pa.int64()))])
+
+
+def counted(texts: pa.Array, library: pa.Array | None = None, *, rules: Rules, routines: bool = False, checksums: bool = True) -> pa.StructArray:
+    """The numbers of each text. Those that a rule set does not know (NBNC has three) are 0."""
+    s = scan.scanner(rules).scan(texts, library)
+    live, block = (s.codes & scan.LIVE) != 0, s.codes & scan._BLOCK
+    has = lambda bit: (s.flags & bit) != 0
+    ignored, blank, comment = has(scan.IGNORED), has(scan.BLANK), (s.codes & scan.COMMENT) != 0
+    deep = rules.module != "NBNC"
+    on_code, on_comment = (s.code_marks(routines) if deep else np.zeros(len(s.flags), np.int64)), s.comment_marks(not routines)
+    template = (on_comment & scan.TEMPLATE) != 0
+    dead = ((on_comment & scan.DEAD) != 0) & ~template
+    seen, other = live & ~blank, (block != rules.measure_block) | ~comment
+    content = s.sums(seen & (block == rules.content_block) & other)
+    code = s.sums(s.is_code)
+    code_is = lambda bit: s.sums((on_code & bit) != 0)
+    inline, plain = code_is(scan.INLINE), s.sums(s.is_comment & ~template & ~dead)
+    out = {
+        "raw": s.raw_counts, "total": s.sums(~ignored), "ignored": s.sums(ignored & ~s.skipped), "true_blank": s.sums(has(scan.TRUE_BLANK)), "blank": s.sums(live & blank & (block == rules.measure_block)), "code": code, "comment": plain,
+        "inline": inline, "dead": s.sums(dead), "template": s.sums(template), "machine": s.sums(seen & (block == R.MACHINE) & other), "content": content, "code_content": content + code,
+        "imports": code_is(scan.IMPORT), "classes": code_is(scan.CLASS), "preprocessor": code_is(scan.PREPROCESSOR), "routines": code_is(scan.ROUTINE), "decisions": code_is(scan.DECISION), "noted": plain + (inline if rules.inline_is_comment else 0),
+    }
+    nothing = np.zeros(len(texts), np.int64)
+    out |= {"semicolons": _semicolons(s) if deep else nothing, "bin": nothing, "gen": nothing}
+    if rules.module == "customPowerBuilder":
+        per_raw = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[s.raw_offsets])
+        out |= {"bin": per_raw(s.binary), "gen": per_raw(s.generated)}
+    out |= {"nbnc_crc": _code_sums(s) if checksums else nothing, "file_crc": np.array([zlib.adler32(x, 0) for x in s.texts.cast(pa.binary()).to_pylist()], np.int64) if checksums else nothing}
+    extra = rules.hooks.measures(s) if rules.hooks and rules.hooks.measures else {}
+    own = pa.array([[(k, int(v[i])) for k, v in extra.items()] for i in range(len(texts))] if extra else [None] * len(texts), pa.map_(pa.string(), pa.int64()))
+    return pa.StructArray.from_arrays([*(pa.array(out[f.name], pa.int64()) for f in list(_TYPE)[:-1]), own], fields=list(_TYPE))
+
+
+def _semicolons(s: scan.Scanned) -> np.ndarray:
+    at, code, _ = s.code
+    per = np.zeros(len(s.lines), np.int64)
+    per[at] = np.array(pc.count_substring(code, ";"), np.int64)
+    total = np.concatenate([[0], np.cumsum(np.where(s.is_code, per[s.ids], 0))])
+    return np.diff(total[s.offsets])
+
+
+def _code_sums(s: scan.Scanned) -> np.ndarray:
+    """Adler-32 from 0 over the code lines of each file, white space collapsed."""
+    at = s.some(s.is_code)
+    where = np.zeros(len(s.lines), np.int64)
+    where[at] = np.arange(len(at))
+    plain = [" ".join(x.split()).encode() for x in s.lines.take(pa.array(at)).to_pylist()]
+    rows, offsets = scan.chosen(s.is_code, s.offsets)
+    used = where[s.ids[rows]].tolist()
+    return np.array([zlib.adler32(b"".join([plain[i] for i in used[a:b]]), 0) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+
+
+def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
+def numbers(files: DataFrame, rules: Rules, text: str = "text", **more: bool) -> DataFrame:
+    """``files`` with ``_n``, the struct of all counts."""
+    library = F.lower("ext") == ".pbl" if "ext" in files.columns else None
+    return files.withColumn("_n", scan.per_file(functools.partial(counted, rules=rules, **more), COUNTED, F.col(text), library))
+
+
 def nbnc(files: DataFrame, rules: Rules = R.NBNC, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., file_total, file_nbnc, file_comment): lines, code lines and comment lines of every file, empty ones included."""
-    n = scan.scanned(files, rules).withColumn("_n", scan.counts(rules))
-    return n.select(*keep, F.col("_n.total").alias("file_total"), F.col("_n.code").alias("file_nbnc"), F.col("_n.comment").alias("file_comment"))
+    return numbers(files, rules, checksums=False).select(*keep, *nbnc_columns(F.col("_n")))
+
+
+def nbnc_columns(n: Column) -> list[Column]:
+    return [n["total"].alias("file_total"), n["code"].alias("file_nbnc"), n["comment"].alias("file_comment")]
 
 
 def code(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",), routines: bool = False, checksums: bool = True) -> DataFrame:
     """All measures of the Code family, one row per file.
 
     Measures that are written only when positive are null otherwise. ``file_bytes`` is taken from ``size`` where there is
-    one. With ``routines`` decisions and routines are left to the routine measures.
+    one. With ``routines`` decisions and routines are left to the routine measures. A null or empty text has no lines.
     """
-    s = scan.scanned(files, rules, routines=routines).withColumn("_n", scan.counts(rules))
-    n = lambda c: F.col(f"_n.{c}")
-    noted = n("comment") + (n("inline") if rules.inline_is_comment else 0)
-    ratio = F.when(n("comment") > 0, n("code") / n("comment")).otherwise(0.0)
+    size = F.col("size").cast("long") if "size" in files.columns else None
+    power = rules.module == "customPowerBuilder"
+    out = numbers(files, rules, routines=routines, checksums=checksums).select(*keep, *code_columns(F.col("_n"), size, F.lit(rules.empties), routines, checksums, F.lit(True) if power else None))
+    if rules.hooks and rules.hooks.measures:
+        return out.withColumn("extra", F.col("extra"))
+    return out.drop("extra") if "extra" not in keep else out
+
+
+def code_columns(n: Column, size: Column | None, empties: Column, routines: bool = False, checksums: bool = True, power: Column | None = None) -> list[Column]:
+    ratio = F.when(n["comment"] > 0, n["code"] / n["comment"]).otherwise(0.0)
     columns = [
-        n("total").alias("file_total"),
-        F.when(F.col("_raw_count") != n("total"), F.col("_raw_count")).alias("file_raw_total"),
-        _positive(n("ignored"), rules).alias("file_ignored"),
-        n("true_blank").alias("file_blank_only"),
-        n("code").alias("file_nbnc"),
-        ranks.rank(n("code"), ranks.FILE_SIZE).alias("file_nbnc_rank"),
-        _positive(n("machine"), rules).alias("file_machine"),
-        _positive(n("content"), rules).alias("file_content"),
-        F.when((n("content") > 0) | F.lit(rules.empties), n("content") + n("code")).alias("file_code_content"),
-        n("blank").alias("file_blank"),
-        noted.alias("file_comment"),
-        _positive(n("inline"), rules).alias("nbnc_inline_comments"),
-        _positive(n("dead"), rules).alias("file_dead"),
+        n["total"].alias("file_total"),
+        F.when(n["raw"] != n["total"], n["raw"]).alias("file_raw_total"),
+        _positive(n["ignored"]).alias("file_ignored"),
+        n["true_blank"].alias("file_blank_only"),
+        n["code"].alias("file_nbnc"),
+        ranks.rank(n["code"], ranks.FILE_SIZE).alias("file_nbnc_rank"),
+        _positive(n["machine"]).alias("file_machine"),
+        _positive(n["content"]).alias("file_content"),
+        F.when((n["content"] > 0) | empties, n["code_content"]).alias("file_code_content"),
+        n["blank"].alias("file_blank"),
+        n["noted"].alias("file_comment"),
+        _positive(n["inline"]).alias("nbnc_inline_comments"),
+        _positive(n["dead"]).alias("file_dead"),
         ranks.rank(ratio, ranks.COMMENT_DENSITY).alias("file_comment_rank"),
-        _positive(n("preprocessor"), rules).alias("nbnc_preprocessor"),
-        _positive(n("template"), rules).alias("file_template"),
-        _positive(n("imports"), rules).alias("nbnc_imports"),
-        F.when(n("imports") > 0, ranks.rank(n("imports"), ranks.IMPORTS)).alias("nbnc_import_rank"),
-        _positive(n("classes"), rules).alias("nbnc_classes"),
+        _positive(n["preprocessor"]).alias("nbnc_preprocessor"),
+        _positive(n["template"]).alias("file_template"),
+        _positive(n["imports"]).alias("nbnc_imports"),
+        F.when(n["imports"] > 0, ranks.rank(n["imports"], ranks.IMPORTS)).alias("nbnc_import_rank"),
+        _positive(n["classes"]).alias("nbnc_classes"),
     ]
     if not routines:
-        columns += [_positive(n("decisions"), rules).alias("nbnc_decisions"), _positive(n("routines"), rules).alias("nbnc_routines")]
-    if "size" in files.columns:
-        size = F.col("size").cast("long")
-        columns += [size.alias("file_bytes"), F.when((size > 0) & (n("code") > 0) & (n("code") > n("machine")) & (n("code") > n("content")), size / n("code")).alias("nbnc_byte_ratio")]
-    semicolons = F.aggregate(F.zip_with("_items", "_codes", lambda x, c: F.when(scan.is_code(c), F.length(x["code"]) - F.length(F.replace(x["code"], F.lit(";")))).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
-    columns.append(F.nullif(semicolons, F.lit(0)).alias("nbnc_semicolons"))
+        columns += [_positive(n["decisions"]).alias("nbnc_decisions"), _positive(n["routines"]).alias("nbnc_routines")]
+    if size is not None:
+        columns += [size.alias("file_bytes"), byte_ratio(size, n["code"], n["machine"], n["content"]).alias("nbnc_byte_ratio")]
+    columns.append(_positive(n["semicolons"]).alias("nbnc_semicolons"))
     if checksums:
-        raw = F.regexp_replace("text", "\r\n|\r", "\n")
-        columns += [T.adler32_of_code(F.col("_items.line"), F.transform("_codes", scan.is_code)).cast("string").alias("nbnc_crc"), T.adler32_of_text(raw).cast("string").alias("file_crc")]
-    return s.select(*keep, *columns)
+        columns += [F.nullif(n[c], F.lit(0)).cast("string").alias(c) for c in ("nbnc_crc", "file_crc")]
+    if power is not None:
+        columns += [F.when(power, n["bin"]).alias("file_pb_bin_lines"), F.when(power, n["gen"]).alias("file_pb_gen_lines")]
+    return [*columns, n["extra"].alias("extra")]
+
+
+def byte_ratio(size: Column, nbnc: Column, machine: Column, content: Column) -> Column:
+    """Bytes a code line, of files that are mostly code."""
+    return F.when((size > 0) & (nbnc > 0) & (nbnc > F.coalesce(machine, F.lit(0))) & (nbnc > F.coalesce(content, F.lit(0))), size / nbnc)
+
+
+# -- line classes --------------------------------------------------------------------------------------------------
+
+CLASSES = ("ignored", "blank", "symbols", "other block", "template", "dead", "comment", "code")
+CLASSED = "array<struct<number:bigint,line:string,line_class:string,block:int>>"
+
+
+def classed(texts: pa.Array, library: pa.Array | None = None, *, rules: Rules) -> pa.ListArray:
+    s = scan.scanner(rules).scan(texts, library)
+    notes, has = s.comment_marks(), lambda bit: (s.flags & bit) != 0
+    kind = np.select([has(scan.IGNORED), has(scan.TRUE_BLANK), has(scan.BLANK), ~(s.is_code | s.is_comment), (notes & scan.TEMPLATE) != 0, (notes & scan.DEAD) != 0, s.is_comment], range(7), 7)
+    lines = pc.replace_substring_regex(s.lines.take(pa.array(s.ids)), "\n\\z", "")
+    values = pa.StructArray.from_arrays([pa.array(s.number, pa.int64()), lines, pa.array(CLASSES).take(pa.array(kind.astype(np.int32))), pa.array((s.codes & scan._BLOCK).astype(np.int32))], names=["number", "line", "line_class", "block"])
+    return scan.lists(s.offsets, values)
 
 
 def line_classes(files: DataFrame, rules: Rules = R.CODE, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., line_number, line, line_class, block): every line with its class."""
-    s = scan.scanned(files, rules)
-    one = s.select(*keep, F.explode(scan.zipped(s)).alias("x"))
-    f, c = F.col("x.flags"), F.col("x.codes")
-    has = lambda b: f.bitwiseAND(F.lit(b)) != 0
-    kind = (
-        F.when(has(scan.IGNORED), "ignored").when(has(scan.TRUE_BLANK), "blank").when(has(scan.BLANK), "symbols").when(~scan.is_measured(c), "other block")
-        .when(scan.is_comment(c) & has(scan.TEMPLATE), "template").when(scan.is_comment(c) & has(scan.DEAD) & F.lit(rules.dead is not None), "dead").when(scan.is_comment(c), "comment").otherwise("code")
-    )
-    return one.select(*keep, F.col("x.number").cast("long").alias("line_number"), F.col("x.line").alias("line"), kind.alias("line_class"), c.bitwiseAND(F.lit(3)).alias("block"))
+    one = scan.items(files.withColumn("_c", scan.per_file(functools.partial(classed, rules=rules), CLASSED, F.col("text"))), keep, F.col("_c"), "_x")
+    return one.select(*keep, F.col("_x.number").alias("line_number"), F.col("_x.line").alias("line"), F.col("_x.line_class").alias("line_class"), F.col("_x.block").alias("block"))
+
+
+# -- documents -----------------------------------------------------------------------------------------------------
+
+DOCUMENT = "struct<total:bigint,blank:bigint>"
+
+
+def document_counts(texts: pa.Array, library: pa.Array | None = None) -> pa.StructArray:
+    lines, counts = scan.split_lines(scan.normal_ends(texts))
+    blank = np.array(pc.binary_length(pc.utf8_trim_whitespace(scan.without_nul(lines))), np.int64) == 0
+    per = np.diff(np.concatenate([[0], np.cumsum(blank)])[scan.offsets_of(counts)]) if len(texts) else np.zeros(0, np.int64)
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(per, pa.int64())], names=["total", "blank"])
 
 
 def document(files: DataFrame, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., file_total, file_blank, file_content): lines of plain text. Files without text (null) give no row."""
-    lines = F.transform(T.lines_of(F.col("text")), T.strip_nul)
-    blank = F.size(F.filter(lines, lambda x: x.rlike(R.TRUE_BLANK)))
-    rows = files.where(F.col("text").isNotNull())
-    return rows.select(*keep, F.size(lines).cast("long").alias("file_total"), blank.cast("long").alias("file_blank"), (F.size(lines) - blank).cast("long").alias("file_content"))
+    rows = files.where(F.col("text").isNotNull()).withColumn("_n", scan.per_file(document_counts, DOCUMENT, F.col("text")))
+    return rows.select(*keep, *document_columns(F.col("_n")))
+
+
+def document_columns(n: Column) -> list[Column]:
+    return [n["total"].alias("file_total"), n["blank"].alias("file_blank"), (n["total"] - n["blank"]).alias("file_content")]
 
 
 def pdf_pages(files: DataFrame, keep: list[str] = ("file_id",)) -> DataFrame:
     """(keep..., doc_pages): page objects in a PDF's bytes."""
     return files.where(P.code_extension(F.col("name")) == "pdf").select(*keep, F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type */Page *>")).cast("long").alias("doc_pages"))
-
-
-def metadata(files: DataFrame, depth: int = 7, dates: tuple = ("%Y-%m-%d",), tags: tuple = (), keep: list[str] = ("file_id",)) -> DataFrame:
-    """Metadata columns: names, type, size, dates, directories, folder counts and tags. No content is read."""
-    named = files.withColumn("_per_folder", F.col("folder"))
-    counts = named.groupBy("_per_folder").agg(F.count("*").alias("dir_files"))
-    out = named.join(counts, "_per_folder", "left")
-    ext = P.extension(F.col("name"))
-    columns = [P.stem(F.col("name")).alias("file_name"), F.when(ext == "", P.NO_EXTENSION).otherwise(ext).alias("file_type"), F.col("name").alias("file_full_name"), F.col("path").alias("file_abs_path"), F.col("size").cast("long").alias("file_bytes"), *P.directories(F.col("path"), depth), F.col("dir_files"), ranks.rank(F.col("dir_files"), ranks.FILES_IN_FOLDER).alias("dir_files_rank")]
-    if "mtime" in files.columns:
-        columns += [F.date_format("mtime", java_date(d)).alias("file_date" + (d if len(dates) > 1 else "")) for d in dates]
-    columns += [F.lit(t).alias(f"tag{i}") for i, t in enumerate(tags, 1) if t]
-    return out.select(*keep, *columns)
-
-
-# Strftime directives and their spelling in Java date patterns.
-_DATES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM", "j": "DDD", "p": "a", "I": "hh", "a": "E", "A": "EEEE"}
-
-
-def java_date(pattern: str) -> str:
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern[i] == "%" and i + 1 < len(pattern):
-            out += _DATES.get(pattern[i + 1], "'" + pattern[i + 1] + "'")
-            i += 2
-        else:
-            out += f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]
-            i += 1
-    return out

@@ -1,8 +1,10 @@
 """The line scan: every line of a file classified by block and comment state, without a shuffle.
 
-A file is a row and its lines an array. Built-in expressions give each line a word of flags, one bit per pattern that
-it matches; an Arrow function then runs the automata over the flags of a batch of files with array arithmetic. Lines
-never leave their row, so nothing is shuffled or sorted, and text crosses into Python only for checksums.
+A file is a row. An Arrow function lays the lines of a batch of files flat, keeps each different line once, and matches
+the patterns of a rule set on those columns of lines (``functions.match``). The automata then run over the flags of all lines of
+the batch with array arithmetic, and what an operator wants of a file (counts, hits, routines) comes back as one value per
+file. Lines never leave their file's row, so nothing is shuffled or sorted; text crosses into Python once, whatever the
+number of patterns. Patterns that only matter on code lines or on comment lines are matched on those alone.
 
 Comments: over the lines of one block, a line sets, resets, toggles or keeps the state "inside a comment". The state before
 a line is the value of the last set or reset, flipped once for every toggle since. Blocks: only lines that
@@ -11,13 +13,16 @@ match a start or end pattern are visited, and only in files that have a start.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineweave.functions import text as T
-from lineweave.functions.regex import strip
+from lineweave.functions import match as M
 from lineweave.plans import rules as R
 from lineweave.plans.rules import Rules
 
@@ -25,140 +30,341 @@ from lineweave.plans.rules import Rules
 # code of a line: bits 0-1 block, then:
 COMMENT, LIVE, CHANGE, MEASURED = 4, 8, 16, 32
 _BLOCK = 3
+SLICE = 1 << 23  # bytes of text whose lines are looked at together
+
+# the string pattern of the rules without its look-ahead: what it finds is the same
+_STRINGS = "\"[^\"\n]+\"|'[^'\n]+'"
+
+
+# -- lines ---------------------------------------------------------------------------------------------------------
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches of about ``most`` bytes; at least one."""
+    sizes = np.array(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    group = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if len(texts) else [0, 0]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def normal_ends(texts: pa.Array) -> pa.Array:
+    """Texts with line feeds for all line ends, none of them null."""
+    texts = pc.fill_null(texts, "")
+    return pc.replace_substring_regex(texts, "\r\n?", "\n") if pc.any(pc.match_substring(texts, "\r")).as_py() else texts
+
+
+def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lines with their line feeds, number of lines of each text); the text after the last line feed counts only if there is any."""
+    parts = pc.split_pattern(texts, "\n")
+    flat, sizes = parts.flatten(), np.array(pc.list_value_length(parts), np.int64)
+    ends = np.cumsum(sizes) - 1
+    last = np.zeros(len(flat), bool)
+    last[ends] = True
+    empty = np.array(pc.binary_length(flat), np.int64)[ends] == 0 if len(flat) else np.zeros(0, bool)
+    keep = np.ones(len(flat), bool)
+    keep[ends[empty]] = False
+    feeds = pa.array(["", "\n"], flat.type).take(pa.array((~last[keep]).astype(np.int8)))
+    return pc.binary_join_element_wise(flat.filter(pa.array(keep)), feeds, pa.scalar("", flat.type)), sizes - empty
+
+
+def offsets_of(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def numbers_of(offsets: np.ndarray) -> np.ndarray:
+    """1, 2, ... within each stretch."""
+    return np.arange(1, offsets[-1] + 1) - np.repeat(offsets[:-1], np.diff(offsets))
+
+
+def without_nul(lines: pa.Array) -> pa.Array:
+    return pc.replace_substring(lines, "\0", "")
+
+
+def distinct(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(different lines, the number of each line among them)."""
+    coded = lines.dictionary_encode()
+    return coded.dictionary, np.array(coded.indices, np.int64)
+
+
+def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def chosen(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places where ``keep``, offsets of what is left of each stretch)."""
+    return np.flatnonzero(keep), np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
 
 
-def _bit(condition: Column, bit: int) -> Column:
-    return F.when(condition, F.lit(bit)).otherwise(0)
+# -- Spark ---------------------------------------------------------------------------------------------------------
 
+Kernel = Callable[..., pa.Array]  # (texts, library flags or None) -> one value per text
 
-def _any(bits: list[Column]) -> Column:
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
 
+def sliced(kernel: Kernel, texts: pa.Array, library: pa.Array | None = None) -> pa.Array:
+    return pa.concat_arrays([kernel(texts.slice(a, b - a), None if library is None else library.slice(a, b - a)) for a, b in slices(texts)])
 
-def without_strings(line: Column) -> Column:
-    quoted = F.contains(line, F.lit('"')) | F.contains(line, F.lit("'"))
-    return strip(F.when(quoted, F.regexp_replace(line, R.STRING, "")).otherwise(line))
 
+def per_file(kernel: Kernel, ddl: str, text: Column, library: Column | None = None) -> Column:
+    """What ``kernel`` says of each text."""
 
-def without_inline(line: Column, inline: tuple) -> Column:
-    """Cut at each inline comment mark, unless the line starts with '#'."""
-    out = line
-    for mark in inline:
-        out = F.when(~out.startswith("#"), F.substring_index(out, mark, 1)).otherwise(out)
-    return out
+    @F.arrow_udf(ddl)
+    def run(texts: pa.Array, flags: pa.Array) -> pa.Array:
+        return sliced(kernel, texts, flags)
 
+    return run(text, F.lit(False) if library is None else library)
 
-def scanned(files: DataFrame, rules: Rules, routines: bool = False, text: str = "text") -> DataFrame:
-    """``files`` with ``_items``, an array of structs over its lines, and ``_codes``.
 
-    An item has the raw line's ``number``, the ``line`` as cut, ``code`` (no strings, no inline comments) and its ``flags``. Each is
-    made from the item before it, element by element, so no step looks into another array. A null or empty text has no
-    items. ``_raw_count`` is the number of lines before a line separator splits them.
+def per_entry(kernels: dict[int, Kernel], ddl: str, text: Column, wanted: Column, closed: Column, library: Column) -> Column:
+    """An array of (entry, what the entry's kernel says of the text) for all ``wanted`` entries of a file.
+
+    A file's text is read, decoded and sent once for all of them; kernels that are equal run once. For ``closed`` entries
+    the file was not to be opened, and its text counts as null.
+    """
+    alike: dict = {}
+    for number, kernel in kernels.items():
+        key = (kernel.func, kernel.args, tuple(sorted(kernel.keywords.items()))) if isinstance(kernel, functools.partial) else kernel
+        alike.setdefault(key, (kernel, []))[1].append(number)
+    groups = list(alike.values())
+
+    @F.arrow_udf(f"array<struct<entry:int,r:{ddl}>>")
+    def run(texts: pa.Array, entries: pa.Array, shut: pa.Array, flags: pa.Array) -> pa.Array:
+        def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return np.repeat(np.arange(len(column)), np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)), np.array(column.flatten(), np.int64)
+
+        file, entry = flat(entries)
+        shut_file, shut_entry = flat(shut)
+        most = max(kernels) + 1
+        closed_pair = np.isin(file * most + entry, shut_file * most + shut_entry)
+        found, files, numbers = [], [], []
+        for kernel, own in groups:
+            here = np.flatnonzero(np.isin(entry, own))
+            if not len(here):
+                continue
+            states, at = np.unique(file[here] * 2 + closed_pair[here], return_inverse=True)
+            rows = pa.array(states // 2)
+            own_texts = pc.if_else(pa.array(states % 2 == 1), pa.scalar(None, texts.type), texts.take(rows))
+            found.append(sliced(kernel, own_texts, flags.take(rows)).take(pa.array(at)))
+            files.append(file[here])
+            numbers.append(entry[here])
+        counts = np.bincount(file, minlength=len(texts)) if len(file) else np.zeros(len(texts), np.int64)
+        if not found:
+            empty = groups[0][0](texts.slice(0, 0), flags.slice(0, 0))
+            return lists(offsets_of(counts), pa.StructArray.from_arrays([pa.array([], pa.int32()), empty], names=["entry", "r"]))
+        file, number = np.concatenate(files), np.concatenate(numbers)
+        order = pa.array(np.lexsort((number, file)))
+        both = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.concat_arrays(found)], names=["entry", "r"])
+        return lists(offsets_of(counts), both.take(order))
+
+    return run(text, wanted, closed, library)
+
+
+def items(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """(keep..., ``name``): a row per element of an array that an Arrow function made.
+
+    Spark would infer from a plain explode that the array must hold something, and run the function once more to see whether it does.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+# -- the scan ------------------------------------------------------------------------------------------------------
+
+
+class Scanner:
+    """The patterns of a rule set, compiled."""
+
+    def __init__(self, rules: Rules) -> None:
+        p = M.pattern
+        self.rules, self.searches = rules, rules.searches
+        self.string = None if rules.string == R.STRING else p(rules.string)
+        self.blank = [p(x, 0, True) for x in (rules.blank, R.BLANK_XML if rules.blank_xml else None, rules.blank_add) if x]
+        self.single, self.open, self.close = p(rules.single, 0, True), p(rules.open), p(rules.close)
+        self.ignore = p(rules.ignore_line) if rules.ignore_line else None
+        self.dead = p(rules.dead) if rules.dead else None
+        self.code = {IMPORT: p(rules.imports), CLASS: p(rules.classes), PREPROCESSOR: p(rules.preprocessor)}
+        self.decision, self.escape, self.case, self.boolean, self.routine = (p(x) for x in (rules.decision, rules.escape, rules.case, rules.boolean, rules.routine))
+        # (bit of the start, bit of the end or 0, number of the block) and the patterns of the bits
+        self.detectors, self.starts, self.ends, k = [], [], [], 0
+        for number, block in enumerate(rules.detectors, 1):
+            for start, end in block:
+                self.detectors.append((1 << k, 0 if end is None else 1 << (k + 1), number))
+                self.starts.append((1 << k, p(start)))
+                if end is not None:
+                    self.ends.append((1 << (k + 1), p(end)))
+                k += 2
+        self.any_start = M.either(tuple(s for block in rules.detectors for s, _ in block))
+
+    def edges(self, lines: pa.Array, beyond: np.ndarray) -> np.ndarray | None:
+        """Which starts and ends each line matches; None if there is no start."""
+        some = np.flatnonzero(self.any_start.mask(lines, beyond)) if self.any_start else np.arange(len(lines))
+        if not len(some):
+            return None
+        out, own, far = np.zeros(len(lines), np.int64), lines.take(pa.array(some)), beyond[some]
+        for bit, p in self.starts:
+            out[some[p.mask(own, far)]] |= bit
+        if not out.any():
+            return None
+        for bit, p in self.ends:
+            out[p.mask(lines, beyond)] |= bit
+        return out
+
+    def without_strings(self, lines: pa.Array, beyond: np.ndarray) -> pa.Array:
+        if self.string is None:
+            out = pc.replace_substring_regex(lines, _STRINGS, "")
+        else:
+            hit = self.string.mask(lines, beyond)
+            out = lines
+            if hit.any():
+                out = pc.replace_with_mask(lines, pa.array(hit), pa.array([self.string.compiled.sub("", x) for x in lines.filter(pa.array(hit)).to_pylist()], lines.type))
+        return pc.utf8_trim_whitespace(out)
+
+    def without_inline(self, lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(lines cut at their first inline comment mark unless they start with '#', which lines hold a mark)."""
+        marked = np.zeros(len(lines), bool)
+        for mark in self.rules.inline:
+            marked |= np.array(pc.match_substring(lines, mark))
+        if not marked.any():
+            return lines, marked
+        cut = []
+        for line in lines.filter(pa.array(marked)).to_pylist():
+            for mark in self.rules.inline:
+                if line[:1] != "#":
+                    line = line.split(mark, 1)[0]
+            cut.append(line)
+        return pc.replace_with_mask(lines, pa.array(marked), pa.array(cut, lines.type)), marked
+
+    def scan(self, texts: pa.Array, library: pa.Array | None = None) -> Scanned:
+        return Scanned(self, texts, library)
+
+
+@functools.lru_cache(256)
+def scanner(rules: Rules) -> Scanner:
+    return Scanner(rules)
+
+
+class Scanned:
+    """The lines of some files, classified.
+
+    Per file: ``offsets`` into the lines and ``raw_counts`` (lines before a separator splits them). Per line: ``number`` (of its
+    raw line), ``ids`` (its place in ``lines``), ``flags`` (comment marks, blanks) and ``codes`` (block and state). ``lines`` are the
+    different lines as cut, ``bare`` the same without strings.
     """
-    all_lines = T.lines_of(F.col(text))
-    raw = files.withColumn("_raw_count", F.size(all_lines).cast("long"))
-    if rules.separator:
-        items = F.flatten(F.transform(all_lines, lambda x, i: F.transform(F.split(x, _literal(rules.separator), -1), lambda y: F.struct((i + 1).alias("number"), x.alias("whole"), T.cut(y, rules.width).alias("line")))))
-    else:
-        items = F.transform(all_lines, lambda x, i: F.struct((i + 1).alias("number"), x.alias("whole"), T.cut(x, rules.width).alias("line")))
-    # the text a comment is looked for in, and the code of a line; then all flags from these
-    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["whole"].alias("whole"), s["line"].alias("line"), without_strings(s["line"]).alias("bare")))
-    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["whole"].alias("whole"), s["line"].alias("line"), s["bare"].alias("bare"), without_inline(s["bare"], rules.inline).alias("code"), (strip(s["line"]) if rules.python else s["bare"]).alias("state")))
-    edges = [_edges] if any(rules.detectors) else []
-    items = F.transform(items, lambda s: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), _flags(s, rules, routines).alias("flags"), *(e(s["line"], rules).alias("edges") for e in edges)))
-    made = raw.withColumn("_items", items)
-    return made.withColumn("_codes", _automata(rules)(F.col("_items.flags"), F.col("_items.edges") if edges else F.lit(None).cast("array<bigint>")))
-
-
-def zipped(files: DataFrame) -> Column:
-    """``_items`` with the code of each line as ``codes``."""
-    return F.zip_with("_items", "_codes", lambda s, c: F.struct(s["number"].alias("number"), s["line"].alias("line"), s["code"].alias("code"), s["flags"].alias("flags"), c.alias("codes")))
-
-
-def _literal(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def _flags(item: Column, rules: Rules, routines: bool) -> Column:
-    line, bare, code, whole, state = (item[k] for k in ("line", "bare", "code", "whole", "state"))
-    rest = F.regexp_extract(state, rules.open_rest, 1)
-    blank = line.rlike(rules.blank)
-    if rules.blank_xml:
-        blank = blank | line.rlike(R.BLANK_XML)
-    if rules.blank_add:
-        blank = blank | line.rlike("(?:" + rules.blank_add + ")")
-    bits = [
-        _bit(blank, BLANK),
-        _bit(state.rlike(rules.single_at_start), SINGLE),
-        F.when(state.rlike(rules.open_rest), F.lit(OPEN).bitwiseOR(_bit(rest.rlike(rules.close_rest), CLOSED_AGAIN))).otherwise(0),
-        _bit(state.rlike(rules.close_rest), CLOSE),
-    ]
-    if not rules.same_line_is_comment:
-        after = strip(F.regexp_extract(rest, rules.close_rest, 1))
-        bits.append(_bit(~state.rlike(rules.open_rest.replace(R._I, R._I + "^", 1)) | (after != ""), CODE_AROUND))
-    if rules.module != "NBNC":
-        decisive = line if rules.strings else code
-        marked = F.lit(False)
-        for mark in rules.inline:
-            marked = marked | F.contains(bare, F.lit(mark))
-        bits += [_bit(marked, INLINE), _bit(code.rlike(rules.imports), IMPORT), _bit(code.rlike(rules.classes), CLASS), _bit(code.rlike(rules.preprocessor), PREPROCESSOR), _bit(decisive.rlike(rules.decision), DECISION)]
-        if rules.dead:
-            bits.append(_bit(line.rlike(rules.dead), DEAD))
-        if rules.searches and not routines:
-            bits.append(_bit(rules.searches.hit(line), TEMPLATE))
+
+    def __init__(self, own: Scanner, texts: pa.Array, library: pa.Array | None) -> None:
+        rules = own.rules
+        self.own, self.rules, self.texts = own, rules, normal_ends(texts)
+        raw, self.raw_counts = split_lines(self.texts)
+        counts, number = self.raw_counts, numbers_of(offsets_of(self.raw_counts))
+        far = M.beyond_ascii(raw) if own.ignore or rules.hooks else None
+        ignored = own.ignore.mask(raw, far) if own.ignore else np.zeros(len(raw), bool)
+        skipped = np.zeros(len(raw), bool)
+        if rules.hooks and rules.hooks.skip:
+            skipped |= np.asarray(rules.hooks.skip(raw), bool)
+        if rules.module == "customPowerBuilder":
+            from lineweave.operators import powerbuilder
+
+            self.binary, self.generated = powerbuilder.left_out(raw, np.repeat(np.array(library) if library is not None else np.zeros(len(texts), bool), counts))
+            skipped |= self.binary | self.generated
+            self.raw_offsets = offsets_of(counts)
+        if rules.separator:
+            parts = pc.split_pattern(raw, rules.separator)
+            sizes = np.array(pc.list_value_length(parts), np.int64)
+            kept = ignored | skipped
+            first = np.zeros(int(sizes.sum()), bool)
+            first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+            keep = first | ~np.repeat(kept, sizes)
+            raw = parts.flatten().filter(pa.array(keep))
+            sizes = np.where(kept, 1, sizes)
+            number, ignored, skipped = (np.repeat(x, sizes) for x in (number, ignored, skipped))
+            whole = np.concatenate([[0], np.cumsum(sizes)])
+            counts = np.diff(whole[offsets_of(self.raw_counts)])
+        self.skipped, self.number, self.offsets = skipped, number, offsets_of(counts)
+        cut = without_nul(pc.utf8_slice_codeunits(raw, 0, rules.width))
+        if rules.hooks and rules.hooks.preprocess:
+            cut = rules.hooks.preprocess(cut)
+        self.lines, self.ids = distinct(cut)
+        self.beyond = M.beyond_ascii(self.lines)
+        self.bare = own.without_strings(self.lines, self.beyond)
+        marks = self._marks()
+        edges = own.edges(self.lines, self.beyond) if own.detectors else None
+        self.flags = np.where(ignored | skipped, IGNORED, marks[self.ids])
+        self.codes = line_codes(self.flags, None if edges is None else edges[self.ids], self.offsets, own.detectors, sum(d[0] for d in own.detectors), rules.same_line_is_comment, rules.measure_block)
+        measured = (self.codes & MEASURED) != 0
+        self.is_comment, self.is_code = measured & ((self.codes & COMMENT) != 0), measured & ((self.codes & COMMENT) == 0)
+
+    def _marks(self) -> np.ndarray:
+        """Flags that decide on blanks and comments, of the different lines."""
+        own, lines, beyond, rules = self.own, self.lines, self.beyond, self.rules
+        plain = pc.utf8_trim_whitespace(lines)
+        empty = np.array(pc.binary_length(plain), np.int64) == 0
+        state = plain if rules.python else self.bare
+        blank = np.zeros(len(lines), bool)
+        for p in own.blank:
+            blank |= p.mask(lines, beyond)
+        if rules.hooks and rules.hooks.blank:
+            blank |= np.asarray(rules.hooks.blank(lines), bool)
+        opens = own.open.mask(state, beyond)
+        out = np.where(blank, BLANK, 0) | np.where(own.single.mask(state, beyond), SINGLE, 0) | np.where(opens, OPEN, 0) | np.where(own.close.mask(state, beyond), CLOSE, 0)
+        at = np.flatnonzero(opens)
+        for i, text in zip(at.tolist(), state.take(pa.array(at)).to_pylist(), strict=True):
+            rest = text[own.open.compiled.search(text).end() :]
+            if closed := own.close.compiled.search(rest):
+                out[i] |= CLOSED_AGAIN
+                if not rules.same_line_is_comment and (not own.open.compiled.match(text) or rest[closed.end() :].strip()):
+                    out[i] |= CODE_AROUND
+        return np.where(empty, TRUE_BLANK, out)
+
+    def some(self, lines: np.ndarray) -> np.ndarray:
+        """The different lines among those that ``lines`` marks, as places in ``self.lines``."""
+        used = np.zeros(len(self.lines), bool)
+        used[self.ids[lines]] = True
+        return np.flatnonzero(used)
+
+    def marks(self, lines: np.ndarray, kinds: dict[int, Callable]) -> np.ndarray:
+        """Flags of all lines: for each bit the kind's mask over the different ones among those marked; 0 for all others."""
+        at, out = self.some(lines), np.zeros(len(self.lines), np.int64)
+        for bit, mask in kinds.items():
+            out[at[mask(at)]] |= bit
+        return np.where(lines, out[self.ids], 0)
+
+    @functools.cached_property
+    def code(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(places of the different code lines, their code without strings and inline comments, which held a comment)."""
+        at = self.some(self.is_code)
+        return at, *self.own.without_inline(self.bare.take(pa.array(at)))
+
+    def code_marks(self, routines: bool = False) -> np.ndarray:
+        """Flags of code lines."""
+        own, rules = self.own, self.rules
+        at, code, inline = self.code
+        far = self.beyond[at]
+        decisive = self.lines.take(pa.array(at)) if rules.strings else code
+        kinds = {INLINE: lambda _: inline, DECISION: lambda _: own.decision.mask(decisive, far)} | {bit: (lambda _, p=p: p.mask(code, far)) for bit, p in own.code.items()}
         if routines:
-            start = rules.searches.hit(line) if rules.searches else line.rlike(rules.routine)
-            bits += [_bit(start, START), _bit(decisive.rlike(rules.escape), ESCAPE), _bit(decisive.rlike(rules.case), CASE), _bit(decisive.rlike(rules.boolean), BOOLEAN)]
+            whole = self.lines.take(pa.array(at))
+            start = (lambda _: own.searches.index(whole, far) >= 0) if own.searches else (lambda _: own.routine.mask(whole, far))
+            kinds |= {START: start, ESCAPE: lambda _: own.escape.mask(decisive, far), CASE: lambda _: own.case.mask(decisive, far), BOOLEAN: lambda _: own.boolean.mask(decisive, far)}
         else:
-            bits.append(_bit(code.rlike(rules.routine), ROUTINE))
-    out = F.when(line.rlike(R.TRUE_BLANK), F.lit(TRUE_BLANK)).otherwise(_any(bits))
-    return F.when(whole.rlike(rules.ignore_line), F.lit(IGNORED)).otherwise(out) if rules.ignore_line else out
-
-
-def _edges(line: Column, rules: Rules) -> Column:
-    parts, k = [], 0
-    for block in rules.detectors:
-        starts, ends = [], []
-        for start, end in block:
-            starts.append(_bit(line.rlike(start), 1 << k).cast("long"))
-            if end is not None:
-                ends.append(_bit(line.rlike(end), 1 << (k + 1)).cast("long"))
-            k += 2
-        if starts:
-            parts.append(F.when(line.rlike(R.MACHINE_HINT), _any(starts)).otherwise(F.lit(0).cast("long")) if block == R.MACHINE_DETECTORS else _any(starts))
-        parts += ends
-    return _any(parts)
-
-
-def _automata(rules: Rules):
-    detectors, k = [], 0
-    for number, block in enumerate(rules.detectors, 1):
-        for _, end in block:
-            detectors.append((1 << k, 0 if end is None else 1 << (k + 1), number))
-            k += 2
-    starts = sum(d[0] for d in detectors)
-    keep_same_line = rules.same_line_is_comment
-    measure_block = rules.measure_block
-
-    @F.arrow_udf("array<int>")
-    def run(flags: pa.Array, edges: pa.Array) -> pa.Array:
-        offsets, f = flat(flags, np.int64)
-        e = flat(edges, np.int64)[1] if detectors and edges.null_count < len(edges) else None
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(line_codes(f, e, offsets, detectors, starts, keep_same_line, measure_block).astype(np.int32)))
-
-    return run
-
-
-def flat(lists: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets from 0, values) of a list array; null lists count as empty."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), values
+            kinds[ROUTINE] = lambda _: own.routine.mask(code, far)
+        return self.marks(self.is_code, kinds)
+
+    def comment_marks(self, templates: bool = True) -> np.ndarray:
+        """Flags of comment lines: template, dead code."""
+        own = self.own
+        of = lambda at: (self.lines.take(pa.array(at)), self.beyond[at])
+        kinds = {}
+        if own.dead:
+            kinds[DEAD] = lambda at: own.dead.mask(*of(at))
+        if own.searches and templates:
+            kinds[TEMPLATE] = lambda at: own.searches.index(*of(at)) >= 0
+        return self.marks(self.is_comment, kinds)
+
+    def sums(self, lines: np.ndarray) -> np.ndarray:
+        """How many lines of each file are marked."""
+        total = np.concatenate([[0], np.cumsum(lines)])
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+
+# -- the automata --------------------------------------------------------------------------------------------------
 
 
 def line_codes(f: np.ndarray, e: np.ndarray | None, offsets: np.ndarray, detectors: list, starts: int, keep_same_line: bool, measure_block: int) -> np.ndarray:
@@ -236,50 +442,3 @@ def _blocks(e: np.ndarray, live: np.ndarray, low: int, high: int, detectors: lis
         if active != compare:
             change[i] = True
     block[since:high] = active
-
-
-# -- per-file results ----------------------------------------------------------------------------------------------
-
-COUNTS = ("total", "ignored", "true_blank", "blank", "code", "comment", "inline", "dead", "template", "machine", "content", "imports", "classes", "preprocessor", "routines", "decisions")
-
-
-def counts(rules: Rules) -> Column:
-    """A struct of line counts per file of a scan."""
-    with_dead, with_template = rules.dead is not None, bool(rules.params)
-    measure, machine, content = rules.measure_block, R.MACHINE, rules.content_block
-
-    @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
-    def run(flags: pa.Array, codes: pa.Array) -> pa.Array:
-        offsets, f = flat(flags, np.int64)
-        c = flat(codes, np.int64)[1]
-        live, block = (c & LIVE) != 0, c & _BLOCK
-        seen = live & ((f & BLANK) == 0)
-        mine, comment = (c & MEASURED) != 0, (c & COMMENT) != 0
-        code, noted = mine & ~comment, mine & comment
-        template = noted & ((f & TEMPLATE) != 0) & with_template
-        dead = noted & ~template & ((f & DEAD) != 0) & with_dead
-        has = lambda bit: (f & bit) != 0
-        marks = {
-            "total": ~has(IGNORED), "ignored": has(IGNORED), "true_blank": has(TRUE_BLANK), "blank": live & has(BLANK) & (block == measure), "code": code, "comment": noted & ~template & ~dead,
-            "inline": code & has(INLINE), "dead": dead, "template": template, "machine": seen & (block == machine) & ((block != measure) | ~comment), "content": seen & (block == content) & ((block != measure) | ~comment),
-            "imports": code & has(IMPORT), "classes": code & has(CLASS), "preprocessor": code & has(PREPROCESSOR), "routines": code & has(ROUTINE), "decisions": code & has(DECISION),
-        }
-        out = []
-        for name in COUNTS:
-            sums = np.concatenate([[0], np.cumsum(marks[name])])
-            out.append(pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64()))
-        return pa.StructArray.from_arrays(out, names=list(COUNTS))
-
-    return run(F.col("_items.flags"), F.col("_codes"))
-
-
-def is_code(code: Column) -> Column:
-    return (code.bitwiseAND(F.lit(MEASURED)) != 0) & (code.bitwiseAND(F.lit(COMMENT)) == 0)
-
-
-def is_measured(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(MEASURED)) != 0
-
-
-def is_comment(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(COMMENT)) != 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import paths as P
 from lineweave.functions import ranks
 from lineweave.operators import aggregate, analyze, dupes, measure, output, powerbuilder, routines, search
-from lineweave.plans import config, jobs
+from lineweave.plans import config, jobs, metadata
 from lineweave.plans import rules as R
 from lineweave.session import ensure_checkpoint_dir, spread, table
 from lineweave.sources import files as S
@@ -42,7 +42,7 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_text(spark: SparkSession, sf: str) -> DataFrame:
-    return S.with_text(S.gate(S.with_names(spread(table(spark, sf, "file_tree").select("file_id", "path", "size", "content")))))
+    return S.opened(S.with_names(spread(table(spark, sf, "file_tree").select("file_id", "path", "size", "content"))))
 
 
 def once(rows: DataFrame, key: str) -> DataFrame:
@@ -275,7 +275,7 @@ def comment_density(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def byte_ratio(spark: SparkSession, sf: str) -> DataFrame:
     rows = once(table(spark, sf, "file_measures"), "file_id")
-    return rows.where((F.col("file_bytes") > 0) & (F.col("file_nbnc") > 0) & (F.col("file_nbnc") > F.coalesce("file_machine", F.lit(0)))).select("file_id", (F.col("file_bytes") / F.col("file_nbnc")).alias("nbnc_byte_ratio"))
+    return rows.select("file_id", measure.byte_ratio(F.col("file_bytes"), F.col("file_nbnc"), F.col("file_machine"), F.lit(0)).alias("nbnc_byte_ratio")).where("nbnc_byte_ratio is not null")
 
 
 @query
@@ -295,7 +295,8 @@ def folder_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def path_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return measure.metadata(tree(spark, sf), depth=4, keep=["file_id"]).select("file_id", "file_name", "file_type", "dir1", "dir2", "dir3", "dir4", "dir_files", "file_date")
+    kinds = metadata.Metadata(full_name=False, abs_path=False, dirs=4, dates=("%Y-%m-%d",), folder=True)
+    return metadata.described(tree(spark, sf), kinds).select("file_id", "file_name", "file_type", "dir1", "dir2", "dir3", "dir4", "dir_files", "file_date")
 
 
 @query
@@ -329,12 +330,15 @@ def non_code_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "file_tree").select("file_id", S.looks_like_text(F.substring("content", 1, S.TEXT_WINDOW)).alias("is_text"), S.is_binary_by_magic(F.col("content")).alias("is_binary"))
+    """What opening each file shows: binary control characters, a start of mostly text, an archive's or program's first bytes."""
+    found = S.seen(table(spark, sf, "file_tree").select("file_id", "content"))
+    return found.select("file_id", F.col("_seen.text").isNotNull().alias("was_read"), F.col("_seen.binary").alias("is_binary"), F.col("_seen.plain").alias("is_text"), F.col("_seen.magic").alias("is_archive"))
 
 
 @query
 def size_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return S.gate(table(spark, sf, "file_tree").where("content is not null"), binary=False, largest=5000).groupBy((F.col("content").isNotNull()).alias("opened")).agg(F.count("*").alias("files"))
+    rows = S.opened(S.with_names(table(spark, sf, "file_tree").where("content is not null").select("file_id", "path", "size", "content")), binary=False, largest=5000)
+    return rows.groupBy((F.col("text").isNotNull()).alias("opened")).agg(F.count("*").alias("files"))
 
 
 @query

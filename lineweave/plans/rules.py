@@ -1,29 +1,27 @@
-"""Rule sets: what a line of a language looks like, as Java regular expressions, and the options that change them."""
+"""Rule sets: what a line of a language looks like, as Python regular expressions, and the options that change them."""
 
 from __future__ import annotations
 
 import ast
 import re
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from lineweave.functions.regex import Searches, to_java
+from lineweave.functions.match import Searches, searches
 
 HUMAN, MACHINE, CONTENT = 0, 1, 2
 
 # The patterns of the measured language.
-_I = "(?iUd)"
+_I = "(?i)"
 TRUE_BLANK = _I + r"^\s*$"
 BLANK = _I + r"^[\s\\+.,;=\-/*'`\"#!%{}()\[\]<>|]*$"
 BLANK_XML = _I + r"^\s*<[\w/\\]*?>\s*$"
-SINGLE = r"//|#(?!\||def|inc|if|else|region)|;|--(?!\[)|'(?![^']+?')|rem|!|%"
-OPEN = r"/\*|--\[\[|=(?:begin|head)|#\||\{-|<!--|<%--"
-CLOSE = r"\*/|\]\]|=(?:cut|end)|\|#|-\}|-->|--%>"
-# The characters that an opening or closing mark can start with, looked at before the alternatives are tried; and words of which
-# every start of a machine-made part holds one.
-OPEN_FIRST, CLOSE_FIRST = r"(?=[/\-=#{<])", r"(?=[*\]=|\-%])"
-MACHINE_HINT = _I + "(?=[gcnGCN])(?:generated|created|not)"
+SINGLE = _I + r"(?://|#(?!\||def|inc|if|else|region)|;|--(?!\[)|'(?![^']+?')|rem|!|%)"
+OPEN = _I + r"(?:/\*|--\[\[|=(?:begin|head)|#\||\{-|<!--|<%--)"
+CLOSE = _I + r"(?:\*/|\]\]|=(?:cut|end)|\|#|-\}|-->|--%>)"
 QUOTES = "\"\"\"|'''"
-STRING = "(?Ud)" + r"\"(?!\").+?\"|'(?!').+?'"
+STRING = r"\"(?!\").+?\"|'(?!').+?'"
 MACHINE_DETECTORS = (
     (_I + r"region\b.*?\bgenerated", _I + r"end\s*region"),
     (_I + r"\bdo\s+not\s+(?:edit|modify)\b", None),
@@ -39,21 +37,37 @@ DEAD = _I + r"[;{}\[\](]+\s*$|[A-Za-z]\.[A-Za-z]|[=&+\[\]|]+"
 PREPROCESSOR = _I + r"^\s*#(?:def|if|else|end)"
 IMPORT = _I + r"\b(?:using|import|#*include)\b"
 CLASS = _I + r"\b(?:class|type|interface)\b"
-ROUTINE = _I + r"\b(?:def|public|private|protected|static|void|sub|func|function|prop|property|proc|procedure)\s*[( \[{]+"
-ROUTINE_SOURCE = r"\b(?:def|public|private|protected|static|void|sub|func|function|prop|property|proc|procedure)\s*[( \[{]+"
-NO_ROUTINE = "SURVEYOR(File lines grouped as routine - No Routine Found)"
+ROUTINE = _I + r"\b(def|public|private|protected|static|void|sub|func|function|prop|property|proc|procedure)\s*[( \[{]+"
+NO_ROUTINE = "(lines of a file without routine)"
 INLINE = ("//", "/*")
 DELPHI_BLANK = _I + r"^\s*(?:\bbegin\b|\bend;)?\s*$"
-DELPHI_SINGLE = r"\s*//"
-DELPHI_OPEN = r"\(\*|\{(?![/$])"
-DELPHI_CLOSE = r"\*\)|\}"
+DELPHI_SINGLE = _I + r"\s*//"
+DELPHI_OPEN = _I + r"\(\*|\{(?![/$])"
+DELPHI_CLOSE = _I + r"\*\)|\}"
 DELPHI_DEAD = _I + r"[;\[\]]+\s*$|[A-Za-z]\.[A-Za-z]|[=&+\[\]|]+"
 COBOL_BLANK = BLANK
+POWERBUILDER_BLANK = _I + r"^\s*(?:end\s+type|end\s+event|end\s+on|//|[ *'#;!%{}()\[\]<>|]?)\s*$"
+
+
+@dataclass(frozen=True)
+class Hooks:
+    """Code of one's own for a rule set; each hook is called with Arrow arrays of a batch of lines, never with single lines.
+
+    ``preprocess`` changes the lines (as cut) before anything looks at them; ``skip`` tells which raw lines are left out of everything
+    but the raw count; ``blank`` which lines count as blank besides those of the pattern; ``measures`` gives further counts per file
+    (name -> numbers) from the scanned lines, and ``items`` further rows (file, number, name, text) for the verb analyze.
+    """
+
+    preprocess: Callable | None = None
+    skip: Callable | None = None
+    blank: Callable | None = None
+    measures: Callable | None = None
+    items: Callable | None = None
 
 
 @dataclass(frozen=True)
 class Rules:
-    """One immutable set of rules. Regular expressions of comments are given without anchors and flags."""
+    """One immutable set of rules."""
 
     module: str = "Code"
     blank: str = BLANK
@@ -62,6 +76,7 @@ class Rules:
     single: str = SINGLE
     open: str = OPEN
     close: str = CLOSE
+    string: str = STRING
     python: bool = False
     same_line_is_comment: bool = True
     separator: str | None = None
@@ -81,7 +96,7 @@ class Rules:
     imports: str = IMPORT
     classes: str = CLASS
     routine: str = ROUTINE
-    routine_source: str = ROUTINE_SOURCE
+    no_routine: str = NO_ROUTINE
     strings: bool = False
     comments: bool = False
     only_comments: bool = False
@@ -97,21 +112,11 @@ class Rules:
     params: tuple = ()
     base: dict = field(default_factory=dict, hash=False, compare=False)
 
-    @property
-    def searches(self) -> Searches | None:
-        return Searches([tuple(p) for p in self.params], self.search_case_sensitive) if self.params else None
-
-    @property
-    def single_at_start(self) -> str:
-        return _I + f"^(?:{self.single})"
-
-    @property
-    def open_rest(self) -> str:
-        return _I + (OPEN_FIRST if self.open == OPEN else "") + f"(?:{self.open})(.*)"
+    hooks: Hooks | None = None
 
     @property
-    def close_rest(self) -> str:
-        return _I + (CLOSE_FIRST if self.close == CLOSE else "") + f"(?:{self.close})(.*)"
+    def searches(self) -> Searches | None:
+        return searches(tuple(tuple(p) for p in self.params), self.search_case_sensitive) if self.params else None
 
 
 CODE = Rules()
@@ -119,8 +124,9 @@ NBNC = Rules(module="NBNC", detectors=((), ()), dead=None)
 WEB = Rules(module="Web", detectors=(MACHINE_DETECTORS, SCRIPT_DETECTORS), measure_block=2, content_block=0, file_lines=True)  # what is outside scripts is content
 DELPHI = Rules(module="customDelphi", blank=DELPHI_BLANK, single=DELPHI_SINGLE, open=DELPHI_OPEN, close=DELPHI_CLOSE, dead=DELPHI_DEAD)
 COBOL = Rules(module="customCobol", blank=COBOL_BLANK)
+POWERBUILDER = Rules(module="customPowerBuilder", blank=POWERBUILDER_BLANK)
 PROLOG = Rules(module="customProlog")  # its own comment rules were never in force
-MODULES: dict[str, Rules] = {r.module: r for r in (CODE, NBNC, WEB, DELPHI, COBOL, PROLOG)} | {m: replace(CODE, module=m) for m in ("DupeLines", "Depends", "customPowerBuilder")} | {"Search": replace(NBNC, module="Search"), "Document": replace(NBNC, module="Document")}
+MODULES: dict[str, Rules] = {r.module: r for r in (CODE, NBNC, WEB, DELPHI, COBOL, PROLOG, POWERBUILDER)} | {m: replace(CODE, module=m) for m in ("DupeLines", "Depends")} | {"Search": replace(NBNC, module="Search"), "Document": replace(NBNC, module="Document")}
 
 
 def register(rules: Rules) -> Rules:
@@ -136,6 +142,19 @@ class OptionError(ValueError):
     """An option that no rule set knows, or a value it cannot take."""
 
 
+def spelt(source: str, verbose: bool = True, ignore_case: bool = True) -> str:
+    """A pattern with its flags written in front."""
+    flags = ("i" if ignore_case else "") + ("x" if verbose else "")
+    return (f"(?{flags})" if flags else "") + source
+
+
+def _checked(source: str) -> str:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)
+        re.compile(source)
+    return source
+
+
 def parse_detectors(value: str) -> tuple:
     """[[re.compile(r'start',re.I), re.compile(r'end') or None], ...] as data; nothing is evaluated."""
 
@@ -143,12 +162,12 @@ def parse_detectors(value: str) -> tuple:
         if isinstance(node, ast.Constant) and node.value is None:
             return None
         if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            return to_java(node.value, False)
+            return _checked(node.value)
         if isinstance(node, ast.Call) and ast.unparse(node.func) == "re.compile" and node.args and isinstance(node.args[0], ast.Constant):
             flags = ast.unparse(node.args[1]) if len(node.args) > 1 else ""
             if flags and not re.fullmatch(r"re\.[A-Z]+(?:\s*\|\s*re\.[A-Z]+)*", flags):
                 raise OptionError(f"flags {flags}")
-            return to_java(node.args[0].value, bool(re.search(r"re\.(?:X|VERBOSE)\b", flags)), bool(re.search(r"re\.I(?:GNORECASE)?\b", flags)))
+            return _checked(spelt(node.args[0].value, bool(re.search(r"re\.(?:X|VERBOSE)\b", flags)), bool(re.search(r"re\.I(?:GNORECASE)?\b", flags))))
         raise OptionError(f"no regular expression: {ast.unparse(node)}")
 
     try:
@@ -167,8 +186,7 @@ def with_option(rules: Rules, name: str, value: str | None) -> Rules:
     """The rules with one option applied. Unknown options raise ``OptionError``."""
     v = value if value is not None else ""
     ignore = not rules.case_sensitive
-    spell = lambda: to_java(v, True, ignore)
-    bare = lambda: to_java(v, True, True)[len(_I) :]
+    spell = lambda: _checked(spelt(v, True, ignore))
     machine, content = rules.detectors
     changes = {
         "MEASURE_EMPTIES": lambda: {"empties": True},
@@ -178,15 +196,15 @@ def with_option(rules: Rules, name: str, value: str | None) -> Rules:
         "BLANK_LINE": lambda: {"blank": spell()},
         "BLANK_LINE_ADD": lambda: {"blank_add": spell()},
         "BLANK_LINE_XML": lambda: {"blank_xml": True},
-        "COMMENT_LINE": lambda: {"single": bare()},
-        "COMMENT_OPEN": lambda: {"open": bare()},
-        "COMMENT_CLOSE": lambda: {"close": bare()},
+        "COMMENT_LINE": lambda: {"single": spell()},
+        "COMMENT_OPEN": lambda: {"open": spell()},
+        "COMMENT_CLOSE": lambda: {"close": spell()},
         "COMMENT_CLOSE_CODE": lambda: {"same_line_is_comment": False},
         "IGNORE_LINE": lambda: {"ignore_line": spell()},
         "MAX_LINE_LENGTH": lambda: {"width": int(v)},
         "PYTHON": lambda: {"python": True, "single": "#", "open": QUOTES, "close": QUOTES},
         "RUBY": lambda: {"single": "#", "open": "=begin", "close": "=end"},
-        "STRINGS": lambda: {"strings": True},
+        "STRINGS": lambda: {"string": spell()},
         "MACHINE_NONE": lambda: {"detectors": ((), content)},
         "MACHINE_ALL": lambda: {"detectors": (((_I + ".*", None),), content)},
         "MACHINE_MEASURE": lambda: {"measure_block": MACHINE},
@@ -213,7 +231,7 @@ def with_option(rules: Rules, name: str, value: str | None) -> Rules:
         "DEADCODE": lambda: {"dead": spell()},
         "IMPORTS": lambda: {"imports": spell()},
         "PREPROCESSOR": lambda: {"preprocessor": spell()},
-        "ROUTINES": lambda: {"routine": spell(), "routine_source": v},
+        "ROUTINES": lambda: {"routine": spell()},
         "ROUTINE_FILE_LINES": lambda: {"file_lines": True},
         "CLASSES": lambda: {"classes": spell()},
         "ESCAPES": lambda: {"escape": spell()},

@@ -8,10 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lineweave.functions import match as M
 from lineweave.functions import paths as P
 from lineweave.functions import ranks
 from lineweave.functions import text as T
-from lineweave.functions.regex import Searches, first_group, group_count, strip, to_java
+from lineweave.functions.regex import strip, to_java
 from lineweave.plans import config
 
 PATTERNS = [r"\b class \s+ (\w+) # name", r"[a b]+x", r"[x\[&&]+", r"(?P<q_q>a)(?P=q_q)", r"a{2}b{,1}\{c\}", r"^ \s* [#] x", r"[^]a]b", r"(\d+)|([\"'])", r"\#\ x", r"{-|-}"]
@@ -21,37 +22,49 @@ TEXTS = ["class  Foo", "a b x", "x[&&", "aa", "aab{c}", "  #x", "zb]b", "12 \"'"
 @pytest.mark.parametrize("pattern", PATTERNS)
 def test_java_spelling(spark, pattern):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    java = to_java(pattern)
-    rows = df.select("t", F.col("t").rlike(java).alias("hit"), first_group(F.col("t"), java, group_count(pattern)).alias("g")).collect()
-    for r in rows:
-        m = re.search(pattern, r.t, re.I | re.X)
-        assert r.hit == bool(m), r.t
-        if m:
-            assert r.g == next((g.strip() for g in m.groups() if g), ""), r.t
+    for r in df.select("t", F.col("t").rlike(to_java(pattern)).alias("hit")).collect():
+        assert r.hit == bool(re.search(pattern, r.t, re.I | re.X)), r.t
+
+
+MORE = [r"\bif\b", r"^\s*x|y$", r"(?:a|b)*c$", r"a$|b", r"\Bx", r"[^\W\d]+é", r"(?<=a)b", r"a(?!b)", r"(a)\1", r"\w{2,3}$", r"[^a-c]", r".\Z", r"(?i:ab)c", r"x{1001}", r"\S\s$", r"a??b", r"[\]\-^]"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcxyifIF éÉßſK\t\n\x0b\x1c\x85 -^]1_", max_size=12), min_size=1, max_size=6))
+def test_patterns_over_columns(texts):
+    """A pattern over a column finds what Python finds line by line."""
+    import pyarrow as pa
+
+    lines = pa.array(texts, pa.string())
+    for source in (*PATTERNS, *MORE):
+        for flags in (re.I | re.X, 0):
+            p = M.pattern(source, flags)
+            assert M.Pattern.mask(p, lines, M.beyond_ascii(lines)).tolist() == [bool(p.compiled.search(t)) for t in texts], source
+            assert M.pattern(source, flags, True).mask(lines, M.beyond_ascii(lines)).tolist() == [bool(p.compiled.match(t)) for t in texts], source
 
 
-def test_searches(spark):
-    s = Searches([(True, "A", r"foo\((\w*)"), (True, "B", "bar"), (False, "N", "baz")])
-    df = spark.createDataFrame([("foo(x) bar",), ("BAR",), ("bar baz",), ("foo()",), (None,)], "t string")
-    got = [(r[0], r[1]) for r in df.select(s.raw(s.index(F.col("t"))), s.match(s.index(F.col("t")), F.col("t"))).collect()]
-    assert got == [("A", "x"), ("B", ""), (None, None), ("A", ""), (None, None)]
-    assert not spark.createDataFrame([("BAR",)], "t string").where(Searches([(True, "B", "bar")], True).hit(F.col("t"))).count()
+def test_searches():
+    import pyarrow as pa
+
+    texts = ["foo(x) bar", "BAR", "bar baz", "foo()", "é bar baz", "é bar"]
+    lines = pa.array(texts)
+    s = M.Searches([(True, "A", r"foo\((\w*)"), (True, "B", "bar"), (False, "N", "baz")])
+    at = s.index(lines, M.beyond_ascii(lines)).tolist()
+    assert at == [0, 1, -1, 0, -1, 1] and [s.match(i, t) for i, t in zip(at, texts) if i >= 0] == ["x", "", "", ""]
+    assert M.Searches([(True, "B", "bar")], True).index(pa.array(["BAR"]), M.beyond_ascii(pa.array(["BAR"]))).tolist() == [-1]
 
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet=string.ascii_letters + " \t\n\r ;", max_size=30), min_size=1, max_size=8))
 def test_text_functions(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("i", T.lines_of(F.col("t")).alias("lines"), T.collapse(F.col("t")).alias("c"), strip(F.col("t")).alias("s"), T.indent(F.col("t")).alias("d"), T.fit(F.col("t"), 10).alias("f"), T.adler32_of_text(F.col("t")).alias("a")).collect()
+    rows = df.select("i", T.lines_of(F.col("t")).alias("lines"), T.collapse(F.col("t")).alias("c"), strip(F.col("t")).alias("s"), T.fit(F.col("t"), 10).alias("f")).collect()
     for r in rows:
         t = texts[r.i]
         lines = re.sub("\r\n|\r", "\n", t).split("\n")
         assert r.lines == (lines[:-1] if lines[-1] == "" else lines)
         assert r.c == " ".join(t.split()) and r.s == t.strip()
-        assert len(r.f) <= max(10, len(r.f) if len(t) <= 10 else 10)
-        if "\n" not in t and "\r" not in t:
-            e = t.expandtabs(4)
-            assert r.d == len(e) - len(e.lstrip())
+        assert r.f == (t if len(t) <= 10 else t[:2] + "..." + t[-5:])
 
 
 NAMES = ["a.c", "A.C", "Makefile", ".hidden", "x.zip.001", "main.min.js", "b.h", "noext.", "..x", "m1"]
@@ -120,6 +133,22 @@ def test_bad_configs(bad):
         config.parse(bad)
 
 
+def test_config_details():
+    """Lines that go on, constants in constants, blocks left open, includes of includes."""
+    texts = {"a.code": "INCLUDE:b.code: X\nmeasure NBNC file.* *.a t\n", "b.code": "measure NBNC file.* *.b\n"}
+    entries = config.parse("INCLUDE:a.code: Y\nCONSTANT:_E_:*.c\nCONSTANT:_F_:_E_;*.d\nmeasure Code file.* \\\n  _F_ \\\n  z # note\nsearch Search * *\n  x\n", read=texts.__getitem__)
+    assert [(e.file_filters, e.tags) for e in entries] == [(("*.b",), ("X", "Y")), (("*.a",), ("t", "Y")), (("*.c", "*.d"), ("z",))]
+
+
+def test_wanted_entries(spark):
+    """Filters by extension go through a join, all others through conditions; both see what a glob sees."""
+    filters = ["*.c", "*.C;*.h", "*.zip.*", "*", "NO_EXT", "EX:*.c:*.h", "RE:m", "?.c;*.h", "*."]
+    entries = [config.parse_entry(f"measure NBNC file.* {f} t{i}") for i, f in enumerate(filters)]
+    rows = config.wanted(spark.createDataFrame([(n,) for n in NAMES], "name string"), entries).collect()
+    order = sorted(range(len(entries)), key=lambda i: str(entries[i]))
+    assert {r.name: r["_wanted"] for r in rows} == {n: [i for i in order if config.globbed(n, list(entries[i].file_filters))] for n in NAMES}
+
+
 def test_stack(spark):
     files = spark.createDataFrame([("/r", "a.c"), ("/r/x", "a.c"), ("/r/x/y", "b.py"), ("/r/z", "a.c"), ("/r/zz", "a.c")], "folder string, name string")
     root, deep = config.parse("measure Code * *.c"), config.parse("measure NBNC file.* *.py\nmeasure Document * *.c")

