@@ -1,16 +1,19 @@
 """Evaluation texts that leak into documents, found by template windows.
 
-Both sides are brought to plain words (no case, punctuation, markup, escapes, line prefixes). Each word then gets a
-type: numbers, names (words that items write with a capital inside a sentence) and units (words that items count
-with a number) become typed placeholders, all other words stand for themselves. Windows of six typed words are
+Both sides are brought to plain words (no case, punctuation, markup, escapes, line prefixes). Words become typed words:
+numbers, names and units turn into placeholders, all others stand for themselves. Windows of six typed words are
 hashed; a document window that hash-joins an item window proposes an alignment (item, diagonal). The join's smaller
 side, the windows of the items, is broadcast in blocks of bounded size, so the documents are never shuffled.
 
 An alignment counts as *literal* if at least ``least`` consecutive item words stand there with at most one in ten
-replaced. If not, it counts as *re-parameterised* if a longer stretch agrees in its template and the replacement
-of slot values is consistent: the same value is always replaced by the same value.
+replaced. Why six: of any 18 or more words with at most one in ten replaced, six neighbours are untouched. In literal windows the words that
+items use as names and units are typed, and all numbers; a window of four placeholders or more joins by the words themselves, so that a
+table of numbers is not everywhere alike, and one of six equal words only at the edges of their run.
 
-Why six: of any 18 or more words with at most one in ten replaced, six neighbours are untouched.
+An alignment counts as *re-parameterised* if ``least_template`` typed words, and half of the item's, agree (one in ten may differ), some slot has another value,
+and the replacement is consistent: a value is always replaced by the same value, and different values by different ones. Here the types are told
+by the words themselves, so that values no item has ever held still fit a slot: a number (of whatever form) is a number, the word after it
+is its unit, and a word capitalised within a sentence, or one that begins a sentence and that items never use in lower case, is a name.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,14 @@ from pyspark.sql import functions as F
 
 WIDTH = 6
 LEAST = 18
-LEAST_TEMPLATE = 40
+LEAST_TEMPLATE = 13  # typed words, a number with its fractions and groups being one: eight windows in a row
+LEAST_FIXED = 6  # of which so many stand for themselves
+COVER = 0.5  # of an item's typed words: a shorter stretch is a sentence in the same style, not the question again
 BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKED = re.compile(r"[^\W_]+|[.?!:](?=\s|$)|\n\s*\n")
+_ENDS = (".", "?", "!", ":", "\n\n")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _ESCAPED = re.compile(r"\\(?:u00[0-9a-fA-F]{2}|x[0-9a-fA-F]{2}|[nrtbf\"'/\\])")
@@ -39,10 +47,10 @@ _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>#*/;|-]*(?=[^\W\d_])")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>#*+|%;!:]+|-+|//+|/\*+|\(?\d{1,4}[.):|\]](?=\s)|\[\d+\]|[A-Za-z]{1,12}>(?=\s))[ \t]*)+", re.M)
 
 
-def words(text: str | None) -> list[str]:
-    """The plain words of a text; none of a null text."""
+def plain(text: str | None) -> str:
+    """A text without markup, escapes, broken words and line prefixes; '' for a null text."""
     if not text:
-        return []
+        return ""
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text:
@@ -55,7 +63,25 @@ def words(text: str | None) -> list[str]:
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if "-\n" in text or "-\r" in text:
         text = _BROKEN.sub("", text)
-    return _WORD.findall(_PREFIX.sub("", text).casefold())
+    return _PREFIX.sub("", text)
+
+
+def words(text: str | None) -> list[str]:
+    """The plain words of a text; none of a null text."""
+    return _WORD.findall(plain(text).casefold())
+
+
+def both_words(text: str | None) -> tuple[list[str], list[str]]:
+    """(plain words as written, the same without case); a word that begins a sentence has the mark ``^`` before it."""
+    own = plain(text)
+    low, written, begins = _WORD.findall(own.casefold()), [], True
+    for token in _MARKED.findall(own):
+        if token in _ENDS or token[0] == "\n":
+            begins = True
+        else:
+            written.append("^" + token if begins else token)
+            begins = False
+    return (written, low) if len(low) == len(written) else (written, [w.removeprefix("^").casefold() for w in written])
 
 
 def _lexicons(texts: list[str]) -> tuple[set[str], set[str]]:
@@ -65,102 +91,177 @@ def _lexicons(texts: list[str]) -> tuple[set[str], set[str]]:
     return names, units - names
 
 
+NUMBER, NAME, UNIT = 1, 2, 3
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of each window of ``WIDTH`` codes."""
+    n = len(codes) - WIDTH + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(WIDTH):
+        h = (h ^ codes[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.astype(np.int64)
+
+
+def _in_windows(marks: np.ndarray) -> np.ndarray:
+    """How many words of each window are marked."""
+    return np.convolve(marks, np.ones(WIDTH, np.int64), "valid") if len(marks) >= WIDTH else np.empty(0, np.int64)
+
+
+class Index:
+    """Windows of the items of a block by hash."""
+
+    def __init__(self, windows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``windows`` are the places and hashes of each item's windows."""
+        self.hashes = np.concatenate([h for _, h in windows]) if windows else np.empty(0, np.int64)
+        where = [np.stack([np.full(len(at), i), at], axis=1) for i, (at, _) in enumerate(windows)]
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.where = self.hashes[order], (np.concatenate(where)[order] if where else np.empty((0, 2), np.int64))
+
+    def diagonals(self, at: np.ndarray, h: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """The different (item, shift) that windows ``h`` at places ``at`` propose; joined ``most`` pairs at a time."""
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        found = high > low
+        if not found.any():
+            return np.empty((0, 2), np.int64)
+        at, low, count = at[found], low[found], (high - low)[found]
+        part = np.cumsum(count) // most
+        out = []
+        for p in np.unique(part):
+            own = part == p
+            n = count[own]
+            begin = np.repeat(low[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            out.append(np.unique(np.stack([self.where[begin, 0], np.repeat(at[own], n) - self.where[begin, 1]], axis=1), axis=0))
+        return out[0] if len(out) == 1 else np.unique(np.concatenate(out), axis=0)
+
+
 class Templates:
     """The windows of a block of items, ready to be joined with documents."""
 
-    NUMBER, NAME, UNIT = 1, 2, 3
-
     def __init__(self, items: list[tuple[int, str]]) -> None:
         names, units = _lexicons([t for _, t in items if t])
         self.ids: dict[str, int] = {}
         self.typed: dict[str, int] = {}
-        self.items = []
-        for item, text in items:
-            literal = []
-            for w in words(text):
+        split = [(item, *both_words(text)) for item, text in items]
+        # words that items use in lower case stand for themselves in a template
+        self.fixed: dict[str, int] = {}
+        for _, written, low in split:
+            for w, x in zip(low, written, strict=True):
                 if w not in self.ids:
                     self.ids[w] = len(self.ids) + 10
-                    self.typed[w] = self._type(w, names, units, self.ids[w])
-                literal.append(w)
-            if len(literal) >= WIDTH:
-                self.items.append((item, np.array([self.ids[w] for w in literal], np.int64), np.array([self.typed[w] for w in literal], np.int64)))
-        hashes, where = [], []
-        for at, (_, _, typed) in enumerate(self.items):
-            h = self._hash(typed)
-            hashes.append(h)
-            where.append(np.stack([np.full(len(h), at), np.arange(len(h))], axis=1))
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.where = self.hashes[order], (np.concatenate(where)[order] if where else np.empty((0, 2), np.int64))
+                    self.typed[w] = NUMBER if w.isdigit() else NAME if w in names else UNIT if w in units else self.ids[w]
+                if not (x[0] == "^" or x[0].isupper() or w.isdigit()):
+                    self.fixed[w] = self.ids[w]
+        self.items, self.templates = [], []
+        for item, written, low in split:
+            if len(low) >= WIDTH:
+                self.items.append((item, np.array([self.ids[w] for w in low], np.int64), np.array([self.typed[w] for w in low], np.int64)))
+                self.templates.append(self.template(written, low))
+        self.literal_windows = Index([self._literal(own, typed) for _, own, typed in self.items])
+        self.template_windows = Index([self._template(codes) for codes, _ in self.templates])
 
-    @classmethod
-    def _type(cls, word: str, names: set[str], units: set[str], own: int) -> int:
-        return cls.NUMBER if word.isdigit() else cls.NAME if word in names else cls.UNIT if word in units else own
+    @staticmethod
+    def _literal(own: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows that are known and tell something."""
+        slots = _in_windows((typed < 10).astype(np.int64))
+        words_ = _in_windows((own == 0).astype(np.int64)) == 0  # all words are the items' own
+        known = _in_windows((typed == 0).astype(np.int64)) == 0
+        by_words = slots >= 4
+        change = np.concatenate([[True], own[1:] != own[:-1]]).astype(np.int64) if len(own) else np.empty(0, np.int64)
+        inner = np.convolve(change[1:], np.ones(WIDTH - 1, np.int64), "valid") == 0 if len(own) >= WIDTH else np.empty(0, bool)  # six equal words
+        edge = (change[: len(inner)] == 1) | np.concatenate([change[WIDTH:] == 1, [True]])[: len(inner)] if len(inner) else inner
+        use = np.where(by_words, words_, known) & (~inner | edge)
+        at = np.flatnonzero(use)
+        return at, np.where(by_words, hashed(own), hashed(typed))[at]
 
     @staticmethod
-    def _hash(typed: np.ndarray) -> np.ndarray:
-        n = len(typed) - WIDTH + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        h = np.zeros(n, np.uint64)
-        for i in range(WIDTH):
-            h = (h ^ typed[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h.astype(np.int64)
+    def _template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        use = (_in_windows((codes == 0).astype(np.int64)) == 0) & (_in_windows((codes >= 10).astype(np.int64)) >= 3)
+        at = np.flatnonzero(use)
+        return at, hashed(codes)[at]
+
+    def template(self, written: list[str], low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, values) of a text's words as a template: a run of digits is one number; 0 is a word that no item knows."""
+        codes, values, fixed, number = [], [], self.fixed, False
+        for x, w in zip(written, low, strict=True):
+            if w.isdigit():
+                value = zlib.crc32(w.encode())
+                if number:
+                    values[-1] = zlib.crc32(w.encode(), values[-1])
+                    continue
+                codes.append(NUMBER)
+                values.append(value)
+                number = True
+                continue
+            code = UNIT if number else NAME if x[0].isupper() else fixed.get(w) or (NAME if x[0] == "^" else 0)
+            codes.append(code)
+            values.append(zlib.crc32(w.encode()) if code < 10 else code)
+            number = False
+        return np.array(codes, np.int64), np.array(values, np.int64)
 
     def alignments(self, text: str | None, least: int, least_template: int) -> Iterator[tuple[int, int, int, bool]]:
         """(item, words, replaced words, literal?) of the best alignment with each item."""
-        tokens = words(text)
-        if len(tokens) < WIDTH:
-            return
-        literal = np.array([self.ids.get(w, 0) for w in tokens], np.int64)
-        typed = np.array([self.typed.get(w, 0) or (self.NUMBER if w.isdigit() else 0) for w in tokens], np.int64)
-        known = np.convolve(typed != 0, np.ones(WIDTH, np.int64), "valid") == WIDTH
-        if not known.any():
-            return
-        at = np.flatnonzero(known)
-        h = self._hash(typed)[at]
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        found = high > low
-        if not found.any():
+        written, low = both_words(text)
+        if len(low) < WIDTH:
             return
-        at, low, high = at[found], low[found], high[found]
-        count = high - low
-        begin = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, pos = self.where[begin, 0], self.where[begin, 1]
-        pairs, support = np.unique(np.stack([item, np.repeat(at, count) - pos], axis=1), axis=0, return_counts=True)
         best: dict[int, tuple[int, int, bool]] = {}
-        for (i, shift), windows in zip(pairs.tolist(), support.tolist(), strict=True):
-            number, own, own_typed = self.items[i]
+        for place, found in self._quoted(low, least):
+            number = self.items[place][0]
+            if found > best.get(number, (0, 0))[:2]:
+                best[number] = (*found, True)
+        for place, found in self._rewritten(written, low, least_template):
+            number = self.items[place][0]
+            if number not in best or (not best[number][2] and found > best[number][:2]):
+                best[number] = (*found, False)
+        for number, (n, replaced, is_literal) in best.items():
+            yield number, n, replaced, is_literal
+
+    def _quoted(self, low: list[str], least: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        ids, typed_ids = self.ids, self.typed
+        literal = np.array([ids.get(w, 0) for w in low], np.int64)
+        if np.count_nonzero(literal) < WIDTH:
+            return
+        typed = np.array([typed_ids.get(w, 0) or (NUMBER if w.isdigit() else 0) for w in low], np.int64)
+        for place, shift in self.literal_windows.diagonals(*self._literal(literal, typed)).tolist():
+            _, own, _ = self.items[place]
             first, last = max(0, -shift), min(len(own), len(literal) - shift)
-            if last - first < least:
+            if last - first >= least:
+                n, replaced, _ = longest(own[first:last] == literal[first + shift : last + shift], least)
+                if n:
+                    yield place, (n, replaced)
+
+    def _rewritten(self, written: list[str], low: list[str], least: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        codes, values = self.template(written, low)
+        for place, shift in self.template_windows.diagonals(*self._template(codes)).tolist():
+            own, own_values = self.templates[place]
+            first, last = max(0, -shift), min(len(own), len(codes) - shift)
+            long_enough = max(least, int(np.ceil(COVER * len(own))))
+            if last - first < long_enough:
                 continue
-            a, b = own[first:last], literal[first + shift : last + shift]
-            same = a == b
-            words_, replaced = longest(same, least)
-            if words_:
-                if words_ > best.get(number, (0, 0, False))[0] or not best[number][2]:
-                    best[number] = (words_, replaced, True)
+            a, b = slice(first, last), slice(first + shift, last + shift)
+            n, _, begin = longest(own[a] == codes[b], long_enough)
+            if not n:
                 continue
-            if windows + WIDTH - 1 >= least_template and number not in best:
-                alike = own_typed[first:last] == typed[first + shift : last + shift]
-                words_, _ = longest(alike, least_template)
-                slots = alike & (own_typed[first:last] < 10)
-                if words_ and consistent(a[slots], b[slots]):
-                    best[number] = (words_, int((~same).sum()), False)
-        for number, (n, replaced, is_literal) in best.items():
-            yield number, n, replaced, is_literal
+            part = slice(begin, begin + n)
+            x, y, kinds = own_values[a][part], values[b][part], own[a][part]
+            alike = kinds == codes[b][part]
+            slots, changed = alike & (kinds < 10), x != y
+            if (alike & (kinds >= 10)).sum() >= LEAST_FIXED and (slots & changed).any() and consistent(x[slots], y[slots]):
+                yield place, (n, int(changed.sum()))
 
 
-def longest(same: np.ndarray, least: int) -> tuple[int, int]:
-    """(length, mismatches) of the longest stretch of at least ``least``, with equal ends and at most one in ten unequal; else (0, 0)."""
+def longest(same: np.ndarray, least: int) -> tuple[int, int, int]:
+    """(length, mismatches, begin) of the longest stretch of at least ``least``, with equal ends and at most one in ten unequal; else (0, 0, 0)."""
     n = len(same)
     if n < least or same.sum() < 0.9 * least:
-        return 0, 0
+        return 0, 0, 0
     debt = np.concatenate([[0], np.cumsum(np.where(same, -1, 9))])  # falls by 1 a word, rises by 10 a mismatch
     starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
     highest = np.maximum.accumulate(debt[starts])
-    best = (0, 0)
+    best = (0, 0, 0)
     first = np.searchsorted(highest, debt[ends], "left")  # the first start whose debt is no lower than the end's
     ok = first < len(starts)
     if ok.any():
@@ -168,14 +269,13 @@ def longest(same: np.ndarray, least: int) -> tuple[int, int]:
         top = int(length.argmax())
         if length[top] >= least:
             begin = starts[first[top]]
-            best = (int(length[top]), int((~same[begin : ends[top]]).sum()))
+            best = (int(length[top]), int((~same[begin : ends[top]]).sum()), int(begin))
     return best
 
 
 def consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether values of a map to values of b one to one; unknown values (0) may stand for anything."""
-    known = b != 0
-    pairs = set(zip(a[known].tolist(), b[known].tolist(), strict=True))
+    """Whether equal values of ``a`` always meet equal values of ``b``, and different ones different ones."""
+    pairs = set(zip(a.tolist(), b.tolist(), strict=True))
     return len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
 
 

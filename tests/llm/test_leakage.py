@@ -32,20 +32,77 @@ def templates():
 @pytest.mark.parametrize("name", FOUND)
 def test_found(templates, name):
     text = "Something before this, and then.\n\n" + FOUND[name] + "\n\nAnd something after it."
-    assert [i for i, *_, literal in templates.alignments(text, 18, 40) if literal] == [1]
+    assert [i for i, *_, literal in templates.alignments(text, 18, 13) if literal] == [1]
 
 
 @pytest.mark.parametrize("name", NOT_FOUND)
 def test_not_found(templates, name):
-    assert not [i for i, *_, literal in templates.alignments("Before. " + NOT_FOUND[name] + " after", 18, 40) if literal]
+    assert not [i for i, *_, literal in templates.alignments("Before. " + NOT_FOUND[name] + " after", 18, 13) if literal]
 
 
 def test_reparameterised(templates):
     text = ITEM.replace("936", "12").replace("16 of", "99 of").replace("44", "7").replace("66th", "3rd").replace("Trihex", "Lamnex")
-    got = {i: literal for i, *_, literal in templates.alignments(text, 36, 30)}
+    got = {i: literal for i, *_, literal in templates.alignments(text, 36, 13)}
     assert got == {1: False}
 
 
+def rewritten(text, rng):
+    """All numbers, names and units of an item replaced, the same value by the same value."""
+    given = {}
+
+    def other(kind, value):
+        if (kind, value) not in given:
+            given[kind, value] = str(rng.randint(100_000, 999_999)) if kind == "number" else "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(4))
+        return given[kind, value]
+
+    out = re.sub(r"(?<=[a-z,;] )([A-Z]\w+)", lambda m: other("name", m[1]).capitalize(), text)
+    out = re.sub(r"\b(\d+) ([a-z]{4,}s)\b", lambda m: f"{m[1]} {other('unit', m[2])}s", out)
+    return re.sub(r"\b\d+\b", lambda m: other("number", m[0]), out)
+
+
+def test_reparameterised_recall_and_precision(sf):
+    """Whole items with new numbers, names and units, as no item has them, are found; so are they in the middle of another text. Documents of the corpus are not."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(11)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist() if r["text"] and len(r["text"].split()) >= 18]
+    own = leakage.Templates(items)
+    found = rewritten_only = wrong = 0
+    for item, text in items:
+        new = rewritten(text, rng)
+        assert not any(w in own.ids for w in re.findall(r"\d{6}", new))
+        got = {i: literal for i, *_, literal in own.alignments(f"Somebody asked me this. {new} I do not know.", 18, 13)}
+        found += item in got
+        rewritten_only += not got.get(item, True)
+        wrong += len(set(got) - {item})
+    # an item with few slots can hold eighteen words of which one in ten is another: that is literal
+    assert found >= 0.98 * len(items) and rewritten_only >= 0.5 * len(items) and wrong <= 0.1 * found
+    docs = pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()
+    assert sum(1 for t in docs for *_, literal in own.alignments(t, 18, 13) if not literal) <= 0.02 * len(docs)
+    swapped = ITEM.replace("936", "12").replace("16 of", "12 of").replace("44", "7").replace("66th", "3rd")
+    assert leakage.Templates([(1, ITEM)]).template_windows and not [1 for *_, literal in leakage.Templates([(1, ITEM)]).alignments(swapped, 40, 13) if not literal]  # 936 and 16 both became 12
+
+
+def test_short_items(templates):
+    """An item of eighteen words with both numbers replaced."""
+    item = "If 12 workers repair the old engine in 7 days then how many days would one of them need?"
+    own = leakage.Templates([(5, item)])
+    assert [(i, literal) for i, *_, literal in own.alignments("Ask. " + item.replace("12", "35").replace("7", "90"), 18, 13)] == [(5, False)]
+
+
+def test_tables_of_numbers():
+    """A table of numbers is not everywhere alike: time and memory stay small, a quoted stretch of it is found."""
+    import time
+
+    rng = random.Random(5)
+    table = " ".join(str(rng.randint(0, 9)) for _ in range(2000))
+    own = leakage.Templates([(1, table), (2, "0 " * 500)])
+    began = time.time()
+    assert [i for i, *_, literal in own.alignments("see " + table[1000:1100] + " and so on", 18, 13) if literal] == [1]
+    assert [i for i, *_, literal in own.alignments("x " + "0 " * 3000 + "y", 18, 13) if literal] == [2]
+    assert not list(own.alignments(" ".join(str(rng.randint(10, 99)) for _ in range(20_000)), 18, 13)) and time.time() - began < 5
+
+
 def test_longest_against_brute_force():
     rng = random.Random(4)
     for _ in range(400):
