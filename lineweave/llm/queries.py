@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return handwritten.judged(table(spark, sf, "file_tree"), table(spark, sf, "file_measures")).groupBy("kind").agg(F.count("*").alias("files"))
+    return handwritten.judged(table(spark, sf, "file_tree"), table(spark, sf, "file_measures")).groupBy("kind", "evidence").agg(F.count("*").alias("files"))
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
