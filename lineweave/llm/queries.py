@@ -88,7 +88,11 @@ def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.share_by_source(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p5_found, p5_kinds, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources)}
+def p8_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.ends(table(spark, sf, "documents")).where("cut").groupBy("evidence").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_ranked, p3_percentiles, p3_daily, p4_found, p4_restored, p5_found, p5_kinds, p6_pack, p7_found, p7_reparameterised, p8_found, p8_sources, p8_evidence)}
 
 _RANKED = """
 SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY routine_complexity DESC, routine_name ASC NULLS LAST, routine_id) AS rank,

@@ -2,7 +2,7 @@
 
 Evidence is gathered from the whole corpus and then held against the end of every text:
 
-* A vocabulary trie, kept as a table prefix -> number of known words that go on from it. A final token that is no known
+* A vocabulary trie, kept as a table of its nodes: in how many texts known words go on from there. A final token that is no known
   word but a proper prefix of known words was cut in mid-word.
 * Context counts: how often the last five (three) typed words before a place are followed by the end of a line and how
   often by another word. Typed: frequent words stand for themselves, others become a class (name, identifier, number ...).
@@ -19,24 +19,28 @@ All statistics are tables; only the frequent words (at most 1/share times the wo
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.operators.joins import left_by_key
 from lineweave.session import checkpointed
 
 SHARE = 0.18  # of a language's texts: a word that occurs in so many is frequent
 FORMULA = 0.001  # of all different texts: a last line that ends so many is a habit of ending, as long as LEAST_FORMULA do
 LEAST_FORMULA = 4
 LONGEST_KEY = 200
+TRIE_DEPTH = 40  # words beyond it hang together from their first so many characters
+WIDTHS = (3, 5)
 FLUSH = 400_000
 BLOCKS = (256, 500, 512, 1000, 1024, 2000, 2048, 4000, 4096, 8192)
 
 _TOKEN = re.compile(r"https?://[^\s<>\"')\]]+|\w+|[^\w\s]")
-_SENTENCE = re.compile(r"(?<=[.?!])\s+(?=\S)")
 _MARK = re.compile(r"(?:\[(?:\.\.\.|…|more|truncated|cut|snip)\]|\((?:more|truncated|continued|cont\.?|\.\.\.|…)\)|(?:read|see) more\W{0,3}|<(?:snip|cut|truncated)>)\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.\.|…)\s*$")
 _CLOSED = re.compile(r"(?:[.?!。！？](?:[\"'”’»)\]*_]|</\w+>)*|^\([^()\n]*\)|```|~~~|</\w+>)\Z")
@@ -61,104 +65,158 @@ def _class(word: str, frequent: frozenset[str]) -> str:
     return "N" if word[0].isupper() else "w"
 
 
+_BREAKS = "\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_PARTS = re.compile(rf"https?://[^\s<>\"')\]]+|\w+|[^\w\s]|[{_BREAKS}]|(?<=[.?!])\s(?=\s*\S)")
+
+
 def segments(text: str) -> Iterator[list[str]]:
     """The token lists of a text's lines, prose lines by sentence."""
-    for line in text.splitlines():
-        if line and not line.isspace():
-            for part in _SENTENCE.split(line):
-                if tokens := _TOKEN.findall(part):
-                    yield tokens
+    own: list[str] = []
+    for token in _PARTS.findall(text):
+        if token.isspace():
+            if own:
+                yield own
+                own = []
+        else:
+            own.append(token)
+    if own:
+        yield own
 
 
 def subwords(token: str) -> list[str]:
     """The words of a token in lower case: those an identifier is put together from, or the word itself."""
-    return [w.lower() for w in _HUMP.split(token) if w and len(w) <= 40]
+    return [w.lower() for w in _HUMP.split(token) if w]
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
 
+class _Remembered(dict):
+    """A function of tokens with its answers kept, up to a bound."""
 
-def _key(tokens: list[str]) -> int:
-    return int.from_bytes(blake2b("\x1f".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    def __init__(self, function, most: int = 300_000) -> None:
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, token: str):
+        if len(self) > self.most:
+            self.clear()
+        answer = self[token] = self.function(token)
+        return answer
 
 
 def _language(lang: str | None) -> str:
     return (lang or "und").strip().lower()[:2] or "un"
 
 
+def _words_of(token: str) -> tuple[str, ...]:
+    return tuple(subwords(token)) if (token[0].isalpha() or token[0] == "_") and not token.startswith("http") else ()
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, texts): in how many texts of a split a word occurs before the final token; word '' counts the texts."""
-    counts: dict[tuple[str, str], int] = {}
+    counts: dict[str, Counter] = {}
+    words = _Remembered(_words_of)
 
     def out() -> pa.RecordBatch:
-        keys = list(counts)
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "texts"])
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, c in counts.items() for _ in c], pa.string()), pa.array([w for c in counts.values() for w in c], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["lang", "word", "texts"])
         counts.clear()
         return batch
 
     for batch in batches:
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            lang = _language(lang)
             tokens = _TOKEN.findall(text)
-            for w in {w for x in set(tokens[:-1]) if (x[0].isalpha() or x[0] == "_") and not x.startswith("http") for w in subwords(x)} | {""}:
-                counts[lang, w] = counts.get((lang, w), 0) + 1
-        if len(counts) > FLUSH:
+            own = {""}
+            for t in set(tokens[:-1]):
+                own.update(words[t])
+            counts.setdefault(_language(lang), Counter()).update(own)
+        if sum(map(len, counts.values())) > FLUSH:
             yield out()
     yield out()
 
 
+# -- contexts ------------------------------------------------------------------------------------------------------
+
+_BREAK, _START = np.uint64(0), np.uint64(0x5BD1E995)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _coder(frequent: frozenset[str]) -> _Remembered:
+    """Codes of tokens: a hash of a token's class, 0 for white space, which ends a segment."""
+    return _Remembered(lambda t: 0 if t.isspace() else (_key(_class(t, frequent)) & 0x7FFFFFFFFFFFFFFF) | 1)
+
+
+def _hashes(codes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the last ``width`` codes at each place of a segment (of fewer at its start)."""
+    h = np.full(len(codes), np.uint64(width), np.uint64)
+    for back in range(width):
+        earlier = np.concatenate([np.zeros(back, np.uint64), codes[: len(codes) - back]]) if back else codes
+        h = np.where(places >= back, (h ^ earlier) * _MIX, h)
+        h ^= h >> np.uint64(31)
+    return h.astype(np.int64)
+
+
+def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of texts laid out with a start before each: (codes, place in the segment, whether it ends there, number of the text)."""
+    sizes = [len(c) + 1 for c in coded]
+    codes = np.fromiter((x for c in coded for x in (0, *c)), np.uint64, sum(sizes))
+    text = np.repeat(np.arange(len(coded)), sizes)
+    gap = codes == _BREAK
+    keep = ~gap | np.concatenate([~gap[1:], [False]]) if len(gap) else gap  # a break before a token starts its segment
+    codes, text, gap = codes[keep], text[keep], gap[keep]
+    index = np.arange(len(codes))
+    start = np.maximum.accumulate(np.where(gap, index, 0)) if len(codes) else index
+    ends = np.concatenate([gap[1:], [True]]) if len(codes) else gap
+    return np.where(gap, _START, codes), index - start, ends, text
+
+
 def _contexts(frequent: dict[str, frozenset[str]]):
     """(ctx, ends, goes_on) over all places but the end of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, list[int]] = {}
-        none: frozenset[str] = frozenset()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([_key(list(k)) for k in counts], pa.int64()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["ctx", "ends", "goes_on"])
-            counts.clear()
-            return batch
-
+        coders = _Remembered(lambda lang: _coder(frequent.get(lang, frozenset())))
         for batch in batches:
+            coded = []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = frequent.get(_language(lang), none)
-                last = None
-                for tokens in segments(text):
-                    if last:
-                        _count(last, counts, True)
-                    last = ["^", *(_class(t, words) for t in tokens)]
-                if last:
-                    _count(last, counts, False)
-            if len(counts) > FLUSH:
-                yield out()
-        yield out()
+                code = coders[_language(lang)]
+                coded.append([code[t] for t in _PARTS.findall(text)])
+            codes, places, ends, text = _flat(coded)
+            last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.empty(0, bool)
+            use = np.flatnonzero((places > 0) & ~last)  # how the text itself ends is not evidence
+            keys = np.concatenate([_hashes(codes, places, k)[use] for k in WIDTHS])
+            at_end = np.tile(ends[use], len(WIDTHS))
+            found, where = np.unique(keys, return_inverse=True)
+            stops = np.bincount(where, weights=at_end, minlength=len(found)).astype(np.int64)
+            both = np.bincount(where, minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(stops, pa.int64()), pa.array(both - stops, pa.int64())], names=["ctx", "ends", "goes_on"])
 
     return run
 
 
-def _count(typed: list[str], counts: dict[tuple, list[int]], to_end: bool) -> None:
-    n = len(typed)
-    for i in range(1, n):
-        if i == n - 1 and not to_end:
-            return  # how the text itself ends is not evidence
-        end = i == n - 1
-        for k in (3, 5):
-            key = (str(k), *typed[max(0, i - k + 1) : i + 1])
-            have = counts.get(key)
-            if have is None:
-                have = counts[key] = [0, 0]
-            have[0 if end else 1] += 1
-
-
 _FINAL = "id long, source string, copy long, chars long, bytes long, stated long, token string, line string, mark boolean, dots boolean, open boolean, closed boolean, url boolean, unbalanced boolean, ctx3 long, ctx5 long"
 
 
 def _finals(frequent: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: frozenset[str] = frozenset()
+        coders = _Remembered(lambda lang: _coder(frequent.get(lang, frozenset())))
         schema = pa.schema([("id", pa.int64()), ("source", pa.string()), ("copy", pa.int64()), *((n, pa.int64()) for n in ("chars", "bytes", "stated")), ("token", pa.string()), ("line", pa.string()), *((n, pa.bool_()) for n in ("mark", "dots", "open", "closed", "url", "unbalanced")), ("ctx3", pa.int64()), ("ctx5", pa.int64())])
         for batch in batches:
-            rows = []
+            rows, coded = [], []
             for key, text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                rows.append((key, source, _key([text.strip()]), len(text), len(text.encode("utf-8", "surrogatepass")), stated, *_end(text, frequent.get(_language(lang), none))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
+                *shown, last = _end(text)
+                rows.append((key, source, _key(text.strip()), len(text), len(text.encode("utf-8", "surrogatepass")), stated, *shown))
+                code = coders[_language(lang)]
+                coded.append([code[t] for t in last])
+            codes, places, _, number = _flat(coded)
+            final = np.flatnonzero(np.concatenate([number[1:] != number[:-1], [True]])) if len(number) else np.empty(0, np.int64)
+            contexts = []
+            for k in WIDTHS:
+                of = np.full(len(rows), _key(str(k)), np.int64)  # a text that ends in nothing but marks
+                of[number[final]] = _hashes(codes, places, k)[final]
+                contexts.append(pa.array(of, pa.int64()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(schema) - len(WIDTHS))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)), *contexts], schema=schema)
 
     return run
 
@@ -166,11 +224,11 @@ def _finals(frequent: dict[str, frozenset[str]]):
 def line_key(line: str) -> str:
     """A line, numbers aside; a long one as its end, where a cut shows, and a hash of all of it."""
     shape = re.sub(r"\d+", "0", line)
-    return shape if len(shape) <= LONGEST_KEY else f"{_key([shape]):x} {shape[-LONGEST_KEY:]}"
+    return shape if len(shape) <= LONGEST_KEY else f"{_key(shape):x} {shape[-LONGEST_KEY:]}"
 
 
-def _end(text: str, frequent: frozenset[str]) -> tuple:
-    """What the end of a text shows: (token, line, mark, dots, open, closed, url, unbalanced, ctx3, ctx5)."""
+def _end(text: str) -> tuple:
+    """What the end of a text shows: (token, line, mark, dots, open, closed, url, unbalanced, tokens of its last segment)."""
     body = text.rstrip()
     mark = bool(_MARK.search(body))
     own = _MARK.sub("", body).rstrip() if mark else body
@@ -184,13 +242,11 @@ def _end(text: str, frequent: frozenset[str]) -> tuple:
     last: list[str] = []
     for last in segments(line):  # noqa: B007
         pass
-    typed = ["^", *(_class(t, frequent) for t in last)]
     parts = subwords(last[-1]) if last and last[-1][0].isalpha() and not last[-1].startswith("http") else []
     token = parts[-1] if parts else None
     opens = sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
     unbalanced = line.count('"') % 2 == 1 or (opens > 0 and not line.endswith(("{", "(", "[", ":", ","))) or bool(re.search(r"[\w)\]]\s*(?:=|==|\+|,|&&|\|\||<|->|=>|\.)$", line))
-    ctx = [_key([str(k), *typed[max(0, len(typed) - k) :]]) for k in (3, 5)]
-    return token, line_key(line), mark, dots, is_open, bool(_CLOSED.search(own) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, *ctx
+    return token, line_key(line), mark, dots, is_open, bool(_CLOSED.search(own) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, last
 
 
 def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", stated: str = "n_chars", share: float = SHARE) -> DataFrame:
@@ -207,36 +263,50 @@ def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     finals = rows.mapInArrow(_finals(lists), _FINAL)
     counts = rows.mapInArrow(_contexts(lists), "ctx long, ends long, goes_on long").groupBy("ctx").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    known = words.where("word <> ''").groupBy("word").agg(F.sum("texts").alias("texts"))
-    trie = (
-        known.where("texts >= 2")
-        .select(F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(left(word, i) as p, i < length(word) as proper))")).alias("n"), "texts")
-        .groupBy(F.col("n.p").alias("p"))
-        .agg(F.sum(F.when(F.col("n.proper"), F.col("texts")).otherwise(0)).alias("longer"), F.sum(F.when(~F.col("n.proper"), F.col("texts")).otherwise(0)).alias("whole"))
-    )
     f = checkpointed(finals)
     limits = field_limits(f)
     # how texts end that show no other trace of a cut: formulas of an end are seen here, as the places above leave ends out
-    sound = f.where(~F.col("mark") & ~F.col("open") & ~F.col("dots")).join(limits.where("unit = 'chars'").select(F.col("source").alias("s"), "size"), (F.col("chars") == F.col("size")) & F.col("source").eqNullSafe(F.col("s")), "left_anti").select("ctx5", "copy").distinct().groupBy("ctx5").agg(F.count("*").alias("final5"))
+    by_chars = limits.where("unit = 'chars'").select(F.col("source").alias("s"), "size")
+    sound = f.where(~F.col("mark") & ~F.col("open") & ~F.col("dots")).join(by_chars, (F.col("chars") == F.col("size")) & F.col("source").eqNullSafe(F.col("s")), "left_anti").groupBy("ctx5", "copy").agg(F.first("id")).groupBy("ctx5").agg(F.count("*").alias("final5"))
     # copies of one text are one text: many of them do not make its end a formula
-    lines = f.select("line", "copy").distinct().groupBy("line").agg(F.count("*").alias("line_texts"))
-    texts = f.agg(F.count_distinct("copy").alias("texts"))
-    joined = (
-        f.join(lines, "line", "left")
-        .crossJoin(F.broadcast(texts))
-        .join(trie.withColumnRenamed("p", "token_"), F.col("token") == F.col("token_"), "left")
-        .join(counts.select(F.col("ctx").alias("ctx5"), F.col("ends").alias("ends5"), F.col("goes_on").alias("on5")), "ctx5", "left")
-        .join(sound, "ctx5", "left")
-        .join(counts.select(F.col("ctx").alias("ctx3"), F.col("ends").alias("ends3"), F.col("goes_on").alias("on3")), "ctx3", "left")
-        .join(limits.where("unit = 'chars'").select(F.col("source").alias("s1"), F.col("size").alias("c")), F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("c")), "left")
-        .join(limits.where("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("size").alias("b")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bytes") == F.col("b")), "left")
-    )
+    lines = f.groupBy("line", "copy").agg(F.count("*").alias("n")).groupBy("line").agg(F.count("*").alias("line_texts"), F.sum("n").alias("line_rows"))
+    texts = f.agg(F.count_distinct("copy")).first()[0]
+    # what is known of each different end, one row per end; then the texts, of which many may share one
+    of = lambda column: f.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(column + "_rows"))
+    known_tokens = of("token").join(trie(words, f), "token", "left")
+    after = {k: of(f"ctx{k}").join(counts.select(F.col("ctx").alias(f"ctx{k}"), F.col("ends").alias(f"ends{k}"), F.col("goes_on").alias(f"on{k}")), f"ctx{k}", "left") for k in WIDTHS}
+    joined = f.withColumn("texts", F.lit(texts))
+    for column, table, count in (("line", lines, "line_rows"), ("token", known_tokens, "token_rows"), ("ctx5", after[5].join(sound, "ctx5", "left"), "ctx5_rows"), ("ctx3", after[3], "ctx3_rows")):
+        joined = left_by_key(joined, table.withColumnRenamed(column, "_own_key"), F.col(column), "_own_key", count, F.col("id"))
+    for unit, column in (("chars", "c"), ("bytes", "b")):  # one row per limit of a source, no more than there are sources times sizes that spike
+        own = limits.where(F.col("unit") == unit).select(F.col("source").alias("_source"), F.col("size").alias(column))
+        joined = joined.join(own, F.col("source").eqNullSafe(F.col("_source")) & (F.col(unit) == F.col(column)), "left").drop("_source")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return joined.select(
+    out = joined.select(
         F.col("id").alias(key), F.col("source").alias(source), "chars", "bytes", "stated", "token", "line", "mark", "dots", "open", "closed", "url", "unbalanced",
         zero("longer").alias("longer"), zero("whole").alias("whole"), zero("line_texts").alias("line_texts"), "texts", zero("ends5").alias("ends5"), zero("on5").alias("on5"), zero("ends3").alias("ends3"), zero("on3").alias("on3"), zero("final5").alias("final5"),
         (F.col("c").isNotNull() | F.col("b").isNotNull()).alias("at_limit"),
-    ).withColumn("cut", _verdict())
+    )
+    return out.withColumn("cut", _verdict()).withColumn("evidence", F.when(F.col("cut"), _evidence()))
+
+
+def trie(words: DataFrame, finals: DataFrame) -> DataFrame:
+    """(token, longer, whole): the vocabulary trie at the final tokens, in how many texts words go on from there and how often it is a word itself.
+
+    The trie is a table of its nodes, prefix by prefix, down to ``TRIE_DEPTH`` characters; deeper down words hang in one bundle from the node of
+    their first ``TRIE_DEPTH`` characters, and a final token that long is held against the words of its bundle.
+    """
+    known = words.where("word <> ''").groupBy("word").agg(F.sum("texts").alias("texts")).where("texts >= 2")
+    depth = F.least(F.length("word"), F.lit(TRIE_DEPTH))
+    nodes = (
+        known.select(F.explode(F.transform(F.sequence(F.lit(1), depth), lambda i: F.struct(F.left("word", i).alias("p"), (i < F.length("word")).alias("proper")))).alias("n"), "texts")
+        .groupBy(F.col("n.p").alias("token"))
+        .agg(F.sum(F.when(F.col("n.proper"), F.col("texts")).otherwise(0)).alias("longer"), F.sum(F.when(~F.col("n.proper"), F.col("texts")).otherwise(0)).alias("whole"))
+    )
+    bundles = known.where(F.length("word") > TRIE_DEPTH).select(F.left("word", F.lit(TRIE_DEPTH)).alias("stem"), "word", "texts")
+    deep = finals.where(F.length("token") > TRIE_DEPTH).select("token", F.left("token", F.lit(TRIE_DEPTH)).alias("stem")).distinct().join(bundles, "stem").where(F.startswith(F.col("word"), F.col("token")))
+    same = F.col("word") == F.col("token")
+    return nodes.unionByName(deep.groupBy("token").agg(F.sum(F.when(~same, F.col("texts")).otherwise(0)).alias("longer"), F.sum(F.when(same, F.col("texts")).otherwise(0)).alias("whole")))
 
 
 def field_limits(finals: DataFrame, least: int = 5, times: float = 6.0, reach: int = 12) -> DataFrame:
@@ -258,9 +328,23 @@ def field_limits(finals: DataFrame, least: int = 5, times: float = 6.0, reach: i
     return spikes.unionByName(multiples).distinct()
 
 
-def _verdict():
+def _middle_word() -> Column:
+    return F.col("token").isNotNull() & (F.col("whole") == 0) & (F.col("longer") > 0)
+
+
+def _at_limit() -> Column:
+    return F.col("at_limit") | (F.col("stated") > F.col("chars") + 4)
+
+
+def _evidence() -> Column:
+    """What shows most directly that a text was cut: the vocabulary, lengths, a mark, open structure or the context."""
+    return F.when(_middle_word(), "vocabulary").when(_at_limit(), "length").when(F.col("mark"), "mark").when(F.col("open"), "open structure").otherwise("context")
+
+
+def _verdict() -> Column:
+    """Whether the text was cut."""
     c = F.col
-    middle_word = c("token").isNotNull() & (c("whole") == 0) & (c("longer") > 0)
+    middle_word, at_limit = _middle_word(), _at_limit()
     # the same last line, numbers aside, ends a share of all different texts; no habit ends in mid-word
     formula = (c("line_texts") >= F.greatest(F.lit(LEAST_FORMULA), FORMULA * c("texts"))) & ~middle_word
     much = c("ends5") + c("on5") >= 8  # else the shorter context must agree
@@ -269,7 +353,6 @@ def _verdict():
     goes_on = ~usual & F.when(much, on5).otherwise(on3 & (c("ends5") == 0))
     may_go_on = ~usual & F.when(much, c("ends5") < 3 * c("on5")).otherwise(c("ends3") <= 3 * c("on3"))
     odd_word = c("token").isNotNull() & (c("longer") > 3 * c("whole"))
-    at_limit = c("at_limit") | (c("stated") > c("chars") + 4)
     return (
         F.when(c("mark"), True)
         .when(c("open"), ~c("closed") | at_limit)
