@@ -23,6 +23,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -71,17 +72,19 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(plain(text).casefold())
 
 
-def both_words(text: str | None) -> tuple[list[str], list[str]]:
-    """(plain words as written, the same without case); a word that begins a sentence has the mark ``^`` before it."""
-    own = plain(text)
-    low, written, begins = _WORD.findall(own.casefold()), [], True
-    for token in _MARKED.findall(own):
-        if token in _ENDS or token[0] == "\n":
-            begins = True
-        else:
-            written.append("^" + token if begins else token)
-            begins = False
-    return (written, low) if len(low) == len(written) else (written, [w.removeprefix("^").casefold() for w in written])
+def split(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(plain words without case, which are capitalised within a sentence, which begin one capitalised)."""
+    tokens = _MARKED.findall(plain(text))
+    if not tokens:
+        return [], np.zeros(0, bool), np.zeros(0, bool)
+    folded = "\0".join(tokens).casefold().split("\0")
+    high = np.fromiter(map(ne, tokens, folded), bool, len(tokens))
+    ends = np.fromiter((t in _ENDS or t[0] == "\n" for t in folded), bool, len(tokens))
+    begins = np.concatenate([[True], ends[:-1]])
+    for _ in range(3):  # a break after a full stop still begins a sentence
+        begins[1:] |= begins[:-1] & ends[:-1]
+    words_ = ~ends
+    return [t for t, w in zip(folded, words_.tolist(), strict=True) if w] if ends.any() else folded, (high & ~begins)[words_], (high & begins)[words_]
 
 
 def _lexicons(texts: list[str]) -> tuple[set[str], set[str]]:
@@ -144,22 +147,24 @@ class Templates:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         names, units = _lexicons([t for _, t in items if t])
         self.ids: dict[str, int] = {}
-        self.typed: dict[str, int] = {}
-        split = [(item, *both_words(text)) for item, text in items]
-        # words that items use in lower case stand for themselves in a template
-        self.fixed: dict[str, int] = {}
-        for _, written, low in split:
-            for w, x in zip(low, written, strict=True):
-                if w not in self.ids:
-                    self.ids[w] = len(self.ids) + 10
-                    self.typed[w] = NUMBER if w.isdigit() else NAME if w in names else UNIT if w in units else self.ids[w]
-                if not (x[0] == "^" or x[0].isupper() or w.isdigit()):
-                    self.fixed[w] = self.ids[w]
+        own = [(item, *split(text)) for item, text in items]
+        for _, low, _, _ in own:
+            for w in low:
+                self.ids.setdefault(w, len(self.ids) + 10)
+        # by id: the type in literal windows, and the code in templates of words that items use in lower case, which stand for themselves
+        self.typed, self.fixed = np.zeros(len(self.ids) + 10, np.int64), np.zeros(len(self.ids) + 10, np.int64)
+        for w, i in self.ids.items():
+            self.typed[i] = NUMBER if w.isdigit() else NAME if w in names else UNIT if w in units else i
+        for _, low, inner, first in own:
+            plain_ids = np.array([self.ids[w] for w in low], np.int64)[~(inner | first)]
+            self.fixed[plain_ids] = plain_ids
         self.items, self.templates = [], []
-        for item, written, low in split:
+        for item, low, inner, first in own:
             if len(low) >= WIDTH:
-                self.items.append((item, np.array([self.ids[w] for w in low], np.int64), np.array([self.typed[w] for w in low], np.int64)))
-                self.templates.append(self.template(written, low))
+                ids = np.array([self.ids[w] for w in low], np.int64)
+                self.items.append((item, ids, self.typed[ids]))
+                codes, begins = self.template(low, ids, self.numbers(low), inner, first)
+                self.templates.append((codes, self.values(low, begins, 0, len(begins), codes)))
         self.literal_windows = Index([self._literal(own, typed) for _, own, typed in self.items])
         self.template_windows = Index([self._template(codes) for codes, _ in self.templates])
 
@@ -183,48 +188,49 @@ class Templates:
         at = np.flatnonzero(use)
         return at, hashed(codes)[at]
 
-    def template(self, written: list[str], low: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, values) of a text's words as a template: a run of digits is one number; 0 is a word that no item knows."""
-        codes, values, fixed, number = [], [], self.fixed, False
-        for x, w in zip(written, low, strict=True):
-            if w.isdigit():
-                value = zlib.crc32(w.encode())
-                if number:
-                    values[-1] = zlib.crc32(w.encode(), values[-1])
-                    continue
-                codes.append(NUMBER)
-                values.append(value)
-                number = True
-                continue
-            code = UNIT if number else NAME if x[0].isupper() else fixed.get(w) or (NAME if x[0] == "^" else 0)
-            codes.append(code)
-            values.append(zlib.crc32(w.encode()) if code < 10 else code)
-            number = False
-        return np.array(codes, np.int64), np.array(values, np.int64)
+    @staticmethod
+    def numbers(low: list[str]) -> np.ndarray:
+        return np.fromiter(map(str.isdigit, low), bool, len(low))
+
+    def template(self, low: list[str], ids: np.ndarray, number: np.ndarray, inner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, places of their first words) of a text's words as a template: a run of digits is one number; 0 is a word that no item knows."""
+        after = np.concatenate([[False], number[:-1]])
+        codes = np.where(inner, NAME, self.fixed[ids])
+        codes = np.where((codes == 0) & first, NAME, codes)
+        codes = np.where(number, NUMBER, np.where(after, UNIT, codes))
+        begins = np.flatnonzero(~(number & after))
+        return codes[begins], begins
+
+    @staticmethod
+    def values(low: list[str], begins: np.ndarray, first: int, last: int, codes: np.ndarray) -> np.ndarray:
+        """What stands in the slots ``first`` to ``last`` of a template, as numbers; words that stand for themselves give their code."""
+        until = np.append(begins, len(low))
+        return np.array([zlib.crc32(" ".join(low[until[i] : until[i + 1]]).encode()) if codes[i] < 10 else codes[i] for i in range(first, last)], np.int64)
 
     def alignments(self, text: str | None, least: int, least_template: int) -> Iterator[tuple[int, int, int, bool]]:
         """(item, words, replaced words, literal?) of the best alignment with each item."""
-        written, low = both_words(text)
+        low, inner, first = split(text)
         if len(low) < WIDTH:
             return
-        best: dict[int, tuple[int, int, bool]] = {}
-        for place, found in self._quoted(low, least):
-            number = self.items[place][0]
-            if found > best.get(number, (0, 0))[:2]:
-                best[number] = (*found, True)
-        for place, found in self._rewritten(written, low, least_template):
-            number = self.items[place][0]
-            if number not in best or (not best[number][2] and found > best[number][:2]):
-                best[number] = (*found, False)
-        for number, (n, replaced, is_literal) in best.items():
-            yield number, n, replaced, is_literal
-
-    def _quoted(self, low: list[str], least: int) -> Iterator[tuple[int, tuple[int, int]]]:
-        ids, typed_ids = self.ids, self.typed
-        literal = np.array([ids.get(w, 0) for w in low], np.int64)
-        if np.count_nonzero(literal) < WIDTH:
+        get = self.ids.get
+        literal = np.fromiter((get(w, 0) for w in low), np.int64, len(low))
+        if np.count_nonzero(literal) < 3:
             return
-        typed = np.array([typed_ids.get(w, 0) or (NUMBER if w.isdigit() else 0) for w in low], np.int64)
+        number = self.numbers(low)
+        best: dict[int, tuple[int, int, bool]] = {}
+        for place, found in self._quoted(literal, number, least):
+            item = self.items[place][0]
+            if found > best.get(item, (0, 0))[:2]:
+                best[item] = (*found, True)
+        for place, found in self._rewritten(low, self.template(low, literal, number, inner, first), least_template):
+            item = self.items[place][0]
+            if item not in best or (not best[item][2] and found > best[item][:2]):
+                best[item] = (*found, False)
+        for item, (n, replaced, is_literal) in best.items():
+            yield item, n, replaced, is_literal
+
+    def _quoted(self, literal: np.ndarray, number: np.ndarray, least: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        typed = np.where(number, NUMBER, self.typed[literal])
         for place, shift in self.literal_windows.diagonals(*self._literal(literal, typed)).tolist():
             _, own, _ = self.items[place]
             first, last = max(0, -shift), min(len(own), len(literal) - shift)
@@ -233,8 +239,8 @@ class Templates:
                 if n:
                     yield place, (n, replaced)
 
-    def _rewritten(self, written: list[str], low: list[str], least: int) -> Iterator[tuple[int, tuple[int, int]]]:
-        codes, values = self.template(written, low)
+    def _rewritten(self, low: list[str], own_template: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        codes, begins = own_template
         for place, shift in self.template_windows.diagonals(*self._template(codes)).tolist():
             own, own_values = self.templates[place]
             first, last = max(0, -shift), min(len(own), len(codes) - shift)
@@ -246,7 +252,7 @@ class Templates:
             if not n:
                 continue
             part = slice(begin, begin + n)
-            x, y, kinds = own_values[a][part], values[b][part], own[a][part]
+            x, y, kinds = own_values[a][part], self.values(low, begins, first + shift + begin, first + shift + begin + n, codes), own[a][part]
             alike = kinds == codes[b][part]
             slots, changed = alike & (kinds < 10), x != y
             if (alike & (kinds >= 10)).sum() >= LEAST_FIXED and (slots & changed).any() and consistent(x[slots], y[slots]):
