@@ -229,13 +229,15 @@ def line_key(line: str) -> str:
 
 def _end(text: str) -> tuple:
     """What the end of a text shows: (token, line, mark, dots, open, closed, url, unbalanced, tokens of its last segment)."""
-    body = text.rstrip()
-    mark = bool(_MARK.search(body))
-    own = _MARK.sub("", body).rstrip() if mark else body
-    dots = bool(_DOTS.search(own))
-    if dots:
-        own = _DOTS.sub("", own).rstrip()
-    line = own.rsplit("\n", 1)[-1].strip()
+    own = text.rstrip()
+    # marks and dots stand at the very end and are short, so they are looked for there
+    mark, dots = (_MARK.search(own, max(0, len(own) - 100)), None)
+    if mark:
+        own = own[: mark.start()].rstrip()
+    if dots := _DOTS.search(own, max(0, len(own) - 3)):
+        own = own[: dots.start()].rstrip()
+    last_line = own.rfind("\n") + 1
+    line = own[last_line:].strip()
     fences = len(_FENCE.findall(own))
     opened, ended = own.count("<pre"), own.count("</pre>")
     is_open = fences % 2 == 1 or opened > ended
@@ -246,7 +248,7 @@ def _end(text: str) -> tuple:
     token = parts[-1] if parts else None
     opens = sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
     unbalanced = line.count('"') % 2 == 1 or (opens > 0 and not line.endswith(("{", "(", "[", ":", ","))) or bool(re.search(r"[\w)\]]\s*(?:=|==|\+|,|&&|\|\||<|->|=>|\.)$", line))
-    return token, line_key(line), mark, dots, is_open, bool(_CLOSED.search(own) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, last
+    return token, line_key(line), bool(mark), bool(dots), is_open, bool(_CLOSED.search(own, last_line) or _CLOSED.search(line)), bool(_URL_END.search(line)), unbalanced, last
 
 
 def ends(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", stated: str = "n_chars", share: float = SHARE) -> DataFrame:
