@@ -48,6 +48,19 @@ def test_little_is_left_unused():
     assert containers <= 1.01 * least
 
 
+def test_large_capacity():
+    """A plan for containers of 131,072 tokens with texts of every length: bounded memory, hardly any space unused."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    counts = np.bincount(rng.integers(1, 131_073, 60_000), minlength=131_073)
+    tracemalloc.start()
+    containers = sum(n for _, n in packing.plan(counts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and containers <= 1.01 * -(-int(counts @ np.arange(131_073)) // 131_072)
+
+
 def test_pack(spark):
     texts = [(i, "word " * (1 + i % 37), 1) for i in range(400)] + [(900, None, 1), (901, "", 1), (None, "x", 1), (902, "many words here " * 900, 1), (0, "word", 1)]
     df = spark.createDataFrame(texts, "doc_id long, text string, tokens int").repartition(5, "doc_id")
