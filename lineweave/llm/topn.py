@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
+from pyspark.sql.pandas.types import to_arrow_type
 
 _DONE = (1,)  # sorts after every (0, ...) key
 
@@ -136,12 +138,12 @@ def _first_n(n: int):
     return run
 
 
-def _merge(n: int):
+def _merge(n: int, number: pa.DataType):
     """Over rows sorted by (bucket, run, seq): put each run together again and merge bucket by bucket."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.string(), pa.int32(), pa.int64(), number, pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "rank", "id", "score", "tie"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +170,24 @@ def _merge(n: int):
 def top_n_per_group(df: DataFrame, group: str, score: str, tie: str, key: str, n: int = 5, buckets: int | None = None) -> DataFrame:
     """The first ``n`` ids of each group by score descending, ``tie`` ascending in code-point order with null last, id ascending.
 
-    ``group`` and ``tie`` are strings, ``score`` and ``key`` whole numbers. Result: (``group``, rank, ``key``, score, tie).
-    Rows whose group, score or key is null take no part. Several rows of one key in a group count once, at their
-    best place. Groups with fewer than ``n`` ids give all of them; an empty table gives no rows. Other columns of
-    ``df``, whatever their names, are not read. ``buckets`` (default: 4 x shuffle partitions) bounds the memory of
-    a merge task to the runs of a bucket, at most n rows a group and split.
+    ``group`` and ``tie`` are strings, ``score`` a number of any kind, which it stays, and ``key`` a whole number. Result: (``group``, rank, ``key``,
+    score, tie). Rows whose group, score or key is null, or whose score is no number (NaN), take no part. Several rows of one key in a group count
+    once, at their best place. Groups with fewer than ``n`` ids give all of them; an empty table gives no rows. Other columns of ``df``, whatever their
+    names, are not read. Buckets are merged one after another, so a merge task holds the runs of one bucket: all that the splits
+    kept (at most n rows a group and split) divided by ``buckets`` (default: 16 x shuffle partitions).
     """
     if n < 1:
         raise ValueError("n must be positive")
     spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & F.col(key).isNotNull()).select(
-        F.pmod(F.xxhash64(F.col(group)), F.lit(buckets)).cast("int").alias("b"), F.col(group).alias("g"), F.col(score).cast("long").alias("s"), F.col(tie).cast("string").alias("t"), F.col(key).cast("long").alias("i")
+    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = df.schema[score].dataType
+    kind = K.DoubleType() if isinstance(kind, (K.DoubleType, K.FloatType)) else kind if isinstance(kind, K.DecimalType) else K.LongType()
+    points = F.col(score).cast(kind)
+    rows = df.where(F.col(group).isNotNull() & points.isNotNull() & ~F.isnan(points.cast("double")) & F.col(key).isNotNull()).select(
+        F.pmod(F.xxhash64(F.col(group)), F.lit(buckets)).cast("int").alias("b"), F.col(group).alias("g"), points.alias("s"), F.col(tie).cast("string").alias("t"), F.col(key).cast("long").alias("i")
     )
+    name = kind.simpleString()
     ordered = rows.sortWithinPartitions("b", "g", F.col("s").desc(), F.col("t").asc_nulls_last(), "i")
-    runs = ordered.mapInArrow(_first_n(n), "bucket int, run int, seq int, groups array<string>, scores array<long>, ties array<string>, ids array<long>")
-    merged = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "seq").mapInArrow(_merge(n), "g string, rank int, id long, score long, tie string")
+    runs = ordered.mapInArrow(_first_n(n), f"bucket int, run int, seq int, groups array<string>, scores array<{name}>, ties array<string>, ids array<long>")
+    merged = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "seq").mapInArrow(_merge(n, to_arrow_type(kind)), f"g string, rank int, id long, score {name}, tie string")
     return merged.select(F.col("g").alias(group), "rank", F.col("id").alias(key), F.col("score").alias(score), F.col("tie").alias(tie))
