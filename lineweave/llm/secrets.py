@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lineweave.llm import trigrams
 
-LONGEST_BLOCK = 512
-LONGEST_BLIND = 64
+BUCKET = 512  # line numbers
+# how far a key block can reach whose other end was not delivered: a key of 512 lines has 24 KB, more than any in use; without a file id, lines
+# of other files of the same name lie between, and 64 lines are a key of 3 KB
+OPEN_REACH, BLIND_REACH = 512, 64
 CUT = 245  # lines are stored up to 255 characters, less what was trimmed
 MASK = "[MASKED]"
 
@@ -71,6 +73,8 @@ _NEXT_PIECE = re.compile(r"\s*(?:\+|\.|&|\.\.|\|\|)\s*([\"'])([^\"'\s]+)\1")
 _ANY_WORD = re.compile(_WORDS, re.I)
 _MARKER = r"^\W*-----(BEGIN|END) ([A-Z0-9 ]+)-----\W*$"
 _BODY = r"^\s*[A-Za-z0-9+/]{20,}={0,2}\s*$"
+# within a block whose both ends are there: any base64, quoted, commented, joined or ended by an escape, whatever its length
+_ANY_BODY = r"^[\s\"'`#*;>|+.,()\-]*(?://)?\s*[\"']?[A-Za-z0-9+/]+={0,2}(?:\\+[nr])*[\s\"'`+.,;)\\]*$"
 
 
 def queries() -> dict[str, set[frozenset[int]]]:
@@ -275,19 +279,26 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def key_material(lines: DataFrame) -> DataFrame:
-    """(id, match) of lines inside private key blocks; input (id, file, file_id, number, line, match)."""
-    marks = lines.where(F.col("line").rlike(_MARKER)).select("file", "file_id", "number", F.regexp_extract("line", _MARKER, 1).alias("edge"), F.regexp_extract("line", _MARKER, 2).alias("kind")).distinct()
+    """(id, match) of lines inside private key blocks; input (id, file, file_id, number, line, match).
+
+    A block whose both ends were delivered holds all base64 between them, however far they are apart. One of which only an end was holds full
+    lines of base64 within the reach of a key. Markers are few; they are ordered per file, and block ranges are joined by buckets of line numbers.
+    """
+    found = F.regexp_extract("line", _MARKER, 1)
+    marks = lines.where(F.col("line").rlike(_MARKER)).select("file", "file_id", "number", found.alias("edge"), F.regexp_extract("line", _MARKER, 2).alias("kind")).distinct()
     # files of one name are told apart by their id, which also keeps a common name from being one group;
-    # markers that were delivered without an id have only each other, and a shorter reach
+    # markers that were delivered without an id have only each other
     order = Window.partitionBy("file", "file_id").orderBy("number", F.col("edge").desc())
-    reach = F.when(F.col("file_id").isNull(), LONGEST_BLIND).otherwise(LONGEST_BLOCK)
-    near = marks.select("*", F.lead("edge").over(order).alias("next_edge"), F.lead("kind").over(order).alias("next_kind"), F.lead("number").over(order).alias("next"), F.lag("edge").over(order).alias("last_edge"), F.lag("number").over(order).alias("last"))
+    reach = F.when(F.col("file_id").isNull(), BLIND_REACH).otherwise(OPEN_REACH)
+    near = marks.select("*", F.lead("edge").over(order).alias("next_edge"), F.lead("number").over(order).alias("next"), F.lag("edge").over(order).alias("last_edge"), F.lag("number").over(order).alias("last"))
     private = near.where(F.col("kind").endswith("PRIVATE KEY"))
-    opened = private.where("edge = 'BEGIN'").select("file", "file_id", F.col("number").alias("low"), F.least(F.coalesce("next", F.col("number") + reach), F.col("number") + reach).alias("high"))
-    closed = private.where("edge = 'END' and (last_edge is null or last_edge = 'END')").select("file", "file_id", F.greatest(F.coalesce("last", F.col("number") - reach), F.col("number") - reach).alias("low"), F.col("number").alias("high"))
-    blocks = opened.unionByName(closed).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / LONGEST_BLOCK), F.floor(F.col("high") / LONGEST_BLOCK)))).withColumnRenamed("file_id", "block_file")
-    body = lines.where(F.col("line").rlike(_BODY)).withColumn("bucket", F.floor(F.col("number") / LONGEST_BLOCK))
-    inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & (F.col("file_id").isNull() | F.col("block_file").isNull() | (F.col("file_id") == F.col("block_file")))
+    whole = (F.col("next_edge") == "END") & (F.col("file_id").isNotNull() | (F.col("next") <= F.col("number") + reach))
+    opened = private.where("edge = 'BEGIN'").select("file", "file_id", F.col("number").alias("low"), F.when(whole, F.col("next")).otherwise(F.least(F.coalesce("next", F.col("number") + reach), F.col("number") + reach)).alias("high"), F.coalesce(whole, F.lit(False)).alias("whole"))
+    closed = private.where("edge = 'END' and (last_edge is null or last_edge = 'END')").select("file", "file_id", F.greatest(F.coalesce("last", F.col("number") - reach), F.col("number") - reach).alias("low"), F.col("number").alias("high"), F.lit(False).alias("whole"))
+    blocks = opened.unionByName(closed).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET)))).withColumnRenamed("file_id", "block_file")
+    body = lines.where(F.col("line").rlike(_ANY_BODY)).withColumn("full", F.col("line").rlike(_BODY)).withColumn("bucket", F.floor(F.col("number") / BUCKET))
+    same_file = F.col("file_id").isNull() | F.col("block_file").isNull() | (F.col("file_id") == F.col("block_file"))
+    inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & same_file & (F.col("full") | (F.col("whole") & (F.col("file_id") == F.col("block_file"))))
     return body.join(blocks, ["file", "bucket"]).where(inside).select("id", "match").distinct()
 
 
