@@ -7,7 +7,11 @@ a replacement or control character, and a price on characters that the corpus do
 again are not counted, or one in every row would teach the model that it is plausible. A token whose cheapest reachable
 text is clearly cheaper than itself was garbled; foreign or odd text has no cheaper text to go to.
 
-Spark side: the distinct tokens with characters beyond ASCII are searched once each, however often they occur.
+Text garbled and then escaped within ASCII (``caf&Atilde;&copy;``, ``caf\\u00c3\\u00a9``) is searched from what it unescapes to, and counts as garbled
+only where that reads as UTF-8 beyond chance: escapes by themselves are no garbling, nor are percent signs and quoted-printable, which
+stand for bytes and are read as UTF-8 at once.
+
+Spark side: the distinct tokens with characters beyond ASCII or escapes of such are searched once each, however often they occur.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.session import checkpointed
@@ -30,7 +34,7 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251
 WRITTEN_IN = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp866", "mac_roman", "cp1250", "cp1253", "cp1254", "cp437", "cp850", "cp932", "euc_jp", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "gbk", "euc_kr", "big5")
 
 DEPTH = 3
-EXPANSIONS = 8
+REACH = 10.0  # how much dearer than the best text a state may be and still be expanded
 MARGIN = 1.4
 PER_STEP = 0.3
 CHAIN = 25.0
@@ -39,6 +43,9 @@ MOST_GRAMS = 1_000_000
 _FLOOR_COUNT = 0.02
 
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9A-F]{2})|=([0-9A-F]{2})")
+_BYTES = re.compile(r"(?:[%=][89A-Fa-f][0-9A-Fa-f]){2,}|(?:\\x[89a-fA-F][0-9a-fA-F]){2,}")
+# what escapes of characters beyond ASCII look like, at least two next to each other, as garbling leaves them
+ESCAPED = r"(?:&(?:[A-Za-z]{2,8}|#1[2-9]\d|#2\d\d|#8\d{3}|#x[89a-fA-F][0-9a-fA-F]);){2}|(?:\\u00[89a-fA-F][0-9a-fA-F]){2}|(?:[%=]C[23][%=][89AB][0-9A-F]){2}"
 
 
 def _bytes_of_c1(error: UnicodeError):
@@ -114,6 +121,20 @@ def _unescape(text: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(next(g for g in m.groups() if g), 16)), text)
 
 
+def unescaped(token: str) -> str | None:
+    """What a token within ASCII stands for, if it holds escapes; runs of escaped bytes are read as UTF-8 if they are it, else they stay."""
+
+    def whole(m: re.Match) -> str:
+        raw = bytes(int(x, 16) for x in re.findall(r"[0-9A-Fa-f]{2}", m[0]))
+        return _decode(raw, "utf-8") or m[0]
+
+    text = _BYTES.sub(whole, token)
+    if "&" in text:
+        text = html.unescape(text)
+    text = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: c if not 0xD800 <= ord(c := chr(int(m[1], 16))) < 0xE000 else m[0], text)
+    return text if not text.isascii() else None
+
+
 def _fold(c: str) -> str:
     """Characters as the model sees them: letters beyond ASCII as they are, ASCII letters by case, the rest by kind."""
     if c > "\x7f":
@@ -142,15 +163,16 @@ class Plausibility:
         return sum(costs.get(g, floor) for g in grams(text)) / 2 + sum(30 if c < "\xa0" or c == "�" else UNKNOWN for c in text if c > "\x7f" and (c < "\xa0" or c == "�" or c not in self.known))
 
 
-def restore(token: str, model: Plausibility, depth: int = DEPTH, expansions: int = EXPANSIONS) -> tuple[str, float, str]:
-    """(cheapest reachable text, cost saved, operations) by best-first search; the token itself if none is cheaper."""
+def restore(token: str, model: Plausibility, depth: int = DEPTH, reach: float = REACH) -> tuple[str, float, str]:
+    """(cheapest reachable text, cost saved, operations) by best-first search; the token itself if none is cheaper.
+
+    States are expanded in order of cost until the cheapest that is left is dearer than the best text by ``reach``; the start always is.
+    """
     start = model.cost(token)
     best = (start, token, "")
     queue = [(start, 0, token, "")]
     visited = {token}
-    for _ in range(expansions):
-        if not queue:
-            break
+    while queue and queue[0][0] <= max(best[0] + reach, start if not queue[0][1] else 0):
         cost, level, text, path = heapq.heappop(queue)
         if level == depth:
             continue
@@ -165,21 +187,32 @@ def restore(token: str, model: Plausibility, depth: int = DEPTH, expansions: int
             for target in WRITTEN_IN:
                 if target != name and (inner := _decode(raw, target)) is not None:
                     nexts.append((f"{name}>{target}", inner))
+        straight_so_far = all(x.endswith("utf-8") or x == "unescape" for x in path.split())
+        so_far = cost - model.cost(text) if path else 0
         for step, found in nexts:
             if found in visited or not found:
                 continue
             visited.add(found)
             # wrong readings that stack up went through UTF-8 each time; other chains are worth a try, but at a price
-            straight = not path or step == "unescape" or (step.endswith("utf-8") and all(x.endswith("utf-8") or x == "unescape" for x in path.split()))
-            new = model.cost(found) + PER_STEP + (0 if not path else cost - model.cost(text)) + (0 if straight else CHAIN)
+            straight = not path or step == "unescape" or (step.endswith("utf-8") and straight_so_far)
+            new = model.cost(found) + PER_STEP + so_far + (0 if straight else CHAIN)
             way = f"{path} {step}".strip()
             if new < best[0]:
                 best = (new, found, way)
-            if new < cost + 25:  # a step may look worse before the next one makes it better, within reason
+            if new <= best[0] + reach and level + 1 < depth:
                 heapq.heappush(queue, (new, level + 1, found, way))
     return best[1], start - best[0], best[2]
 
 
+def restore_escaped(token: str, model: Plausibility) -> tuple[str, float, str] | None:
+    """``restore`` of what a token within ASCII stands for; None unless that was garbled before it was escaped."""
+    inner = unescaped(token)
+    if inner is None or not reads_as_utf8(inner):
+        return None
+    found, gain, path = restore(inner, model)
+    return (found, gain, f"unescape {path}") if path else None
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, int] = {}
     for batch in batches:
@@ -197,6 +230,10 @@ def _search(model, margin: float):
         for batch in batches:
             rows = []
             for token in batch.column(0).to_pylist():
+                if token.isascii():
+                    if (got := restore_escaped(token, own)) and got[1] >= margin:
+                        rows.append((token, got[0], float(got[1]), got[2], False))
+                    continue
                 found, gain, path = restore(token, own)
                 lost = "�" in token
                 if lost or gain >= margin:
@@ -209,7 +246,7 @@ def _search(model, margin: float):
 def garbled_tokens(texts: DataFrame, text: str, margin: float = MARGIN) -> DataFrame:
     """(token, restored, gain, path, lost) for each distinct garbled token of ``text``; restored is null where nothing plausible is reachable."""
     spark = texts.sparkSession
-    tokens = texts.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.explode(_tokens(F.col(text))).alias("token"))
+    tokens = texts.where(_worth(F.col(text))).select(F.explode(_tokens(F.col(text))).alias("token"))
     distinct = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")))
     counted = distinct.mapInArrow(_count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     # a model of bounded size; the most frequent are found by the executors, the driver gets these alone
@@ -220,20 +257,29 @@ def garbled_tokens(texts: DataFrame, text: str, margin: float = MARGIN) -> DataF
     return distinct.repartition(tasks, "token").mapInArrow(_search(model, margin), "token string, restored string, gain double, path string, lost boolean")
 
 
-def _tokens(text):
-    return F.regexp_extract_all(text, F.lit(r"([^\x00-\x20]*[^\x00-\x7F][^\x00-\x20]*)"), F.lit(1))
+def _worth(text: Column) -> Column:
+    """Whether a text holds characters beyond ASCII or escapes of such. Escapes begin with one of four signs, which are looked for first."""
+    signs = F.contains(text, F.lit("&")) | F.contains(text, F.lit("\\u00")) | F.contains(text, F.lit("%C")) | F.contains(text, F.lit("=C"))
+    return text.rlike(r"[^\x00-\x7F]") | (signs & text.rlike(ESCAPED))
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[^\x00-\x20]+"), F.lit(0)), _worth)
 
 
 def garbled_rows(fields: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(table_name, row_id, original, restored, whole) of the rows of (table_name, row_id, text) that hold a garbled token.
 
     ``restored`` has each garbled token replaced by its restoration; tokens that cannot be restored stay, and ``whole``
-    tells whether any did. Null texts, empty texts and texts within ASCII are never garbled. Rows with a null id take
+    tells whether any did. Null texts and empty texts are never garbled, nor are texts within ASCII without escapes. Rows with a null id take
     no part. Repeated deliveries of one row give one row per different text.
     """
-    texts = fields.where(F.col("row_id").isNotNull()).select("table_name", F.col("row_id").cast("long").alias("row_id"), "text").where(F.col("text").rlike(r"[^\x00-\x7F]")).distinct()
+    texts = fields.where(F.col("row_id").isNotNull()).select("table_name", F.col("row_id").cast("long").alias("row_id"), "text").where(_worth(F.col("text"))).distinct()
     bad = checkpointed(garbled_tokens(fields, "text", margin))
     hits = texts.withColumn("token", F.explode(F.array_distinct(_tokens(F.col("text"))))).join(bad, "token")
-    per_row = hits.groupBy("table_name", "row_id", "text").agg(F.sort_array(F.collect_list(F.struct(F.length("token").alias("size"), "token", "restored")), asc=False).alias("fixes"), F.bool_and(F.col("restored").isNotNull() & ~F.col("lost")).alias("whole"))
-    fixed = F.aggregate("fixes", F.col("text"), lambda acc, x: F.replace(acc, x["token"], F.coalesce(x["restored"], x["token"])))
+    fixes = F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("restored", "token").alias("restored"))))
+    per_row = hits.groupBy("table_name", "row_id", "text").agg(fixes.alias("fixes"), F.bool_and(F.col("restored").isNotNull() & ~F.col("lost")).alias("whole"))
+    # token by token, so that a token that is part of another does not change it
+    parts = F.regexp_extract_all("text", F.lit(r"[\x00-\x20]+|[^\x00-\x20]+"), F.lit(0))
+    fixed = F.array_join(F.transform(parts, lambda x: F.coalesce(F.element_at("fixes", x), x)), "")
     return per_row.select("table_name", "row_id", F.col("text").alias("original"), fixed.alias("restored"), "whole")

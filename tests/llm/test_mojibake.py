@@ -60,3 +60,18 @@ def test_garbled_in_a_third_of_the_rows(spark, word, read):
 def test_clean_words_are_counted():
     for word in ("größe", "l’école", "qu’à", "шаг", "Её", "値の範囲", "•", "CAFÉ"):
         assert not mojibake.reads_as_utf8(word), word
+
+
+@pytest.mark.parametrize("text,restored", [("gr&Atilde;&para;&Atilde;&#159;e", "größe"), ("gr\\u00c3\\u00b6\\u00c3\\u009fe", "größe"), ("gr%C3%83%C2%B6%C3%83%C2%9Fe", "größe"), ("r=C3=83=C2=A9pertoire", "répertoire"), ("gr%C3%B6%C3%9Fe", None), ("gr=C3=B6=C3=9Fe", None), ("gr&ouml;&szlig;e", None), ("gr\\u00f6\\u00dfe", None), ("\\xc3\\xb6\\xc3\\x9f", None), ("\\x89PNG\\xff\\xd8\\xfe", None), ("a&&b||c;", None), ("%C3%C3", None)])
+def test_escaped(model, text, restored):
+    """Escapes of garbled text are garbled text; escapes of sound text and of bytes are not."""
+    got = mojibake.restore_escaped(text, model)
+    assert (got[0] if got else None) == restored
+
+
+def test_tokens_within_tokens(spark):
+    """A garbled token that is part of another, sound or garbled, is replaced where it stands alone."""
+    bad = "größe".encode().decode("cp1252", "keep_c1")
+    rows = [("t", i, t) for i, t in enumerate(CLEAN)] + [("t", 1000, f"{bad}\t x{bad}x  {bad} caf&Atilde;&copy; é")]
+    got = {r.row_id: r.restored for r in mojibake.garbled_rows(spark.createDataFrame(rows, "table_name string, row_id long, text string")).collect()}
+    assert got == {1000: "größe\t xgrößex  größe café é"}
