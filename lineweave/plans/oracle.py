@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lineweave.functions.paths import COMPRESSED, NON_CODE
 from lineweave.functions.ranks import COMMENT_DENSITY, COMPLEXITY, FILES_IN_FOLDER, NESTING, ROUTINE_SIZE
+from lineweave.plans import oracle_scan
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -63,12 +64,18 @@ v AS (SELECT doc_id, n, i, ('0x' || substr(h, 2 * i + 1, 2))::INT::HUGEINT AS v
 SELECT documents.doc_id, nullif((sum((n - i) * v) % 65521) * 65536 + sum(v) % 65521, 0)::BIGINT::VARCHAR AS file_crc
 FROM documents LEFT JOIN v USING (doc_id) GROUP BY documents.doc_id"""
 
+def _shown(line: str) -> str:
+    """A line stripped and cut, tabs to the next even column, control characters as '_'."""
+    cut = f"string_split(regexp_replace(left(regexp_replace({line}, '^{_WS}+|{_WS}+$', '', 'g'), 255), '{_WS}+$', ''), chr(9))"
+    return f"left(regexp_replace(array_to_string([s || repeat(' ', 2 - length(s) % 2) FOR s IN {cut}[:-2]], '') || {cut}[-1], '[\\x00-\\x1e]', '_', 'g'), 255)"
+
+
 _HITS = f"""
 WITH {_DOC_LINES},
 hit AS (SELECT doc_id, i, replace(x, chr(0), '') AS t FROM lines WHERE NOT regexp_matches(x, '(?i)cannot')),
 one AS (SELECT doc_id, i, CASE WHEN regexp_matches(t, '(?i)(?:throw{_S}+new|raise){_S}+([\\p{{L}}\\p{{N}}_]+)') THEN 'throw' WHEN regexp_matches(t, '(?i)([\\p{{L}}\\p{{N}}_]+)\\([\\p{{L}}\\p{{N}}_]+\\)') THEN 'call' END AS kind, t FROM hit)"""
 ORACLES["search_lines_documents"] = _HITS + f"""
-SELECT doc_id, i::BIGINT AS search_linenum, kind AS search_regex,
+SELECT doc_id, {_shown('t')} AS search_line, i::BIGINT AS search_linenum, kind AS search_regex,
        CASE kind WHEN 'throw' THEN regexp_extract(t, '(?i)(?:throw{_S}+new|raise){_S}+([\\p{{L}}\\p{{N}}_]+)', 1) ELSE regexp_extract(t, '(?i)([\\p{{L}}\\p{{N}}_]+)\\([\\p{{L}}\\p{{N}}_]+\\)', 1) END AS search_match
 FROM one WHERE kind IS NOT NULL"""
 ORACLES["search_totals_documents"] = _HITS + """
@@ -142,3 +149,5 @@ WITH p AS (SELECT file_id, lower(ltrim(regexp_extract(regexp_replace(name, '([^.
 ORACLES["size_gate"] = "SELECT size <= 5000 AS opened, count(*) AS files FROM file_tree WHERE content IS NOT NULL GROUP BY 1"
 ORACLES["measure_filter"] = f"SELECT file_id, file_name, file_type, file_nbnc, file_nbnc_rank, file_bytes FROM {_FILE}"
 ORACLES["measures_with_hits"] = f"SELECT n.*, h.search_linenum, h.search_match FROM ({_NBNC}) n JOIN ({ORACLES['search_lines_documents']}) h USING (doc_id)"
+
+ORACLES |= oracle_scan.ORACLES

@@ -89,7 +89,7 @@ def web_measures_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def delphi_measures_files(spark: SparkSession, sf: str) -> DataFrame:
-    return measure.code(tree_text(spark, sf).where(P.matches(F.col("name"), "*.pas")), R.DELPHI)
+    return measure.code(tree_text(spark, sf), R.DELPHI)
 
 
 @query
@@ -128,7 +128,7 @@ def powerbuilder_lines_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_lines_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return by_doc(search.lines(documents(spark, sf), R.rules_for("Search", [], SEARCH), totals=False)).select("doc_id", "search_linenum", "search_match", "search_regex")
+    return by_doc(search.lines(documents(spark, sf), R.rules_for("Search", [], SEARCH), totals=False)).select("doc_id", "search_line", "search_linenum", "search_match", "search_regex")
 
 
 @query
@@ -203,12 +203,12 @@ def routine_complexity_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def import_lines_files(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.imports(tree_text(spark, sf))
+    return analyze.imports(tree_text(spark, sf)).withColumn("line_numbers", F.array_join("line_numbers", ","))
 
 
 @query
 def dupe_lines_files(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.repeated_lines(tree_text(spark, sf))
+    return analyze.repeated_lines(tree_text(spark, sf)).withColumn("line_numbers", F.array_join("line_numbers", ","))
 
 
 @query
@@ -312,6 +312,13 @@ def config_measures(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run(tree(spark, sf), entries)[0].rows
 
 
+@query
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What reports say of files: names, folders, tags and targets with the measures that each entry lets pass."""
+    entries = config.parse("measure NBNC file.* *.py py OUT:py.csv\nmeasure NBNC file.total;file.nbnc *.js;*.ts web js\n")
+    return jobs.run(tree(spark, sf), entries)[0].rows
+
+
 @query
 def skip_filters(spark: SparkSession, sf: str) -> DataFrame:
     chosen = S.select_files(S.include_folders(S.skip_folders(tree(spark, sf), ["vendor", "node_modules", "t*"]), ["*/src*", "*/lib*"]), ["*.js", "*.py", "NO_EXT"], ["*.min.js", "index.*"])
