@@ -31,6 +31,11 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def safe(value: Column) -> Column:
+    """Any value as text that can be written: '' for null, UTF-8 with U+FFFD where bytes were none."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 _SIGNS = {i: "_" for i in range(31)}
 
 

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.functions import text as T
+
 # The column order of reports, delimiters by kind, and names of columns that differ from the rule.
 ORDER = (
     "dir1", "dir2", "dir3", "dir4", "dir5", "dir6", "dir7", "fileName", "fileType", "tag1", "tag2", "tag3",
@@ -47,9 +49,9 @@ def report(rows: DataFrame, drop: tuple = ("file_id", "entry", "out")) -> DataFr
     """Rows under report names, as strings ('' for null, as MEASURE_EMPTIES has it), in report order."""
     named = {report_name(c): c for c in rows.columns if c not in drop}
     kinds = dict(rows.dtypes)
-    text = lambda c: F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    text = lambda c: F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)
     kept = [F.col(c) for c in ("_out",) if c in rows.columns]
-    return rows.select(*kept, *(F.coalesce(text(named[n]), F.lit("")).alias(n) for n in ordered([n for n in named if n != "_out"])))
+    return rows.select(*kept, *(T.safe(text(named[n])).alias(n) for n in ordered([n for n in named if n != "_out"])))
 
 
 def write_delimited(rows: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
@@ -66,7 +68,7 @@ def write_routed(rows: DataFrame, folder: str, default: str = "lineweave", kind:
 
 def _attributes(df: DataFrame, columns: list[str]) -> list:
     kinds = dict(df.dtypes)
-    return [F.coalesce(F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string"), F.lit("")).alias("_" + report_name(c).replace("+", "-").replace("%", "")) for c in columns]
+    return [T.safe(F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)).alias("_" + report_name(c).replace("+", "-").replace("%", "")) for c in columns]
 
 
 def write_xml(measures: DataFrame, items: DataFrame | None, path: str, key: str = "file_id") -> None:

@@ -70,7 +70,8 @@ def _rows(kind: str, found: DataFrame, keep: list[str], size: Column | None) ->
     """The rows of one form, from (keep..., r): what its kernel said of each file and entry."""
     r = F.col("r")
     if kind == "document":
-        return found.where("not _shut").select(*keep, *measure.document_columns(r))
+        pages = [F.col("_pages").alias("doc_pages")] if "_pages" in found.columns else []
+        return found.where("not _shut or _pages is not null" if pages else "not _shut").select(*keep, *measure.document_columns(r), *pages)
     if kind == "nbnc":
         return found.select(*keep, *measure.nbnc_columns(r))
     if kind == "measures":
@@ -102,14 +103,17 @@ def _one_form(files: DataFrame, kind: str, ddl: str, own: dict[int, scan.Kernel]
             alike.setdefault(gates(rules[n]), []).append(n)
         known = {g: S.passes(**dict(g)) for g in alike}
         any_of = reduce(lambda a, b: a | b, (k & F.arrays_overlap("_wanted", F.array(*(F.lit(n) for n in ns))) for g, ns in alike.items() for k, _ in [known[g]]))
+        if kind == "document":  # PDFs are no text, but their pages are counted
+            any_of = any_of | (P.code_extension(F.col("name")) == "pdf")
         mine = S.seen(mine, any_of)
         shut = F.flatten(F.array(*(F.when(F.col("_seen.text").isNull() | ~(k & s), F.array(*(F.lit(n) for n in ns))).otherwise(F.array().cast("array<int>")) for g, ns in alike.items() for k, s in [known[g]])))
         text = F.col("_seen.text")
     mine = mine.withColumn("_shut_for", shut).withColumn("_text", text)
     found = mine.withColumn("_r", scan.per_entry(own, ddl, F.col("_text"), F.col("_wanted"), F.col("_shut_for"), F.lower("ext") == ".pbl" if "ext" in files.columns else F.lit(False)))
     plain = [c for c in ("name", "folder", "size") if c in files.columns]
-    one = scan.items(found, ["file_id", *plain, *(c.alias("_md_" + n) for n, c in described.items()), F.col("_text").isNull().alias("_no_text"), "_shut_for"], F.col("_r"), "_e")
-    one = one.select("file_id", *plain, *("_md_" + n for n in described), F.col("_e.entry").alias("entry"), F.col("_e.r").alias("r"), (F.col("_no_text") | F.array_contains("_shut_for", F.col("_e.entry"))).alias("_shut"))
+    extra = [F.col("_seen.pages").alias("_pages")] if "text" not in files.columns and kind == "document" else []
+    one = scan.items(found, ["file_id", *plain, *extra, *(c.alias("_md_" + n) for n, c in described.items()), F.col("_text").isNull().alias("_no_text"), "_shut_for"], F.col("_r"), "_e")
+    one = one.select("file_id", *plain, *(["_pages"] if extra else []), *("_md_" + n for n in described), F.col("_e.entry").alias("entry"), F.col("_e.r").alias("r"), (F.col("_no_text") | F.array_contains("_shut_for", F.col("_e.entry"))).alias("_shut"))
     one = one.join(F.broadcast(table.select("entry", "_module", "_empties")), "entry")
     rows = _rows(kind, one, ["file_id", "entry", *plain, *("_md_" + n for n in described)], F.col("size").cast("long") if "size" in plain else None)
     return rows.drop(*plain)

@@ -20,6 +20,7 @@ from lineweave.session import checkpointed
 
 # How files that hold no text begin, and how the text test looks at a file's first characters.
 MAGIC = (b"\x7fELF", b"PK\x03\x04", b"\x1f\x8b\x08")
+PDF, _PAGE = b"%PDF", re.compile(rb"/Type */Page *>")
 TEXT = string.ascii_letters + string.digits + string.punctuation + string.whitespace
 TEXT_WINDOW, TEXT_SKIP, TEXT_LEAST, TEXT_SHARE = 128, 4, 32, 0.2
 DETECTED = 16 * 1024  # bytes of a file's start that its encoding is told by
@@ -219,16 +220,16 @@ def _wide(start: bytes) -> str | None:
     return None
 
 
-_SEEN = K.StructType([K.StructField("text", K.StringType()), K.StructField("binary", K.BooleanType()), K.StructField("plain", K.BooleanType()), K.StructField("magic", K.BooleanType())])
-_SEEN_ARROW = pa.struct([("text", pa.string()), ("binary", pa.bool_()), ("plain", pa.bool_()), ("magic", pa.bool_())])
+_SEEN = K.StructType([K.StructField("text", K.StringType()), K.StructField("binary", K.BooleanType()), K.StructField("plain", K.BooleanType()), K.StructField("magic", K.BooleanType()), K.StructField("pages", K.LongType())])
+_SEEN_ARROW = pa.struct([("text", pa.string()), ("binary", pa.bool_()), ("plain", pa.bool_()), ("magic", pa.bool_()), ("pages", pa.int64())])
 
 
 def _seen(raws: list[bytes | None]) -> pa.StructArray:
-    """What opening each file shows: its text, whether it is binary, whether its first characters are mostly text, whether it begins like an archive or program."""
+    """What opening each file shows: its text, whether it is binary, whether its first characters are mostly text, whether it begins like an archive or program, the pages of a PDF."""
     found = [("", False) if r is None else decode(r) for r in raws]
     plain = T.mostly_of([t[:TEXT_WINDOW].replace("\0", "") for t, _ in found], TEXT, TEXT_SKIP, TEXT_LEAST, TEXT_SHARE)
     return pa.StructArray.from_arrays(
-        [pa.array([None if r is None else t for r, (t, _) in zip(raws, found, strict=True)], pa.string()), pa.array([b for _, b in found], pa.bool_()), pa.array(plain), pa.array([r is not None and r.startswith(MAGIC) for r in raws], pa.bool_())],
+        [pa.array([None if r is None else t for r, (t, _) in zip(raws, found, strict=True)], pa.string()), pa.array([b for _, b in found], pa.bool_()), pa.array(plain), pa.array([r is not None and r.startswith(MAGIC) for r in raws], pa.bool_()), pa.array([len(_PAGE.findall(r)) if r is not None and r.startswith(PDF) else None for r in raws], pa.int64())],
         fields=list(_SEEN_ARROW),
     )
 

@@ -217,6 +217,15 @@ def test_string_option(spark):
     assert measure.code(files, own).first().nbnc_semicolons == 2
 
 
+def test_pdf_pages_of_a_job(spark):
+    """A document job tells the pages of a PDF, which no text gate lets in, and the lines of texts."""
+    from lineweave.plans import config, jobs
+
+    files = S.with_names(spark.createDataFrame([("/a.pdf", bytearray(b"%PDF-1.4 \x00\x01 /Type /Page >> /Type/Page>>")), ("/b.txt", bytearray(b"x\n\ny\n")), ("/c.txt", None)], "path string, content binary").withColumn("size", F.lit(9)))
+    rows = {r.file_full_name: r for r in jobs.run(files, config.parse("measure Document * *"))[0].rows.collect()}
+    assert rows["a.pdf"].doc_pages == 2 and rows["a.pdf"].file_total == 0 and (rows["b.txt"].file_total, rows["b.txt"].file_blank, rows["b.txt"].doc_pages) == (3, 1, None) and len(rows) == 2
+
+
 def test_pdf_pages(spark):
     rows = spark.createDataFrame([(1, "a.pdf", bytearray(b"/Type /Page >> /Type /Pages >> /Type/Page>>"))], "file_id long, name string, content binary")
     assert measure.pdf_pages(rows).first().doc_pages == 2
