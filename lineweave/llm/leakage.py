@@ -23,6 +23,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 from operator import ne
 
 import numpy as np
@@ -38,8 +39,8 @@ COVER = 0.5  # of an item's typed words: a shorter stretch is a sentence in the
 BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKED = re.compile(r"[^\W_]+|[.?!:](?=\s|$)|\n\s*\n")
-_ENDS = (".", "?", "!", ":", "\n\n")
+_MARKED = re.compile(r"[^\W_]+|[.?!:](?=\s|$)|\n(?=\s*\n)")
+_ENDS = frozenset((".", "?", "!", ":", "\n"))
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _ESCAPED = re.compile(r"\\(?:u00[0-9a-fA-F]{2}|x[0-9a-fA-F]{2}|[nrtbf\"'/\\])")
@@ -79,12 +80,12 @@ def split(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         return [], np.zeros(0, bool), np.zeros(0, bool)
     folded = "\0".join(tokens).casefold().split("\0")
     high = np.fromiter(map(ne, tokens, folded), bool, len(tokens))
-    ends = np.fromiter((t in _ENDS or t[0] == "\n" for t in folded), bool, len(tokens))
+    ends = np.fromiter(map(_ENDS.__contains__, folded), bool, len(tokens))
     begins = np.concatenate([[True], ends[:-1]])
     for _ in range(3):  # a break after a full stop still begins a sentence
         begins[1:] |= begins[:-1] & ends[:-1]
     words_ = ~ends
-    return [t for t, w in zip(folded, words_.tolist(), strict=True) if w] if ends.any() else folded, (high & ~begins)[words_], (high & begins)[words_]
+    return list(compress(folded, words_.tolist())) if ends.any() else folded, (high & ~begins)[words_], (high & begins)[words_]
 
 
 def _lexicons(texts: list[str]) -> tuple[set[str], set[str]]:
@@ -171,22 +172,27 @@ class Templates:
     @staticmethod
     def _literal(own: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the windows that are known and tell something."""
+        known = _in_windows((typed == 0).astype(np.int64)) == 0
+        if not known.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         slots = _in_windows((typed < 10).astype(np.int64))
         words_ = _in_windows((own == 0).astype(np.int64)) == 0  # all words are the items' own
-        known = _in_windows((typed == 0).astype(np.int64)) == 0
         by_words = slots >= 4
         change = np.concatenate([[True], own[1:] != own[:-1]]).astype(np.int64) if len(own) else np.empty(0, np.int64)
         inner = np.convolve(change[1:], np.ones(WIDTH - 1, np.int64), "valid") == 0 if len(own) >= WIDTH else np.empty(0, bool)  # six equal words
         edge = (change[: len(inner)] == 1) | np.concatenate([change[WIDTH:] == 1, [True]])[: len(inner)] if len(inner) else inner
         use = np.where(by_words, words_, known) & (~inner | edge)
         at = np.flatnonzero(use)
-        return at, np.where(by_words, hashed(own), hashed(typed))[at]
+        if not len(at):
+            return at, at
+        h = hashed(typed)
+        return at, (np.where(by_words, hashed(own), h) if by_words[at].any() else h)[at]
 
     @staticmethod
     def _template(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         use = (_in_windows((codes == 0).astype(np.int64)) == 0) & (_in_windows((codes >= 10).astype(np.int64)) >= 3)
         at = np.flatnonzero(use)
-        return at, hashed(codes)[at]
+        return at, hashed(codes)[at] if len(at) else at
 
     @staticmethod
     def numbers(low: list[str]) -> np.ndarray:
@@ -212,8 +218,7 @@ class Templates:
         low, inner, first = split(text)
         if len(low) < WIDTH:
             return
-        get = self.ids.get
-        literal = np.fromiter((get(w, 0) for w in low), np.int64, len(low))
+        literal = np.fromiter(map(self.ids.get, low, repeat(0)), np.int64, len(low))
         if np.count_nonzero(literal) < 3:
             return
         number = self.numbers(low)
