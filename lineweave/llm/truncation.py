@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +128,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
             tokens = _TOKEN.findall(text)
-            own = {""}
-            for t in set(tokens[:-1]):
-                own.update(words[t])
+            own = set(chain.from_iterable(map(words.__getitem__, set(tokens[:-1]))))
+            own.add("")
             counts.setdefault(_language(lang), Counter()).update(own)
         if sum(map(len, counts.values())) > FLUSH:
             yield out()
@@ -157,11 +157,10 @@ def _hashes(codes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of texts laid out with a start before each: (codes, place in the segment, whether it ends there, number of the text)."""
-    sizes = [len(c) + 1 for c in coded]
-    codes = np.fromiter((x for c in coded for x in (0, *c)), np.uint64, sum(sizes))
-    text = np.repeat(np.arange(len(coded)), sizes)
+def _flat(codes: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of texts laid out, ``codes`` having a break before each of the texts, which have ``sizes`` codes with it: (codes, place in the segment,
+    whether it ends there, number of the text)."""
+    codes, text = np.array(codes, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
     gap = codes == _BREAK
     keep = ~gap | np.concatenate([~gap[1:], [False]]) if len(gap) else gap  # a break before a token starts its segment
     codes, text, gap = codes[keep], text[keep], gap[keep]
@@ -177,11 +176,13 @@ def _contexts(frequent: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = _Remembered(lambda lang: _coder(frequent.get(lang, frozenset())))
         for batch in batches:
-            coded = []
+            coded, sizes = [], []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                code = coders[_language(lang)]
-                coded.append([code[t] for t in _PARTS.findall(text)])
-            codes, places, ends, text = _flat(coded)
+                before = len(coded)
+                coded.append(0)
+                coded += map(coders[_language(lang)].__getitem__, _PARTS.findall(text))
+                sizes.append(len(coded) - before)
+            codes, places, ends, text = _flat(coded, sizes)
             last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.empty(0, bool)
             use = np.flatnonzero((places > 0) & ~last)  # how the text itself ends is not evidence
             keys = np.concatenate([_hashes(codes, places, k)[use] for k in WIDTHS])
@@ -202,13 +203,14 @@ def _finals(frequent: dict[str, frozenset[str]]):
         coders = _Remembered(lambda lang: _coder(frequent.get(lang, frozenset())))
         schema = pa.schema([("id", pa.int64()), ("source", pa.string()), ("copy", pa.int64()), *((n, pa.int64()) for n in ("chars", "bytes", "stated")), ("token", pa.string()), ("line", pa.string()), *((n, pa.bool_()) for n in ("mark", "dots", "open", "closed", "url", "unbalanced")), ("ctx3", pa.int64()), ("ctx5", pa.int64())])
         for batch in batches:
-            rows, coded = [], []
+            rows, coded, sizes = [], [], []
             for key, text, source, lang, stated in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 *shown, last = _end(text)
                 rows.append((key, source, _key(text.strip()), len(text), len(text.encode("utf-8", "surrogatepass")), stated, *shown))
-                code = coders[_language(lang)]
-                coded.append([code[t] for t in last])
-            codes, places, _, number = _flat(coded)
+                coded.append(0)
+                coded += map(coders[_language(lang)].__getitem__, last)
+                sizes.append(1 + len(last))
+            codes, places, _, number = _flat(coded, sizes)
             final = np.flatnonzero(np.concatenate([number[1:] != number[:-1], [True]])) if len(number) else np.empty(0, np.int64)
             contexts = []
             for k in WIDTHS:
