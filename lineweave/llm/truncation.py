@@ -41,7 +41,7 @@ WIDTHS = (3, 5)
 FLUSH = 400_000
 BLOCKS = (256, 500, 512, 1000, 1024, 2000, 2048, 4000, 4096, 8192)
 
-_TOKEN = re.compile(r"https?://[^\s<>\"')\]]+|\w+|[^\w\s]")
+_WORDS = re.compile(r"https?://[^\s<>\"')\]]+|\w+")
 _MARK = re.compile(r"(?:\[(?:\.\.\.|…|more|truncated|cut|snip)\]|\((?:more|truncated|continued|cont\.?|\.\.\.|…)\)|(?:read|see) more\W{0,3}|<(?:snip|cut|truncated)>)\s*$", re.I)
 _DOTS = re.compile(r"(?:\.\.\.|…)\s*$")
 _CLOSED = re.compile(r"(?:[.?!。！？](?:[\"'”’»)\]*_]|</\w+>)*|^\([^()\n]*\)|```|~~~|</\w+>)\Z")
@@ -127,8 +127,10 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            tokens = _TOKEN.findall(text)
-            own = set(chain.from_iterable(map(words.__getitem__, set(tokens[:-1]))))
+            tokens = _WORDS.findall(text)
+            if tokens and (text.rstrip()[-1].isalnum() or text.rstrip()[-1] == "_"):
+                tokens.pop()  # the final token, which may be cut
+            own = set(chain.from_iterable(map(words.__getitem__, set(tokens))))
             own.add("")
             counts.setdefault(_language(lang), Counter()).update(own)
         if sum(map(len, counts.values())) > FLUSH:
@@ -144,7 +146,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def _coder(frequent: frozenset[str]) -> _Remembered:
     """Codes of tokens: a hash of a token's class, 0 for white space, which ends a segment."""
-    return _Remembered(lambda t: 0 if t.isspace() else (_key(_class(t, frequent)) & 0x7FFFFFFFFFFFFFFF) | 1)
+    of_class = _Remembered(lambda name: (_key(name) & 0x7FFFFFFFFFFFFFFF) | 1)
+    return _Remembered(lambda t: 0 if t.isspace() else of_class[_class(t, frequent)])
 
 
 def _hashes(codes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
@@ -187,10 +190,11 @@ def _contexts(frequent: dict[str, frozenset[str]]):
             use = np.flatnonzero((places > 0) & ~last)  # how the text itself ends is not evidence
             keys = np.concatenate([_hashes(codes, places, k)[use] for k in WIDTHS])
             at_end = np.tile(ends[use], len(WIDTHS))
-            found, where = np.unique(keys, return_inverse=True)
+            coded_keys = pa.array(keys).dictionary_encode()
+            found, where = coded_keys.dictionary, np.array(coded_keys.indices, np.int64)
             stops = np.bincount(where, weights=at_end, minlength=len(found)).astype(np.int64)
             both = np.bincount(where, minlength=len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(stops, pa.int64()), pa.array(both - stops, pa.int64())], names=["ctx", "ends", "goes_on"])
+            yield pa.RecordBatch.from_arrays([found, pa.array(stops, pa.int64()), pa.array(both - stops, pa.int64())], names=["ctx", "ends", "goes_on"])
 
     return run
 
