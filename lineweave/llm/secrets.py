@@ -295,11 +295,19 @@ def key_material(lines: DataFrame) -> DataFrame:
     whole = (F.col("next_edge") == "END") & (F.col("file_id").isNotNull() | (F.col("next") <= F.col("number") + reach))
     opened = private.where("edge = 'BEGIN'").select("file", "file_id", F.col("number").alias("low"), F.when(whole, F.col("next")).otherwise(F.least(F.coalesce("next", F.col("number") + reach), F.col("number") + reach)).alias("high"), F.coalesce(whole, F.lit(False)).alias("whole"))
     closed = private.where("edge = 'END' and (last_edge is null or last_edge = 'END')").select("file", "file_id", F.greatest(F.coalesce("last", F.col("number") - reach), F.col("number") - reach).alias("low"), F.col("number").alias("high"), F.lit(False).alias("whole"))
-    blocks = opened.unionByName(closed).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET)))).withColumnRenamed("file_id", "block_file")
-    body = lines.where(F.col("line").rlike(_ANY_BODY)).withColumn("full", F.col("line").rlike(_BODY)).withColumn("bucket", F.floor(F.col("number") / BUCKET))
-    same_file = F.col("file_id").isNull() | F.col("block_file").isNull() | (F.col("file_id") == F.col("block_file"))
-    inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & same_file & (F.col("full") | (F.col("whole") & (F.col("file_id") == F.col("block_file"))))
-    return body.join(blocks, ["file", "bucket"]).where(inside).select("id", "match").distinct()
+    blocks = opened.unionByName(closed)
+    body = lines.where(F.col("line").rlike(_ANY_BODY)).withColumn("full", F.col("line").rlike(_BODY))
+    # lines and blocks of known files meet by file, id and bucket
+    known = blocks.where("file_id is not null").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET))))
+    inside = (F.col("number") > F.col("low")) & (F.col("number") < F.col("high")) & (F.col("full") | F.col("whole"))
+    own = body.where("file_id is not null").withColumn("bucket", F.floor(F.col("number") / BUCKET)).join(known, ["file", "file_id", "bucket"]).where(inside)
+    # where either has no id, a line meets the line numbers that blocks of its file name cover, each once however many blocks there are
+    near_ = F.sequence(F.greatest(F.col("low"), F.col("high") - OPEN_REACH) + 1, F.least(F.col("high"), F.col("low") + OPEN_REACH) - 1)
+    short = blocks.where("high > low + 1").select("file", "file_id", F.explode(F.when(F.col("high") - F.col("low") <= OPEN_REACH, F.sequence(F.col("low") + 1, F.col("high") - 1)).otherwise(near_)).alias("number"))
+    full = body.where("full")
+    blind = full.where("file_id is null").join(short.select("file", "number").distinct(), ["file", "number"])
+    unnamed = full.where("file_id is not null").join(short.where("file_id is null").select("file", "number").distinct(), ["file", "number"])
+    return own.select("id", "match").unionByName(blind.select("id", "match")).unionByName(unnamed.select("id", "match")).distinct()
 
 
 def exposed(hits: DataFrame, key: str = "hit_id", file: str = "file_name", file_id: str = "file_id", number: str = "search_linenum", line: str = "search_line", match: str = "search_match") -> DataFrame:
