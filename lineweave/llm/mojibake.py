@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineweave.operators.joins import left_by_key
 from lineweave.session import checkpointed
 
 # Encodings in common use, as names of codecs: those text was wrongly read in, and those it was written in.
@@ -229,22 +230,22 @@ def _search(model, margin: float):
         own = model.value
         for batch in batches:
             rows = []
-            for token in batch.column(0).to_pylist():
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if token.isascii():
                     if (got := restore_escaped(token, own)) and got[1] >= margin:
-                        rows.append((token, got[0], float(got[1]), got[2], False))
+                        rows.append((token, got[0], float(got[1]), got[2], False, n))
                     continue
                 found, gain, path = restore(token, own)
                 lost = "�" in token
                 if lost or gain >= margin:
-                    rows.append((token, found if gain >= margin else None, float(gain), path, lost))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()), strict=True)], names=["token", "restored", "gain", "path", "lost"])
+                    rows.append((token, found if gain >= margin else None, float(gain), path, lost, n))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["token", "restored", "gain", "path", "lost", "n"])
 
     return run
 
 
 def garbled_tokens(texts: DataFrame, text: str, margin: float = MARGIN) -> DataFrame:
-    """(token, restored, gain, path, lost) for each distinct garbled token of ``text``; restored is null where nothing plausible is reachable."""
+    """(token, restored, gain, path, lost, n) for each distinct garbled token of ``text``, which occurs n times; restored is null where nothing plausible is reachable."""
     spark = texts.sparkSession
     tokens = texts.where(_worth(F.col(text))).select(F.explode(_tokens(F.col(text))).alias("token"))
     distinct = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")))
@@ -254,7 +255,7 @@ def garbled_tokens(texts: DataFrame, text: str, margin: float = MARGIN) -> DataF
     model = spark.sparkContext.broadcast(Plausibility({r.gram: r.n for r in rows}, sum(r.n for r in rows) or 1))
     # as many tasks as keep all cores at work; a stated number is not put together again for being small in bytes
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return distinct.repartition(tasks, "token").mapInArrow(_search(model, margin), "token string, restored string, gain double, path string, lost boolean")
+    return distinct.repartition(tasks, "token").mapInArrow(_search(model, margin), "token string, restored string, gain double, path string, lost boolean, n long")
 
 
 def _worth(text: Column) -> Column:
@@ -276,7 +277,9 @@ def garbled_rows(fields: DataFrame, margin: float = MARGIN) -> DataFrame:
     """
     texts = fields.where(F.col("row_id").isNotNull()).select("table_name", F.col("row_id").cast("long").alias("row_id"), "text").where(_worth(F.col("text"))).distinct()
     bad = checkpointed(garbled_tokens(fields, "text", margin))
-    hits = texts.withColumn("token", F.explode(F.array_distinct(_tokens(F.col("text"))))).join(bad, "token")
+    # a token may stand in a great part of all rows
+    found = bad.select(F.col("token").alias("_token"), "restored", "lost", "n")
+    hits = left_by_key(texts.withColumn("token", F.explode(F.array_distinct(_tokens(F.col("text"))))), found, F.col("token"), "_token", "n", F.col("row_id")).where("n is not null")
     fixes = F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("restored", "token").alias("restored"))))
     per_row = hits.groupBy("table_name", "row_id", "text").agg(fixes.alias("fixes"), F.bool_and(F.col("restored").isNotNull() & ~F.col("lost")).alias("whole"))
     # token by token, so that a token that is part of another does not change it
