@@ -25,3 +25,14 @@ def left_by_key(rows: DataFrame, table: DataFrame, key: Column, table_key: str,
     out = out.withColumn("_salt", F.when(lone, 1 + F.pmod(F.xxhash64(unique), F.lit(_SPREAD))).otherwise(0).cast("int")).withColumn("_key", F.when(~lone, F.col("_key")))
     out = out.join(rest, (F.col("_key") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     return out.withColumns({v: F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")) for v in values}).drop("_key", "_hot_key", "_hot", "_cold_key", "_cold", "_cold_salt", "_salt")
+
+
+def inner_by_key(rows: DataFrame, table: DataFrame, key: str, table_key: str, count: str, hottest: int = HOTTEST) -> DataFrame:
+    """``rows`` that have a row of ``table``, with its columns, as ``left_by_key`` joins them; nothing but the columns of ``rows`` is shuffled.
+
+    ``rows`` are read twice, so they should be cheap to make, as from a checkpoint.
+    """
+    hot = F.broadcast(table.orderBy(F.col(count).desc(), table_key).limit(hottest))
+    frequent = rows.join(hot, F.col(key) == F.col(table_key))
+    others = rows.where(F.col(key).isNotNull()).join(hot.select(F.col(table_key).alias("_hot_key")), F.col(key) == F.col("_hot_key"), "left_anti")
+    return frequent.unionByName(others.join(table, F.col(key) == F.col(table_key))).drop(table_key)

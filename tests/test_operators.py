@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lineweave import api
 from lineweave.operators import aggregate, analyze, dupes, measure, output, routines, search
-from lineweave.operators.joins import left_by_key
+from lineweave.operators.joins import inner_by_key, left_by_key
 from lineweave.plans import config, jobs
 from lineweave.plans import rules as R
 from lineweave.streaming import arrivals
@@ -227,6 +227,9 @@ def test_hot_keys_join(spark):
     for hottest in (1, 1000):
         got = {r.id: (r.v, r.n) for r in left_by_key(rows, table, F.col("k"), "t", "n", F.col("id"), hottest).collect()}
         assert len(got) == 2000 and got == {i: ("H", 700) if i % 3 == 0 else (f"v{i}", 1) if i % 3 == 1 and i % 2 == 0 else (None, None) for i in range(2000)}
+        both = {r.id: r.v for r in inner_by_key(rows, table, "k", "t", "n", hottest).collect()}
+        assert both == {i: v for i, (v, _) in got.items() if v}
+    assert inner_by_key(rows.limit(0), table, "k", "t", "n").count() == 0 and inner_by_key(rows, table.limit(0), "k", "t", "n").count() == 0
     assert left_by_key(rows.limit(0), table, F.col("k"), "t", "n", F.col("id")).count() == 0 and left_by_key(rows, table.limit(0), F.col("k"), "t", "n", F.col("id")).count() == 2000
 
 
