@@ -37,7 +37,8 @@ PERIODIC = 0.72
 FOREIGN = 0.5
 LONG_LINE = 300.0
 LEAST_LINES = 6
-MOST_GRAMS = 400_000
+MOST_GRAMS = 400_000  # trigrams that are broadcast; costs of all others are joined
+UNKNOWN = -math.log2(0.1 / 6.4)  # bits of a trigram that no file teaches
 HARDER, MUCH_HARDER = 0.5, 1.0  # bits a character above the lower quartile of a language; the first with MANGLED only
 MANGLED = 0.5  # different names among all uses: mangled code uses its few names again and again
 LEAST_NAMES = 8  # different names that a model needs to judge a head; diversity needs as many uses of names
@@ -132,8 +133,8 @@ def head(raw: bytes | None, cut: bool) -> dict:
     }
 
 
-_HEAD = "file_id long, project long, path string, ext string, size long, read boolean, lines int, periodic double, mean_line double, tool boolean, third boolean, diversity double, distinct_names int, bits double, shingles array<long>"
-_FIELDS = [("file_id", pa.int64()), ("project", pa.int64()), ("path", pa.string()), ("ext", pa.string()), ("size", pa.int64()), ("read", pa.bool_()), ("lines", pa.int32()), ("periodic", pa.float64()), ("mean_line", pa.float64()), ("tool", pa.bool_()), ("third", pa.bool_()), ("diversity", pa.float64()), ("distinct_names", pa.int32()), ("bits", pa.float64()), ("shingles", pa.list_(pa.int64()))]
+_HEAD = "file_id long, project long, path string, ext string, size long, read boolean, lines int, periodic double, mean_line double, tool boolean, third boolean, diversity double, distinct_names int, bits double, shingles array<long>, others map<string, double>"
+_FIELDS = [("file_id", pa.int64()), ("project", pa.int64()), ("path", pa.string()), ("ext", pa.string()), ("size", pa.int64()), ("read", pa.bool_()), ("lines", pa.int32()), ("periodic", pa.float64()), ("mean_line", pa.float64()), ("tool", pa.bool_()), ("third", pa.bool_()), ("diversity", pa.float64()), ("distinct_names", pa.int32()), ("bits", pa.float64()), ("shingles", pa.list_(pa.int64())), ("others", pa.map_(pa.string(), pa.float64()))]
 
 
 def project_of(path: str | None) -> int:
@@ -162,31 +163,37 @@ def _count_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Names:
-    """Bits a character that a language's model needs for names."""
+    """Bits a character that a language's model needs for names, from rows of (language, trigram, count, count of its first two characters).
 
-    def __init__(self, rows: list[tuple[str, str, int]]) -> None:
-        starts: dict[tuple[str, str], int] = {}
-        for ext, gram, n in rows:
-            starts[ext, gram[:2]] = starts.get((ext, gram[:2]), 0) + n
+    ``whole`` says that there are no more trigrams than those of the rows.
+    """
+
+    def __init__(self, rows: list[tuple[str, str, int, int]], whole: bool) -> None:
         self.costs: dict[str, dict[str, float]] = {}
-        for ext, gram, n in rows:
-            self.costs.setdefault(ext, {})[gram] = -math.log2((n + 0.1) / (starts[ext, gram[:2]] + 6.4))
-        self.unknown = -math.log2(0.1 / 6.4)
-        self.seen: dict[str, dict[str, float]] = {}
-
-    def bits(self, ext: str, names: list[str]) -> float:
-        """Mean bits a character over the distinct names."""
-        seen, costs, unknown = self.seen.setdefault(ext, {}), self.costs.get(ext, {}), self.unknown
+        for ext, gram, n, start in rows:
+            self.costs.setdefault(ext, {})[gram] = -math.log2((n + 0.1) / (start + 6.4))
+        self.whole = whole
+        self.seen: dict[str, dict[str, tuple[float, tuple[str, ...]]]] = {}
+
+    def bits(self, ext: str, names: list[str]) -> tuple[float, dict[str, float]]:
+        """Mean bits a character over the distinct names, and how often a character the trigrams occur that the rows lack.
+
+        Those count as unknown here. They are named by trigram and language; ``whole`` models name none.
+        """
+        seen, costs = self.seen.setdefault(ext, {}), self.costs.get(ext, {})
         if len(seen) > 300_000:
             seen.clear()
-        total, chars = 0.0, 0
+        total, chars, others = 0.0, 0, Counter()
         for name in set(names):
             one = seen.get(name)
             if one is None:
-                one = seen[name] = sum(costs.get(g, unknown) for g in _grams(name))
-            total += one
+                grams = _grams(name)
+                one = seen[name] = sum(costs.get(g, UNKNOWN) for g in grams), () if self.whole else tuple(g + ext for g in grams if g not in costs)
+            total += one[0]
             chars += len(name)
-        return total / max(1, chars)
+            if one[1]:
+                others.update(one[1])
+        return total / max(1, chars), {g: n / chars for g, n in others.items()}
 
 
 def _traits(names):
@@ -197,26 +204,41 @@ def _traits(names):
             for key, path, ext, size, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 got = head(raw, bool(raw) and size is not None and size > len(raw))
                 if got:
-                    bits = model.bits((ext or "").lower(), got["names"])
-                    rows.append((key, project_of(path), path, ext, size, True, got["lines"], got["periodic"], got["mean_line"], got["tool"], got["third"], got["diversity"], len(set(got["names"])), bits, got["shingles"]))
+                    bits, others = model.bits((ext or "").lower(), got["names"])
+                    rows.append((key, project_of(path), path, ext, size, True, got["lines"], got["periodic"], got["mean_line"], got["tool"], got["third"], got["diversity"], len(set(got["names"])), bits, got["shingles"], list(others.items()) or None))
                 else:
-                    rows.append((key, project_of(path), path, ext, size, False, 0, 0.0, 0.0, False, False, None, 0, 0.0, []))
+                    rows.append((key, project_of(path), path, ext, size, False, 0, 0.0, 0.0, False, False, None, 0, 0.0, [], None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(_FIELDS), _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
     return run
 
 
+def _by_others(heads: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, more): what the trigrams that are not broadcast add to the bits a character of a head, where they counted as unknown.
+
+    Heads that teach nothing may hold one of them in a great part of all rows, so those of many heads are broadcast, known or not.
+    """
+    asked = heads.where("others is not null").select("row", F.explode("others").alias("gram", "times"))
+    known = counts.select(F.concat("gram", "ext").alias("_gram"), (-F.log2((F.col("n") + 0.1) / (F.col("start") + 6.4)) - UNKNOWN).alias("more"))
+    table = asked.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("heads")).join(known, "_gram", "left")
+    return inner_by_key(asked, checkpointed(table), "gram", "_gram", "heads").groupBy("row").agg(F.sum(F.col("times") * F.col("more")).alias("more"))
+
+
 def judged(tree: DataFrame, measures: DataFrame) -> DataFrame:
     """One row per file id: all traits, ``kind`` (generated, minified, third_party, data or null), the ``evidence`` that decided and ``machine_made``."""
     spark = tree.sparkSession
     files = tree.where(F.col("file_id").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "path", "ext", F.col("size").cast("long").alias("size"), "content")
     grams = files.mapInArrow(_count_names, "ext string, gram string, n long").groupBy("ext", "gram").agg(F.sum("n").alias("n"))
-    # a model of bounded size: every language's most frequent ones come first, so rare languages keep theirs; a language has no more
-    # different trigrams than its alphabet allows. The executors find them, the driver gets these alone
-    ranked = grams.withColumn("place", F.row_number().over(Window.partitionBy("ext").orderBy(F.col("n").desc(), "gram")))
-    rows = checkpointed(ranked.orderBy("place", "ext").limit(MOST_GRAMS).select("ext", "gram", "n")).collect()
-    names = spark.sparkContext.broadcast(Names([tuple(r) for r in rows]))
-    heads = checkpointed(files.mapInArrow(_traits(names), _HEAD))
+    counts = checkpointed(grams.withColumn("start", F.sum("n").over(Window.partitionBy("ext", F.substring("gram", 1, 2)))))
+    # the most frequent ones are broadcast, a bound that does not grow with the data; the executors find them, the driver gets these alone
+    rows = checkpointed(counts.orderBy(F.col("n").desc(), "ext", "gram").limit(MOST_GRAMS)).collect()
+    whole = counts.count() == len(rows)
+    names = spark.sparkContext.broadcast(Names([tuple(r) for r in rows], whole))
+    heads = files.mapInArrow(_traits(names), _HEAD)
+    heads = checkpointed(heads.drop("others") if whole else heads.withColumn("row", F.monotonically_increasing_id()))
+    told = heads.withColumn("triples", F.size("shingles")).drop("shingles")
+    if not whole:
+        told = checkpointed(told.drop("others").join(_by_others(heads, counts), "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0))).drop("row", "more"))
 
     some = heads.where(F.size("shingles") > 0).select("file_id", "project", F.explode("shingles").alias("shingle"))
     # lines of a licence may stand in a great part of all files
@@ -225,8 +247,8 @@ def judged(tree: DataFrame, measures: DataFrame) -> DataFrame:
 
     counted = measures.where(F.col("file_id").isNotNull()).groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max("file_full_name").alias("full_name"), F.max("file_type").alias("file_type"), F.max("file_machine").alias("machine"), F.max("file_nbnc").alias("nbnc"), F.max("file_total").alias("total"), F.max("file_bytes").alias("bytes"))
     # what is usual in a language; one row per extension
-    usual = heads.where((F.col("distinct_names") >= LEAST_NAMES) & (F.col("mean_line") < LONG_LINE)).groupBy(F.lower(F.coalesce("ext", F.lit(""))).alias("language")).agg(F.percentile_approx("bits", 0.25, 1000).alias("usual_bits"), F.percentile_approx("diversity", 0.5, 1000).alias("usual_diversity"))
-    both = heads.select("*", F.size("shingles").alias("triples"), F.lower(F.coalesce("ext", F.lit(""))).alias("language")).drop("shingles").join(F.broadcast(usual), "language", "left").drop("language").join(foreign, "file_id", "left").join(counted, "file_id", "full")
+    usual = told.where((F.col("distinct_names") >= LEAST_NAMES) & (F.col("mean_line") < LONG_LINE)).groupBy(F.lower(F.coalesce("ext", F.lit(""))).alias("language")).agg(F.percentile_approx("bits", 0.25, 1000).alias("usual_bits"), F.percentile_approx("diversity", 0.5, 1000).alias("usual_diversity"))
+    both = told.withColumn("language", F.lower(F.coalesce("ext", F.lit("")))).join(F.broadcast(usual), "language", "left").drop("language").join(foreign, "file_id", "left").join(counted, "file_id", "full")
     path = F.coalesce("path", F.translate("full_name", "\\", "/"))
     both = both.select(
         "file_id", path.alias("path"), F.lower(F.coalesce("ext", F.ltrim("file_type", F.lit(".")))).alias("ext"), F.coalesce("size", "bytes").alias("size"), F.coalesce("read", F.lit(False)).alias("read"),
@@ -265,7 +287,7 @@ def judged(tree: DataFrame, measures: DataFrame) -> DataFrame:
 def _trait_list():
     """Names of the traits that a file has whether or not its head was read."""
     c = F.col
-    parts = F.slice(F.split(F.regexp_replace(F.lower("path"), r"^/+", ""), "/"), 3, 64)
+    parts = F.filter(F.split(F.regexp_replace(F.lower("path"), r"^/+", ""), "/"), lambda x, i: i >= 2)
     folders = F.transform(F.filter(parts, lambda x, i: i < F.size(parts) - 1), lambda x: F.concat(F.lit("dir:"), F.regexp_replace(x, r"\d+", "0")))
     versioned = F.when(F.exists(parts, lambda x: x.rlike(r"[-_]v?\d+[._]\d+[._]\d+$")), "dir:with version")
     name = F.element_at(F.split("path", "/"), -1)

@@ -136,6 +136,33 @@ def test_part_of_another_head(spark):
         assert got[one] == 1.0 and 15 / 42 <= got[1] <= 15 / 39 and got[20] == 0.0
 
 
+def test_trigrams_beyond_the_broadcast_ones(spark, tree, monkeypatch):
+    rows, made = tree
+    text = "\n".join(f"größe_{a} = zähler_{b}(qzx{b})" for a, b in zip(WORDS, WORDS[1:], strict=False))
+    rows = rows + [(1000 + i, f"/repos/q{i}/src/rare{i}.Rare", f"rare{i}.Rare", "Rare", len(text) + i, bytearray(("x" * i + text).encode()), 1) for i in range(4)]
+    rows += [(1000, "/repos/q0/src/rare0.Rare", "rare0.Rare", "Rare", len(text), bytearray(text.encode()), 1)]  # delivered twice
+    df = spark.createDataFrame(rows, "file_id long, path string, name string, ext string, size long, content binary, kind int")
+    measures = spark.createDataFrame([], "file_id long, file_full_name string, file_name string, file_type string, file_machine long, file_nbnc long, file_total long, file_bytes long")
+
+    def judge(most):
+        monkeypatch.setattr(handwritten, "MOST_GRAMS", most)
+        return sorted((r.file_id, r.bits, r.usual_bits or 0.0, r.kind or "", r.evidence or "") for r in handwritten.judged(df, measures).select("file_id", "bits", "usual_bits", "kind", "evidence").collect())
+
+    whole = judge(400_000)
+    assert len(whole) == len(rows) and any(r[1] > 0 for r in whole if r[0] >= 1000)
+    for most in (1, 40):
+        part = judge(most)
+        assert [(r[0], *r[3:]) for r in part] == [(r[0], *r[3:]) for r in whole]
+        assert [r[1:3] for r in part] == [pytest.approx(r[1:3], abs=1e-9) for r in whole]
+
+
+def test_folders_of_a_deep_path(spark):
+    deep = "/repos/p/" + "/".join(f"{w}{v}" for w in WORDS[:10] for v in "abcdefgh")
+    df = spark.createDataFrame([(f"{deep}/Gen/a.py", 1.0), ("/repos/p/src/a.py", 1.0), ("a.py", 1.0), (None, 1.0)], "path string, per_line double").selectExpr("path", "per_line", "cast(null as int) machine", "1 total", "1 nbnc")
+    got = [{t for t in r.traits if t.startswith("dir:")} for r in df.select(handwritten._trait_list().alias("traits")).collect()]
+    assert "dir:gen" in got[0] and len(got[0]) == 81 and got[1:] == [{"dir:src"}, set(), set()]
+
+
 def test_traits_of_heads():
     assert handwritten.head(None, False) == {} and handwritten.head(b"", False) == {}
     assert handwritten.periodicity(handwritten.skeletons("\n".join(f"x[{i}] = {i * 3};" for i in range(12)))) == 1
